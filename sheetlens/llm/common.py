@@ -79,3 +79,28 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
             yield pa.RecordBatch.from_pydict(work(cols), schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def fold_tasks(df: DataFrame, make: Callable[[], tuple[Callable[[dict[str, list]], None], Callable[[], dict[str, list]]]], schema: str, rows: int = 2000) -> DataFrame:
+    """Each task folds its rows into one small table: ``make`` gives (take a slice, result)."""
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take, result = make()
+        for cols in slices(batches, rows):
+            take(cols)
+        yield pa.RecordBatch.from_pydict(result(), schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, bound: int, label_id: str = "doc_id", doc_id: str = "doc_id", text: str = "text", seed: int = 5) -> DataFrame:
+    """(text, label) of about ``bound`` labelled rows, written to the shared folder.
+
+    ``usable`` is a condition on the labels' rows. The ids of the sample are broadcast, which
+    ``bound`` keeps small; so texts are not shuffled to meet their labels.
+    """
+    known = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(label_id).alias("_id"), F.col(label).cast("int").alias("label"))
+    ids = bounded_sample(known, "_id", bound, seed).groupBy("_id").agg(F.max("label").alias("label"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    return saved(rows.join(F.broadcast(ids), "_id").select("text", "label"), "sample")

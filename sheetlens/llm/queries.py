@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents
+from .language_id import identify_language
 from .license_scan import scan_licenses
 from .packing import pack
+from .quality import score_quality
+from .toxicity import score_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,6 +22,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), capacity=1024)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) != 2)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rules")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_language(documents(spark, sf_dir), crc_mod("doc_id", 5) != 0)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 5) != 0)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(documents(spark, sf_dir))
     return found.select(
@@ -29,6 +47,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op8_language_id": op8_language_id,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
 
