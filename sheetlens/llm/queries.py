@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, documents
 from .language_id import identify_language
 from .license_scan import scan_licenses
+from .minhash_dedup import near_duplicate_classes
 from .packing import pack
 from .quality import score_quality
 from .toxicity import score_toxicity
@@ -18,6 +19,10 @@ from .toxicity import score_toxicity
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(documents(spark, sf_dir)).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), capacity=1024)
 
@@ -46,6 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
