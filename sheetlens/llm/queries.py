@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents
+from .embedding_dedup import linked_vectors
 from .language_id import identify_language
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicate_classes
 from .packing import pack
 from .quality import score_quality
+from .topk_search import top_k
 from .toxicity import score_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,11 +29,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), capacity=1024)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) != 2)
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rules")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_language(documents(spark, sf_dir), crc_mod("doc_id", 5) != 0)
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits")
@@ -53,7 +64,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,
+    "op7_topk_search": op7_topk_search,
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
