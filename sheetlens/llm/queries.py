@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_chats, learn
 from .common import crc_mod, documents
 from .embedding_dedup import linked_vectors
 from .language_id import identify_language
@@ -39,6 +40,28 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rules")
 
 
+#: How transcripts write a turn, by conversation.
+STYLES = {
+    "system": ("System: ", "### System\n", "[SYS] ", "<|system|> ", "**Instructions:** ", "Context: "),
+    "user": ("User: ", "### User\n", "[Human] ", "<|user|> ", "**Q:** ", "Customer: "),
+    "assistant": ("Assistant: ", "### Assistant\n", "[Bot] ", "<|assistant|> ", "**A:** ", "Agent: "),
+}
+
+
+def transcripts(turns: DataFrame) -> DataFrame:
+    """conv_id, part, text: raw transcript lines of each conversation, in one of six styles."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(6)) + 1
+    marker = F.lit("")
+    for role, marks in STYLES.items():
+        marker = F.when(F.col("role") == role, F.element_at(F.array(*map(F.lit, marks)), style.cast("int"))).otherwise(marker)
+    return turns.select("conv_id", F.col("turn").alias("part"), F.concat(marker, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return format_chats(transcripts(turns), learn(turns, "conv_id", "turn", "role", "text"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -66,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_topk_search": op7_topk_search,
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
