@@ -14,6 +14,7 @@ from .embedding_dedup import linked_vectors
 from .language_id import identify_language
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicate_classes
+from .mixing import mix, oracle, tree
 from .packing import pack
 from .quality import score_quality
 from .topk_search import top_k
@@ -26,6 +27,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, sf_dir)).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+MIX_FRACTION = 0.5
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), *tree(), fraction=MIX_FRACTION)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), capacity=1024)
 
@@ -86,6 +94,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,
@@ -97,4 +106,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": oracle(MIX_FRACTION)}
