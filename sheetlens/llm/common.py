@@ -104,3 +104,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     ids = bounded_sample(known, "_id", bound, seed).groupBy("_id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
     return saved(rows.join(F.broadcast(ids), "_id").select("text", "label"), "sample")
+
+
+def kept_rows(df: DataFrame, text: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], least: float | None = None, below: float | None = None, rows: int = 1000) -> DataFrame:
+    """Rows of ``df``, all columns unchanged, whose ``score`` by ``make`` is at least ``least`` or below ``below``.
+
+    The rows pass through the scoring tasks themselves, so no join brings scores and rows together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            step = max(1, min(rows, int(8_000_000 * batch.num_rows / max(1, batch.nbytes))))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                texts = [None if t is None else str(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                scores = work({"doc_id": [None] * len(texts), "text": texts})["score"]
+                yield part.filter(pa.array([s >= least if below is None else s < below for s in scores], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -230,10 +230,12 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, in the columns of ``docs``.
+    """One row of each class, in the columns of ``docs``: the row whose id is the smallest of its class.
 
-    Rows that repeat one id all stay or all go, as the id does; rows without id stay.
+    Of rows that repeat an id one stays, if any of them is the first of its class; rows without id stay.
     """
-    classes = near_duplicate_classes(docs, doc_id, text, threshold)
-    drop = saved(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(drop, F.col(doc_id) == F.col("_gone"), "left_anti")
+    ids = near_duplicate_classes(docs, doc_id, text, threshold).where("doc_id IS NOT NULL").groupBy("doc_id")
+    state = saved(ids.agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1").withColumnRenamed("doc_id", "_id"), "state")
+    here = F.col(doc_id) == F.col("_id")
+    once = docs.join(state, here, "left_anti")
+    return once.unionByName(docs.join(state.where("first"), here, "left_semi").dropDuplicates([doc_id]))

@@ -111,12 +111,14 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return unit(np.sqrt(counts) * idf)
 
 
-def score_quality(
+def fit_quality(
     docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     sample: int = 6000, terms: int = 900, dimensions: int = 48, neighbours: int = 15, power: int = 8,
-) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; ``usable`` says of a row of ``labels`` whether it may be learned from."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+):
+    """A task's scorer: called once in each task, it gives the function from ``text`` to ``score``.
+
+    ``usable`` says of a row of ``labels`` whether its label may be learned from.
+    """
     known = labelled_sample(docs, labels, label, usable, sample, doc_id=doc_id, text=text)
     names = vocabulary(known, terms)
     df, n = document_frequency(docs, names, text)
@@ -139,10 +141,9 @@ def score_quality(
     x = weighted(x, idf)
     _, basis = np.linalg.eigh(x.T.astype(float) @ x)
     basis = np.ascontiguousarray(basis[:, ::-1][:, :dimensions], dtype=np.float32)
-    known_vectors = unit(x @ basis)
     base = float(y.mean()) if len(y) else 0.5
     k = min(neighbours, len(y))
-    shared = docs.sparkSession.sparkContext.broadcast((names, idf, basis, known_vectors, y))  # bounded by the parameters
+    shared = docs.sparkSession.sparkContext.broadcast((names, idf, basis, unit(x @ basis), y))  # bounded by the parameters
 
     def make():
         names, idf, basis, vectors, y = shared.value
@@ -161,5 +162,11 @@ def score_quality(
 
         return score
 
+    return make
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **parameters) -> DataFrame:
+    """doc_id and score (0 to 1) of every whole text; ``parameters`` are those of ``fit_quality``."""
+    kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_rows(rows, make, f"doc_id {kind}, score double", rows=500)
+    return map_rows(rows, fit_quality(docs, labels, usable, doc_id, text, label, **parameters), f"doc_id {kind}, score double", rows=500)

@@ -262,12 +262,11 @@ def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: fl
     return rules, min(rest / max(1, sum(total.values()) - len(held)), 0.25)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 16_000) -> DataFrame:
-    """doc_id, score (0 to 1) and the rules found in every whole text.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 16_000):
+    """A task's scorer: called once in each task, it gives the function from ``text`` to ``score`` and ``rules``.
 
     ``usable`` says of a row of ``labels`` whether its label may be learned from.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
     model = character_model(docs, text)
     rules, rest = learn_rules(labelled_sample(docs, labels, label, usable, sample, doc_id=doc_id, text=text), model)
     names = sorted(rules)
@@ -298,5 +297,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: s
 
         return score
 
+    return make
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 16_000) -> DataFrame:
+    """doc_id, score (0 to 1) and the rules found in every whole text."""
+    kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_rows(rows, make, f"doc_id {kind}, score double, rules array<string>")
+    return map_rows(rows, fit_toxicity(docs, labels, usable, doc_id, text, label, sample), f"doc_id {kind}, score double, rules array<string>")
