@@ -90,8 +90,8 @@ def csv_files(issues: DataFrame) -> DataFrame:
 
 
 def write_csv_files(issues: DataFrame, folder: str) -> None:
-    """One text file per document below ``folder/document_id=...``; quoted newlines stay as they are."""
-    csv_files(issues).select("document_id", F.col("csv").alias("value")).repartition("document_id").write.partitionBy("document_id").option("lineSep", "").text(folder)
+    """One text file per document below ``folder/document_id=...``; quoted newlines stay as they are, and Spark ends the file with one more."""
+    csv_files(issues).select("document_id", F.col("csv").alias("value")).repartition("document_id").write.partitionBy("document_id").text(folder)
 
 
 def card_text() -> Column:

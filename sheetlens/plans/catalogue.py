@@ -224,8 +224,8 @@ def csv_lines(spark, sf_dir):
     return review_issues(spark, sf_dir).select("document_id", L.csv_line().alias("line"))
 
 
-@query("""SELECT document_id, 'id,page_number,issue_type,severity,description,location_hint' || chr(10) || string_agg(id || ',' || page_number || ',' || issue_type || ',' || severity || ',"' || replace(description, '"', '""') || '","' || replace(coalesce(location_hint, ''), '"', '""') || '"', chr(10) ORDER BY page_number, id) AS csv
-FROM issues GROUP BY 1""")
+@query("""SELECT document_id, 'id,page_number,issue_type,severity,description,location_hint' || chr(10) || string_agg(line, chr(10) ORDER BY page_number, id, line) AS csv
+FROM (SELECT document_id, page_number, id, id || ',' || page_number || ',' || issue_type || ',' || severity || ',"' || replace(description, '"', '""') || '","' || replace(coalesce(location_hint, ''), '"', '""') || '"' AS line FROM issues) GROUP BY 1""")
 def csv_files(spark, sf_dir):
     return L.csv_files(review_issues(spark, sf_dir))
 
