@@ -139,55 +139,58 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int,
     left = {s: n for s, n in histogram.items() if n}
     sizes = sorted(left)
     fixed: list[tuple[int, tuple[int, ...]]] = []
-    open_: list[int] = []  # lengths that no criterion fixes
 
-    def fix(n: int, *items: int) -> None:
+    def fix(*items: int) -> None:
+        n = min(left[s] // items.count(s) for s in set(items))
         fixed.append((n, items))
         for s in items:
             left[s] -= n
+        for s in set(items):
             if not left[s]:
                 del left[s]
                 sizes.pop(bisect.bisect_left(sizes, s))
 
-    def smaller(limit: int, taken: dict[int, int]) -> int | None:
-        """The largest length up to ``limit`` of which more than the taken copies are left."""
+    def largest(limit: int, *taken: int) -> int | None:
+        """The largest length up to ``limit`` of which there are more copies than are taken."""
         i = bisect.bisect_right(sizes, limit) - 1
-        while i >= 0 and left[sizes[i]] <= taken.get(sizes[i], 0):
+        while i >= 0 and left[sizes[i]] <= taken.count(sizes[i]):
             i -= 1
         return sizes[i] if i >= 0 else None
 
-    undecided: dict[int, int] = {}
-    while sizes:
-        big = sizes[-1]
+    def smallest(k: int, *taken: int) -> list[int]:
+        out: list[int] = []
+        for s in sizes:
+            out += [s] * min(left[s] - taken.count(s), k - len(out))
+            if len(out) == k:
+                break
+        return out
+
+    def dominating(big: int) -> tuple[int, ...] | None:
+        """The set with ``big`` that dominates all others, among sets of up to three; None if no criterion shows one."""
         room = capacity - big
-        one = smaller(room, {big: 1})
+        one = largest(room, big)
         if one is None:
-            fix(left[big] if 2 * big > capacity else 1, big)
-            continue
-        copies = lambda *items: min(left[s] // items.count(s) for s in set(items))
-        if one == room:  # fills the sequence: dominates every other set with ``big``
-            fix(copies(big, one), big, one)
-            continue
-        low = next(s for s in sizes if left[s] > (s == big))
-        pair = [low, low] if left[low] - (low == big) > 1 else [low, *[s for s in sizes if s != low and left[s] > (s == big)][:1]]
-        if len(pair) < 2 or sum(pair) > room:  # at most one item fits beside ``big``
-            fix(copies(big, one), big, one)
-            continue
-        three = sum(pair) + (low if left[low] - (low == big) > 2 else pair[1])
-        if three > room:  # at most two fit: the best pair against the best single
-            best = 0
-            for s in sizes[: bisect.bisect_right(sizes, room)]:
-                other = smaller(room - s, {s: 1, big: 1} if s != big else {s: 2})
-                if other is not None and left[s] > (s == big):
-                    best = max(best, s + other)
-            if one >= best:
-                fix(copies(big, one), big, one)
-                continue
-        # not dominated by a small set: left to best fit
-        undecided[big] = undecided.get(big, 0) + left.pop(big)
-        open_.append(big)
-        sizes.pop()
-    return fixed + best_fit(undecided, capacity)
+            return (big,)
+        beside = smallest(3, big)
+        if one == room or len(beside) < 2 or sum(beside[:2]) > room:  # fills it, or no two fit
+            return (big, one)
+        if len(beside) == 3 and sum(beside) <= room:
+            return None
+        best = 0  # at most two fit: the best pair against the best single
+        for s in sizes[: bisect.bisect_right(sizes, room)]:
+            if left[s] > (s == big) and (other := largest(room - s, s, big)) is not None:
+                best = max(best, s + other)
+        return (big, one) if one >= best else None
+
+    # what is not decided stays among the partners of the others; a fixed set may decide it, so until nothing changes
+    changed = True
+    while changed:
+        changed = False
+        for big in sizes[::-1]:
+            while big in left and (items := dominating(big)):
+                fix(*items)
+                changed = True
+    return fixed + best_fit(left, capacity)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
