@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,26 @@ def empty_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` names it.
+
+    The optimizer copies an expression to each place that uses it when it merges projections or pushes
+    filters down; a lambda's variable is not copied.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without_fence(col: Column) -> Column:
     """A reply without a surrounding code fence; an opening fence need not be closed."""
-    text = strip(F.coalesce(col, F.lit("")))
-    inner = F.slice(F.split(text, "\n"), 2, 1_000_000_000)
-    closed = (F.size(inner) > 0) & (strip(F.try_element_at(inner, F.lit(-1))) == "```")
-    body = F.when(closed, F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))).otherwise(inner)
-    return F.when(F.startswith(text, F.lit("```")), strip(F.array_join(body, "\n"))).otherwise(text)
+
+    def opened(text: Column) -> Column:
+        return let(F.slice(F.split(text, "\n"), 2, 1_000_000_000), inner)
+
+    def inner(lines: Column) -> Column:
+        closed = (F.size(lines) > 0) & (strip(F.try_element_at(lines, F.lit(-1))) == "```")
+        return strip(F.array_join(F.when(closed, F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines), "\n"))
+
+    return let(strip(F.coalesce(col, F.lit(""))), lambda text: F.when(F.startswith(text, F.lit("```")), opened(text)).otherwise(text))
 
 
 def extension(filename: Column) -> Column:

@@ -19,33 +19,39 @@ def kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
+def _read(text: Column) -> Column:
+    """(text, state, items) of a reply without fence."""
+
+    def value(v: Column) -> Column:
+        return X.let(kind(v), lambda k: X.let(F.when(k == "ARRAY", v).when(k == "OBJECT", F.try_variant_get(v, "$.issues", "variant")), lambda items: X.let(kind(items), lambda ik: result(v, k, items, ik))))
+
+    def result(v: Column, k: Column, items: Column, ik: Column) -> Column:
+        state = (
+            F.when(v.isNull(), "unparseable")
+            .when(~k.isin("ARRAY", "OBJECT"), "wrong_type")
+            .when(items.isNull() | ik.isin("ARRAY", "STRING", "OBJECT"), "ok")
+            .otherwise("failed")
+        )
+        return F.struct(state.alias("state"), F.when(ik == "ARRAY", items).alias("items"))
+
+    def single(every: Column) -> Column:
+        return F.when(F.try_variant_get(every, "$[1]", "variant").isNull(), F.try_variant_get(every, "$[0]", "variant"))
+
+    return X.let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), lambda every: X.let(single(every), value))
+
+
 def parsed(replies: DataFrame, raw: str = "raw") -> DataFrame:
-    """Replies with ``_text`` (no fence), ``items`` (VARIANT list or null) and ``state``: ok, unparseable, wrong_type, failed.
+    """Replies with ``items`` (VARIANT list or null) and ``state``: ok, unparseable, wrong_type, failed.
 
     A reply is its one JSON value; text after it makes it unparseable.
     """
-    # one step each, so that no step is evaluated again for every use of its result
-    text = replies.withColumn("_text", X.without_fence(F.col(raw)))
-    wrapped = text.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]"))))
-    single = F.try_variant_get("_all", "$[1]", "variant").isNull()
-    value = wrapped.withColumn("_value", F.when(single, F.try_variant_get("_all", "$[0]", "variant"))).withColumn("_kind", kind(F.col("_value")))
-    listed = F.try_variant_get("_value", "$.issues", "variant")
-    value = value.withColumn("_list", F.when(F.col("_kind") == "ARRAY", F.col("_value")).when(F.col("_kind") == "OBJECT", listed))
-    value = value.withColumn("_list_kind", kind(F.col("_list")))
-    list_kind = F.col("_list_kind")
-    state = (
-        F.when(F.col("_value").isNull(), "unparseable")
-        .when(~F.col("_kind").isin("ARRAY", "OBJECT"), "wrong_type")
-        .when(F.col("_list").isNull() | list_kind.isin("ARRAY", "STRING", "OBJECT"), "ok")
-        .otherwise("failed")
-    )
-    return value.withColumn("state", state).withColumn("items", F.when(list_kind == "ARRAY", F.col("_list"))).drop("_all", "_value", "_kind", "_list", "_list_kind")
-
-
-def _as_text(item: str, path: str) -> Column:
+    read = replies.withColumn("_read", X.let(X.without_fence(F.col(raw)), _read))
+    return read.withColumn("state", F.col("_read.state")).withColumn("items", F.col("_read.items")).drop("_read")
+
+
+def _as_text(field: Column) -> Column:
     """A field as text: missing is empty, JSON null is the word None."""
-    field = F.try_variant_get(item, path, "variant")
-    return F.when(field.isNull(), "").when(F.is_variant_null(field), "None").otherwise(F.coalesce(F.try_variant_get(item, path, "string"), F.to_json(field)))
+    return X.let(field, lambda v: F.when(v.isNull(), "").when(F.is_variant_null(v), "None").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
 
 
 def findings(replies: DataFrame, raw: str = "raw") -> DataFrame:
@@ -54,30 +60,32 @@ def findings(replies: DataFrame, raw: str = "raw") -> DataFrame:
     Items that are no objects, or whose severity, type or description is not valid, are left out.
     """
     keep = [c for c in replies.columns if c != raw]
-    items = parsed(replies, raw).where("items IS NOT NULL").select(*keep, "items")
+    items = parsed(replies, raw).select(*keep, "items")
     view = items.lateralJoin(items.sparkSession.tvf.variant_explode(F.col("items").outer()))
+    field = lambda name: F.try_variant_get("value", f"$.{name}", "variant")
     rows = view.where(kind(F.col("value")) == "OBJECT").select(
         *keep, F.col("pos").cast("long").alias("pos"),
-        F.lower(X.strip(_as_text("value", "$.severity"))).alias("severity"),
-        F.replace(F.lower(X.strip(_as_text("value", "$.issue_type"))), F.lit(" "), F.lit("_")).alias("issue_type"),
-        X.strip(_as_text("value", "$.description")).alias("description"),
-        location("value").alias("location_hint"))
+        F.lower(X.strip(_as_text(field("severity")))).alias("severity"),
+        F.replace(F.lower(X.strip(_as_text(field("issue_type")))), F.lit(" "), F.lit("_")).alias("issue_type"),
+        X.strip(_as_text(field("description"))).alias("description"),
+        location(field("location_hint")).alias("location_hint"))
     return rows.where(F.col("severity").isin(*SEVERITIES) & F.col("issue_type").isin(*ISSUE_TYPES) & (F.length("description") > 0))
 
 
-def location(item: str) -> Column:
+def location(field: Column) -> Column:
     """The hint as text; null where it is missing, null, 0, false, an empty list or object, or blank."""
-    shown = _as_text(item, "$.location_hint")
-    field = F.try_variant_get(item, "$.location_hint", "variant")
-    falsy = field.isNull() | F.is_variant_null(field) | (shown.isin("0", "0.0", "false", "[]", "{}") & (kind(field) != "STRING"))
-    return F.when(~falsy, X.empty_to_null(X.strip(shown)))
+
+    def shown(v: Column) -> Column:
+        return X.let(_as_text(v), lambda t: F.when(~(v.isNull() | F.is_variant_null(v) | (t.isin("0", "0.0", "false", "[]", "{}") & (kind(v) != "STRING"))), X.empty_to_null(X.strip(t))))
+
+    return X.let(field, shown)
 
 
 def rejects(replies: DataFrame, raw: str = "raw") -> DataFrame:
     """Replies that are no list and no object of findings, with the start of their text for a log."""
     keep = [c for c in replies.columns if c != raw]
     bad = parsed(replies, raw).where("state <> 'ok'")
-    return bad.select(*keep, "state", F.substring("_text", 1, LOG_PREFIX).alias("start"))
+    return bad.select(*keep, "state", F.substring(X.without_fence(F.col(raw)), 1, LOG_PREFIX).alias("start"))
 
 
 def second_check(rows: DataFrame) -> DataFrame:
