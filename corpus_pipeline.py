@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm.common import crc_mod, documents, kept_rows, saved
+from sheetlens.llm.common import crc_mod, documents, kept_rows, saved, unused_name
 from sheetlens.llm.minhash_dedup import one_of_each_class
 from sheetlens.llm.mixing import mix, tree
 from sheetlens.llm.packing import pack
@@ -43,8 +43,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs, *tree(), fraction=MIX_FRACTION, epochs=1)
-    ids = saved(taken.select(F.col("doc_id").alias("_taken")).distinct(), "taken")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_taken")), "left_semi")
+    name = unused_name(docs, "taken")
+    ids = saved(taken.select(F.col("doc_id").alias(name)).distinct(), "taken")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

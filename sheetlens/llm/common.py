@@ -34,6 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of an id written as text, modulo ``n`` (null for a null id)."""
     return F.crc32(F.col(col).cast("string")) % F.lit(n)

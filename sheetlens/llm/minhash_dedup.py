@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved
+from .common import map_rows, saved, unused_name
 from .components import connected_components
 
 WIDTH = 5
@@ -52,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -143,72 +143,101 @@ def similarity(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, key of the text's words (null without words), band keys."""
+    """doc_id, key of the text's words (null without words), band keys, and 16 bits of each register."""
 
     def make():
         def sketch(cols):
             words = [words_of(t) for t in cols["text"]]
             keys = [text_key(w) for w in words]
             some = [i for i, w in enumerate(words) if w]
-            bands = band_keys(registers([shingles(words[i]) for i in some])) if some else []
-            out: list = [None] * len(words)
-            for i, b in zip(some, bands, strict=True):
-                out[i] = b.tolist()
-            return {"doc_id": cols["doc_id"], "text_key": keys, "bands": out}
+            bands: list = [None] * len(words)
+            short: list = [None] * len(words)
+            if some:
+                signature = registers([shingles(words[i]) for i in some])
+                for i, b, s in zip(some, band_keys(signature), (signature >> U(48)).astype("<u2"), strict=True):
+                    bands[i], short[i] = b.tolist(), s.tobytes()
+            return {"doc_id": cols["doc_id"], "text_key": keys, "bands": bands, "registers": short}
 
         return sketch
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_rows(rows, make, "doc_id long, text_key binary, bands array<long>", rows=1000)
+    return map_rows(rows, make, "doc_id long, text_key binary, bands array<long>, registers binary", rows=500)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose texts are similar enough."""
+def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, items, counts) of ``nodes(node, rep, text_key)``: their texts' shingles, read from ``docs`` once.
 
-    def make_sets():
+    The nodes grow with the corpus, so they are never broadcast here.
+    """
+
+    def make():
         def sets(cols):
             out = {"node": [], "items": [], "counts": []}
             for node, key, t in zip(cols["node"], cols["text_key"], cols["text"], strict=True):
                 words = words_of(t)
                 if text_key(words) == key:  # else another row of the same id
                     items, counts = shingles(words)
-                    for k, v in zip(out, (node, items.view(np.int64).tolist(), counts.tolist()), strict=True):
+                    for k, v in zip(out, (node, items.tobytes(), counts.astype("<u4").tobytes()), strict=True):
                         out[k].append(v)
             return out
 
         return sets
 
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    rows = texts.join(nodes.hint("merge"), "rep").select("node", "text_key", "text")
+    return saved(map_rows(rows, make, "node long, items binary, counts binary", rows=500), "shingles")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose texts are similar enough.
+
+    First by the registers: a pair passes unless their equal share lies five standard errors below
+    the threshold. Then exactly, by the shingles.
+    """
+    error = (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    least = int(np.floor(REGISTERS * (threshold - 5 * error)))
+
+    def make_likely():
+        def likely(cols):
+            a, b = (np.frombuffer(b"".join(cols[f"registers_{s}"]), "<u2").reshape(-1, REGISTERS) for s in "ab")
+            keep = np.flatnonzero((a == b).sum(1) >= least).tolist()
+            return {k: [cols[k][i] for i in keep] for k in ("a", "b")}
+
+        return likely
+
     def make_compare():
         def compare(cols):
             near = []
-            for row in zip(cols["items_a"], cols["counts_a"], cols["items_b"], cols["counts_b"], strict=True):
-                a, ca, b, cb = (np.array(v, np.int64) for v in row)
-                near.append(max(similarity(a, ca, b, cb)) >= threshold - 1e-12)
+            for a, ca, b, cb in zip(cols["items_a"], cols["counts_a"], cols["items_b"], cols["counts_b"], strict=True):
+                ca, cb = (np.frombuffer(c, "<u4").astype(np.int64) for c in (ca, cb))
+                near.append(max(similarity(np.frombuffer(a, U), ca, np.frombuffer(b, U), cb)) >= threshold - 1e-12)
             keep = [i for i, ok in enumerate(near) if ok]
             return {k: [cols[k][i] for i in keep] for k in ("a", "b")}
 
         return compare
 
-    used = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "text_key"), "node"), "used")
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    sets = saved(map_rows(texts.join(used, "rep").select("node", "text_key", "text"), make_sets, "node long, items array<long>, counts array<int>", rows=500), "shingles")
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}"), F.col("counts").alias(f"counts_{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    return map_rows(rows, make_compare, "a long, b long", rows=200)
+    def sided(rows: DataFrame, other: DataFrame) -> DataFrame:
+        for s in "ab":
+            rows = rows.join(other.withColumnsRenamed({c: s if c == "node" else f"{c}_{s}" for c in other.columns}), s)
+        return rows
+
+    likely = saved(map_rows(sided(pairs, nodes.select("node", "registers")), make_likely, "a long, b long", rows=5000), "likely")
+    return saved(map_rows(sided(likely, sets), make_compare, "a long, b long", rows=200), "near")
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id) of every row: class_id is the smallest doc_id of the row's near-duplicate class."""
     known = saved(sketches(docs, doc_id, text), "sketches")
     worded = known.where(F.col("text_key").isNotNull())
-    nodes = worded.groupBy("text_key").agg(F.max("doc_id").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    nodes = worded.groupBy("text_key").agg(F.max("doc_id").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
     heads = saved(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1"), "heads")
     shared = saved(members.join(heads, "key").select("key", "node", "low", "high"), "shared")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = saved(ordered(shared.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))), "pairs")
-    links = saved(verified(pairs, nodes, docs, threshold, doc_id, text), "near")
+    sets = shingle_sets(saved(nodes.select("node", "rep", "text_key").join(shared.select("node").distinct(), "node"), "used"), docs, doc_id, text)
+    links = verified(pairs, nodes, sets, threshold)
     roots = saved(connected_components(links), "roots")
 
     # buckets that still hold several components
@@ -219,7 +248,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     few = rest.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
     cross = few.join(rest.withColumnsRenamed({"node": "b", "root": "root_b"}), "key").where("root_a <> root_b AND (root_b = top OR a < b)")
     more = saved(ordered(cross.select("a", "b")).join(pairs, ["a", "b"], "left_anti"), "more")
-    found = saved(verified(more, nodes, docs, threshold, doc_id, text), "near")
+    found = verified(more, nodes, sets, threshold)
     roots = saved(connected_components(links.unionByName(found)), "roots")
 
     placed_nodes = saved(nodes.select("node", "text_key", "least").join(roots, "node", "left").select("text_key", "least", F.coalesce("root", "node").alias("root")), "placed")
@@ -235,7 +264,8 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Of rows that repeat an id one stays, if any of them is the first of its class; rows without id stay.
     """
     ids = near_duplicate_classes(docs, doc_id, text, threshold).where("doc_id IS NOT NULL").groupBy("doc_id")
-    state = saved(ids.agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1").withColumnRenamed("doc_id", "_id"), "state")
-    here = F.col(doc_id) == F.col("_id")
-    once = docs.join(state, here, "left_anti")
-    return once.unionByName(docs.join(state.where("first"), here, "left_semi").dropDuplicates([doc_id]))
+    name = unused_name(docs, "class_doc")
+    state = saved(ids.agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1").withColumnRenamed("doc_id", name), "state")
+    here = F.col(doc_id) == F.col(name)
+    once = docs.join(state.select(name), here, "left_anti")
+    return once.unionByName(docs.join(state.where("first").select(name), here, "left_semi").dropDuplicates([doc_id]))
