@@ -52,7 +52,7 @@ class WordIds:
     own tokenizer; the two are compared on a probe when it is loaded.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
     PROBE = "It's 12 words,  don't\n\tspace  <|endoftext|> d\u00e9j\u00e0 \u65e5\u672c\U0001f600 $x_1#"
 
     def __init__(self, path: str):

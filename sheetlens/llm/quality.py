@@ -38,7 +38,7 @@ def shape_of(word: str) -> str:
 class Terms:
     """Counts of known terms; each distinct word is looked at once."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, names: list[str]):
         self.number = {t: i for i, t in enumerate(names)}

@@ -189,7 +189,7 @@ def features(words: list[str]) -> set[str]:
 class Memo(dict):
     """A dict that computes what it lacks, emptied when it has grown large."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
