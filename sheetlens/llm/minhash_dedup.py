@@ -268,4 +268,7 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     state = saved(ids.agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1").withColumnRenamed("doc_id", name), "state")
     here = F.col(doc_id) == F.col(name)
     once = docs.join(state.select(name), here, "left_anti")
-    return once.unionByName(docs.join(state.where("first").select(name), here, "left_semi").dropDuplicates([doc_id]))
+    twice = state.where("first").select(name)
+    if twice.isEmpty():  # the usual case: no id is repeated, so the texts need not be moved again
+        return once
+    return once.unionByName(docs.join(twice, here, "left_semi").dropDuplicates([doc_id]))
