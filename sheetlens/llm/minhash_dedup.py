@@ -12,8 +12,9 @@ Jaccard similarity, or the Jaccard similarity of their sets of shingles, is at l
 
 Candidates are not all pairs of a bucket. First every text of a bucket meets the bucket's smallest and largest node.
 Of the components that this gives, a bucket's largest needs no more pairs in itself; every text outside
-it meets all texts of the bucket that are in other components. So no candidate pair between different
-components is left out, and a bucket of near copies costs work in proportion to its size.
+it meets all texts of the bucket that are in other components, by blocks of registers, and only pairs whose
+registers agree enough become rows. So no candidate pair between different components is left out, and
+a bucket of near copies does not become a row for each pair.
 
 Equal texts (the same words in the same order) are one node from the start.
 
@@ -38,6 +39,8 @@ from .components import connected_components
 
 WIDTH = 5
 BANDS, ROWS = 22, 6
+BLOCK = 256
+LOWEST = 512
 REGISTERS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 U = np.uint64
@@ -165,19 +168,21 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, items, counts) of ``nodes(node, rep, text_key)``: their texts' shingles, read from ``docs`` once.
+    """(node, items, counts, lowest, weighted) of ``nodes(node, rep, text_key)``: their texts' shingles, read from ``docs`` once.
+
+    ``lowest`` are the first 32 bits of the ``LOWEST`` smallest items, ``weighted`` whether a shingle repeats.
 
     The nodes grow with the corpus, so they are never broadcast here.
     """
 
     def make():
         def sets(cols):
-            out = {"node": [], "items": [], "counts": []}
+            out = {"node": [], "items": [], "counts": [], "lowest": [], "weighted": []}
             for node, key, t in zip(cols["node"], cols["text_key"], cols["text"], strict=True):
                 words = words_of(t)
                 if text_key(words) == key:  # else another row of the same id
                     items, counts = shingles(words)
-                    for k, v in zip(out, (node, items.tobytes(), counts.astype("<u4").tobytes()), strict=True):
+                    for k, v in zip(out, (node, items.tobytes(), counts.astype("<u4").tobytes(), (items[:LOWEST] >> U(32)).astype("<u4").tobytes(), bool((counts > 1).any())), strict=True):
                         out[k].append(v)
             return out
 
@@ -185,17 +190,24 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
     rows = texts.join(nodes.hint("merge"), "rep").select("node", "text_key", "text")
-    return saved(map_rows(rows, make, "node long, items binary, counts binary", rows=500), "shingles")
+    return saved(map_rows(rows, make, "node long, items binary, counts binary, lowest binary, weighted boolean", rows=500), "shingles")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose texts are similar enough.
+def least_equal(threshold: float) -> int:
+    """Equal registers of a pair that is worth an exact comparison: five standard errors below the threshold."""
+    return int(np.floor(REGISTERS * (threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5)))
 
-    First by the registers: a pair passes unless their equal share lies five standard errors below
-    the threshold. Then exactly, by the shingles.
-    """
-    error = (threshold * (1 - threshold) / REGISTERS) ** 0.5
-    least = int(np.floor(REGISTERS * (threshold - 5 * error)))
+
+def sided(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """``rows(a, b)`` with the columns of ``other(node, ..)`` for both."""
+    for s in "ab":
+        rows = rows.join(other.withColumnsRenamed({c: s if c == "node" else f"{c}_{s}" for c in other.columns}), s)
+    return rows
+
+
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose registers agree enough."""
+    least = least_equal(threshold)
 
     def make_likely():
         def likely(cols):
@@ -205,6 +217,63 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: flo
 
         return likely
 
+    return map_rows(sided(pairs, nodes.select("node", "registers")), make_likely, "a long, b long", rows=5000)
+
+
+def lowest_similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
+    """Jaccard similarity by the smallest hashes of two sets, and whether that is all there is of both."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) < LOWEST and len(b) < LOWEST:
+        return both / max(1, len(a) + len(b) - both), True
+    union = np.union1d(a, b)[:LOWEST]
+    return float(np.isin(union, np.intersect1d(a, b)).mean()), False
+
+
+def likely_across(members: DataFrame, threshold: float) -> DataFrame:
+    """Of ``members(key, node, root, top, registers, lowest, weighted)``, likely pairs (a, b) of one key and different roots.
+
+    Blocks of a key's members outside its ``top`` component meet blocks of all its members, and a
+    task compares the registers of two blocks at a time, then the smallest hashes where no shingle repeats. So neither a row for each pair is made, nor
+    does a key's whole group meet in one task.
+    """
+    least = least_equal(threshold)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    cut = members.join(saved(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+    entry = F.struct("node", "root", "registers", "lowest", "weighted")
+    near = threshold - 4 * (threshold * (1 - threshold) / LOWEST) ** 0.5
+    every = saved(cut.groupBy("key", "top", "block").agg(F.collect_list(entry).alias("all")), "all")  # BLOCK members, more or less
+    few = saved(every.select("key", F.filter("all", lambda x: x["root"] != F.col("top")).alias("few")).where("size(few) > 0"), "few")
+
+    def make():
+        def arrays(rows):
+            return (np.array([r["node"] for r in rows]), np.array([r["root"] for r in rows]), np.frombuffer(b"".join(r["registers"] for r in rows), "<u2").reshape(-1, REGISTERS), [None if r["weighted"] else np.frombuffer(r["lowest"], "<u4") for r in rows])
+
+        def passes(a, b) -> bool:
+            if a is None or b is None:
+                return True
+            share, whole = lowest_similarity(a, b)
+            return share >= (threshold - 1e-3 if whole else near)
+
+        def compare(cols):
+            out = {"a": [], "b": []}
+            for few, every, top in zip(cols["few"], cols["all"], cols["top"], strict=True):
+                a, root_a, sig_a, low_a = arrays(few)
+                b, root_b, sig_b, low_b = arrays(every)
+                for i in range(len(a)):
+                    want = np.flatnonzero((root_b != root_a[i]) & ((root_b == top) | (b > a[i])))
+                    hits = [j for j in want[(sig_b[want] == sig_a[i]).sum(1) >= least] if passes(low_a[i], low_b[j])]
+                    out["a"] += np.minimum(b[hits], a[i]).tolist()
+                    out["b"] += np.maximum(b[hits], a[i]).tolist()
+            return out
+
+        return compare
+
+    return map_rows(few.join(every, "key").select("few", "all", "top"), make, "a long, b long", rows=16).distinct()
+
+
+def verified(likely: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose texts are similar enough by their shingles."""
+
     def make_compare():
         def compare(cols):
             near = []
@@ -216,13 +285,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: flo
 
         return compare
 
-    def sided(rows: DataFrame, other: DataFrame) -> DataFrame:
-        for s in "ab":
-            rows = rows.join(other.withColumnsRenamed({c: s if c == "node" else f"{c}_{s}" for c in other.columns}), s)
-        return rows
-
-    likely = saved(map_rows(sided(pairs, nodes.select("node", "registers")), make_likely, "a long, b long", rows=5000), "likely")
-    return saved(map_rows(sided(likely, sets), make_compare, "a long, b long", rows=200), "near")
+    return saved(map_rows(sided(saved(likely, "likely"), sets), make_compare, "a long, b long", rows=200), "near")
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -237,18 +300,16 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = saved(ordered(shared.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))), "pairs")
     sets = shingle_sets(saved(nodes.select("node", "rep", "text_key").join(shared.select("node").distinct(), "node"), "used"), docs, doc_id, text)
-    links = verified(pairs, nodes, sets, threshold)
+    links = verified(likely_pairs(pairs, nodes, threshold), sets, threshold)
     roots = saved(connected_components(links), "roots")
 
     # buckets that still hold several components
     placed = saved(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed_keys = saved(sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1").select("key", F.col("top.root").alias("top")), "mixed")
-    rest = saved(placed.join(mixed_keys, "key"), "rest")
-    few = rest.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    cross = few.join(rest.withColumnsRenamed({"node": "b", "root": "root_b"}), "key").where("root_a <> root_b AND (root_b = top OR a < b)")
-    more = saved(ordered(cross.select("a", "b")).join(pairs, ["a", "b"], "left_anti"), "more")
-    found = verified(more, nodes, sets, threshold)
+    rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers"), "node").join(sets.select("node", "lowest", "weighted"), "node"), "rest")
+    more = likely_across(rest, threshold).join(pairs, ["a", "b"], "left_anti")
+    found = verified(more, sets, threshold)
     roots = saved(connected_components(links.unionByName(found)), "roots")
 
     placed_nodes = saved(nodes.select("node", "text_key", "least").join(roots, "node", "left").select("text_key", "least", F.coalesce("root", "node").alias("root")), "placed")
