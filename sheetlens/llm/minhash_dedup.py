@@ -168,21 +168,22 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, items, counts, lowest, weighted) of ``nodes(node, rep, text_key)``: their texts' shingles, read from ``docs`` once.
+    """(node, items, counts, lowest, low_counts, weighted) of ``nodes(node, rep, text_key)``: their texts' shingles, read from ``docs`` once.
 
-    ``lowest`` are the first 32 bits of the ``LOWEST`` smallest items, ``weighted`` whether a shingle repeats.
+    ``lowest`` are the first 32 bits of the ``LOWEST`` smallest items, with their counts; ``weighted`` says whether a
+    shingle repeats.
 
     The nodes grow with the corpus, so they are never broadcast here.
     """
 
     def make():
         def sets(cols):
-            out = {"node": [], "items": [], "counts": [], "lowest": [], "weighted": []}
+            out = {"node": [], "items": [], "counts": [], "lowest": [], "low_counts": [], "weighted": []}
             for node, key, t in zip(cols["node"], cols["text_key"], cols["text"], strict=True):
                 words = words_of(t)
                 if text_key(words) == key:  # else another row of the same id
                     items, counts = shingles(words)
-                    for k, v in zip(out, (node, items.tobytes(), counts.astype("<u4").tobytes(), (items[:LOWEST] >> U(32)).astype("<u4").tobytes(), bool((counts > 1).any())), strict=True):
+                    for k, v in zip(out, (node, items.tobytes(), counts.astype("<u4").tobytes(), (items[:LOWEST] >> U(32)).astype("<u4").tobytes(), counts[:LOWEST].astype("<u4").tobytes(), bool((counts > 1).any())), strict=True):
                         out[k].append(v)
             return out
 
@@ -190,7 +191,7 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
     rows = texts.join(nodes.hint("merge"), "rep").select("node", "text_key", "text")
-    return saved(map_rows(rows, make, "node long, items binary, counts binary, lowest binary, weighted boolean", rows=500), "shingles")
+    return saved(map_rows(rows, make, "node long, items binary, counts binary, lowest binary, low_counts binary, weighted boolean", rows=500), "shingles")
 
 
 def least_equal(threshold: float) -> int:
@@ -220,39 +221,36 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return map_rows(sided(pairs, nodes.select("node", "registers")), make_likely, "a long, b long", rows=5000)
 
 
-def lowest_similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
-    """Jaccard similarity by the smallest hashes of two sets, and whether that is all there is of both."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    if len(a) < LOWEST and len(b) < LOWEST:
-        return both / max(1, len(a) + len(b) - both), True
+def lowest_share(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, estimated from their smallest hashes."""
     union = np.union1d(a, b)[:LOWEST]
-    return float(np.isin(union, np.intersect1d(a, b)).mean()), False
+    return float(np.isin(union, np.intersect1d(a, b)).mean())
 
 
 def likely_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Of ``members(key, node, root, top, registers, lowest, weighted)``, likely pairs (a, b) of one key and different roots.
+    """Of ``members(key, node, root, top, registers, lowest, low_counts, weighted)``, likely pairs (a, b) of one key and different roots.
 
     Blocks of a key's members outside its ``top`` component meet blocks of all its members, and a
-    task compares the registers of two blocks at a time, then the smallest hashes where no shingle repeats. So neither a row for each pair is made, nor
+    task compares the registers of two blocks at a time, then the smallest hashes, which for most texts are all. So neither a row for each pair is made, nor
     does a key's whole group meet in one task.
     """
     least = least_equal(threshold)
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     cut = members.join(saved(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    entry = F.struct("node", "root", "registers", "lowest", "weighted")
+    entry = F.struct("node", "root", "registers", "lowest", "low_counts", "weighted")
     near = threshold - 4 * (threshold * (1 - threshold) / LOWEST) ** 0.5
     every = saved(cut.groupBy("key", "top", "block").agg(F.collect_list(entry).alias("all")), "all")  # BLOCK members, more or less
     few = saved(every.select("key", F.filter("all", lambda x: x["root"] != F.col("top")).alias("few")).where("size(few) > 0"), "few")
 
     def make():
         def arrays(rows):
-            return (np.array([r["node"] for r in rows]), np.array([r["root"] for r in rows]), np.frombuffer(b"".join(r["registers"] for r in rows), "<u2").reshape(-1, REGISTERS), [None if r["weighted"] else np.frombuffer(r["lowest"], "<u4") for r in rows])
+            sets = [(np.frombuffer(r["lowest"], "<u4"), np.frombuffer(r["low_counts"], "<u4").astype(np.int64), r["weighted"]) for r in rows]
+            return (np.array([r["node"] for r in rows]), np.array([r["root"] for r in rows]), np.frombuffer(b"".join(r["registers"] for r in rows), "<u2").reshape(-1, REGISTERS), sets)
 
         def passes(a, b) -> bool:
-            if a is None or b is None:
-                return True
-            share, whole = lowest_similarity(a, b)
-            return share >= (threshold - 1e-3 if whole else near)
+            if len(a[0]) < LOWEST and len(b[0]) < LOWEST:
+                return max(similarity(*a[:2], *b[:2])) >= threshold - 1e-3
+            return a[2] or b[2] or lowest_share(a[0], b[0]) >= near
 
         def compare(cols):
             out = {"a": [], "b": []}
@@ -307,7 +305,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     placed = saved(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed_keys = saved(sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1").select("key", F.col("top.root").alias("top")), "mixed")
-    rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers"), "node").join(sets.select("node", "lowest", "weighted"), "node"), "rest")
+    rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers"), "node").join(sets.select("node", "lowest", "low_counts", "weighted"), "node"), "rest")
     more = likely_across(rest, threshold).join(pairs, ["a", "b"], "left_anti")
     found = verified(more, sets, threshold)
     roots = saved(connected_components(links.unionByName(found)), "roots")
