@@ -24,5 +24,5 @@ def test_stages_keep_the_columns_and_their_effects_stay(spark, sf001):
 def test_run_is_registered(spark):
     import __spark_entry__
 
-    assert __spark_entry__.queries()["pipeline"] is CP.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is CP.run
     assert [name for name, _ in CP.STAGES] == ["toxicity", "quality", "near_dedup", "mixing", "packing"]
