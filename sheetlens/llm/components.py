@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     all links point at roots. Minima are aggregated with partial aggregates, and the neighbours meet
     them in a join whose large partitions Spark can split, so a node with very many links is not
     gathered in one task. Each round is
-    written to the shared folder. The number of rounds grows with the logarithm of the longest
+    written to the shared folder, and the one before it is deleted. The number of rounds grows with the logarithm of the longest
     chain; ``rounds`` is a guard that raises, never a cut.
     """
     links = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -26,9 +26,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m")), "low")
         large = saved(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: each smaller neighbour, and the node, go to the minimum
-        low = saved(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        links = saved(small, "links")
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        old, links = links, saved(small, "links")
+        discard(old, low, large, least)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

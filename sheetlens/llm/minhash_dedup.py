@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved, unused_name
+from .common import discard, map_rows, saved, unused_name
 from .components import connected_components
 
 WIDTH = 5
@@ -235,8 +235,8 @@ def likely_across(members: DataFrame, threshold: float) -> DataFrame:
     does a key's whole group meet in one task.
     """
     least = least_equal(threshold)
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    cut = members.join(saved(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
     entry = F.struct("node", "root", "registers", "lowest", "low_counts", "weighted")
     near = threshold - 4 * (threshold * (1 - threshold) / LOWEST) ** 0.5
     every = saved(cut.groupBy("key", "top", "block").agg(F.collect_list(entry).alias("all")), "all")  # BLOCK members, more or less
@@ -266,7 +266,9 @@ def likely_across(members: DataFrame, threshold: float) -> DataFrame:
 
         return compare
 
-    return map_rows(few.join(every, "key").select("few", "all", "top"), make, "a long, b long", rows=16).distinct()
+    found = saved(map_rows(few.join(every, "key").select("few", "all", "top"), make, "a long, b long", rows=16).distinct(), "across")
+    discard(sizes, every, few)
+    return found
 
 
 def verified(likely: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -313,6 +315,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     placed_nodes = saved(nodes.select("node", "text_key", "least").join(roots, "node", "left").select("text_key", "least", F.coalesce("root", "node").alias("root")), "placed")
     least = saved(placed_nodes.groupBy("root").agg(F.min("least").alias("class_id")), "least")
     classes = saved(placed_nodes.join(least, "root").select("text_key", "class_id"), "classes")
+    discard(nodes, heads, shared, pairs, sets, links, placed, mixed_keys, rest, found, placed_nodes, least)
     out = worded.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "class_id")
     return out.unionByName(known.where(F.col("text_key").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
 
