@@ -1,9 +1,13 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A token that hides something (digits or signs among letters, a letter three times or more, single
-letters with spaces between) becomes a lattice: each character is itself, a letter it may stand
-for, or nothing. Viterbi decodes the lattice under a character trigram model whose counts come
-from all documents. Restored words, and words that hide nothing, are matched against rules.
+A token that hides something (digits or signs among letters, a letter three times or more) and a run
+of two or more tokens of at most ``FRAGMENT`` characters, not counting signs around them, become a
+lattice: each character is itself, a letter it may stand for, or nothing, and each space may be
+nothing. Viterbi decodes the lattice under a character trigram model whose counts come from all
+documents. Restored words, and words that hide nothing, are matched against rules. A token of signs alone,
+some of them no digits, is read as a word if the model finds the word likelier than letters by chance
+(digits alone are a number). When texts are scored, each part of a run that spells a rule is decoded by itself, so words beside it
+do not matter. Pieces of more than ``FRAGMENT`` characters are not joined.
 
 Rules are learned from labelled texts: a rule is a word, or the first letters of a word, that
 stands in toxic texts and hardly ever in others. They are chosen greedily, each to cover the most
@@ -21,6 +25,7 @@ columns are not read. A row labelled both ways counts as toxic.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from functools import reduce
@@ -57,7 +62,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 PREFIXES = (4, 5, 6, 7)
 #: A toxic text asks for rules until so many cover it, so that a word is learned that seldom stands alone.
 COVERS = 4
+#: Tokens of at most so many characters may be pieces of one word.
+FRAGMENT = 3
 EDGE = " .,;:?\"'()[]{}«»“”‘’…-_*#%&=<>/\\~^`"
+#: Signs around a word that stand for no letter.
+SIGNS = EDGE.replace("(", "")
 
 
 def letter_class(c: str) -> int:
@@ -120,35 +129,49 @@ class Restorer:
         core = token.strip(EDGE)
         if core.isalpha() and not self.repeats(core):
             return [core]
-        core = token.strip(EDGE.replace("(", ""))
+        core = token.strip(SIGNS)
         if not any(c.isalpha() for c in core):
-            return []
+            signs = [c for c in core if c in LEET]
+            if len(signs) < 2 or all(c.isdigit() for c in signs):
+                return []
+            return [w for w in self.decode(core, True).split() if self.likely(w)]
         return self.decode(core).split()
 
+    def likely(self, word: str) -> bool:
+        """Whether the model finds a word likelier than letters by chance."""
+        a, b, cost = 0, 0, 0.0
+        for k in (*map(letter_class, word), 0):
+            cost -= self.model[a][b][k]
+            a, b = b, k
+        return cost < (len(word) + 1) * np.log(27)
+
     @staticmethod
     def repeats(token: str) -> bool:
         return any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
 
-    def options(self, text: str, i: int) -> list[tuple[str, float]]:
-        """What the character at ``i`` may be, with costs: '' is nothing, ' ' a word's end."""
+    def options(self, text: str, i: int, signs: bool = False) -> list[tuple[str, float]]:
+        """What the character at ``i`` may be, with costs: '' is nothing, ' ' a word's end. With ``signs``, each sign is a letter."""
         c = text[i]
         if c.isalpha():
             run = i >= 1 and text[i - 1] == c and (i >= 2 and text[i - 2] == c or text[i + 1 : i + 2] == c)
             return [(c, 0.0), ("", 0.3)] if run else [(c, 0.0)]
         found = [(x, 1.0) for x in LEET.get(c, "")]
+        if signs and found:
+            return found
         if c == "*":
             found += [(x, 3.0) for x in LETTERS]
         if c.isspace():
             return [("", 0.0), (" ", 0.0)]
         return [*found, ("", 1.5 if found else 0.2), (" ", 3.0)]
 
-    def decode(self, text: str) -> str:
+    def decode(self, text: str, signs: bool = False) -> str:
         """The best path of the character lattice, by Viterbi over the last two letters."""
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(text)):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            options = self.options(text, i, signs)
             for (a, b), (cost, path) in best.items():
-                for out, extra in self.options(text, i):
+                for out, extra in options:
                     if not out:
                         key, total, way = (a, b), cost + extra, path
                     else:
@@ -167,20 +190,6 @@ class Restorer:
         return "".join(reversed(out))
 
 
-def spaced(tokens: list[str]) -> list[str]:
-    """Runs of four or more tokens of one character, with spaces between."""
-    runs, at = [], 0
-    ones = [i for i, w in enumerate(tokens) if len(w) == 1]
-    while at < len(ones):
-        end = at + 1
-        while end < len(ones) and ones[end] == ones[end - 1] + 1:
-            end += 1
-        if end - at >= 4:
-            runs.append(" ".join(tokens[ones[at] : ones[end - 1] + 1]))
-        at = end
-    return runs
-
-
 def features(words: list[str]) -> set[str]:
     """Each word, and ``first letters`` + ``*`` of longer words."""
     return {f for w in words for f in (w, *(w[:k] + "*" for k in PREFIXES if len(w) > k))}
@@ -199,24 +208,94 @@ class Memo(dict):
         return value
 
 
-def text_features(restorer: Restorer, memo: Memo, text: str) -> set[str]:
+def piece_of(token: str) -> tuple[str, int]:
+    """A token in lower case without the signs around it that are no letters, and its size without any signs around it."""
+    token = token.lower()
+    piece = token.strip(SIGNS) or ("*" if token == "*" else "")
+    return piece, len(piece.strip(EDGE + "!")) or min(len(piece), 1)
+
+
+#: The pieces of tokens met before.
+PIECES = Memo(piece_of)
+
+
+def spaced(tokens: list[str], longest: int = 1) -> list[str]:
+    """Runs of two or more pieces of at most ``longest`` characters, not counting signs around them, with spaces between."""
+    runs, at = [], 0
+    small = [i for i, w in enumerate(tokens) if PIECES[w][1] <= longest]
+    while at < len(small):
+        end = at + 1
+        while end < len(small) and small[end] == small[end - 1] + 1:
+            end += 1
+        if end - at >= 2:
+            run = [p for p, _ in map(PIECES.__getitem__, tokens[small[at] : small[end - 1] + 1]) if p]
+            if len(run) >= 2:
+                runs.append(" ".join(run))
+        at = end
+    return runs
+
+
+def runs_of(tokens: list[str]) -> set[str]:
+    """Runs of pieces of at most ``FRAGMENT`` characters, and the runs of single characters in them."""
+    wide = spaced(tokens, FRAGMENT)
+    return {*wide, *(run for w in wide for run in spaced(w.split()))}
+
+
+def hides(run: str) -> bool:
+    """Whether a run has more to restore than its spaces."""
+    return not run.replace(" ", "").isalpha() or Restorer.repeats(run)
+
+
+def spelled(run: str, stems: re.Pattern, names: frozenset[str] | set[str]) -> set[str]:
+    """Parts of a run that spell a rule from the beginning of a piece: up to the end of a piece, or beyond for first letters.
+
+    ``stems`` finds a rule's letters at any place; a rule never begins with another.
+    """
+    tokens = run.split()
+    pieces = [p if p.isalpha() else "\0" for p in (w.strip(EDGE + "!") for w in tokens)]
+    starts, at = {}, 0
+    ends = []
+    for i, piece in enumerate(pieces):
+        starts[at] = i
+        at += len(piece)
+        ends.append(at)
+    found = set()
+    for m in stems.finditer("".join(pieces)):
+        first, stem = starts.get(m.start()), m.group(1)
+        if first is None:
+            continue
+        last = first
+        while ends[last] < m.start() + len(stem):
+            last += 1
+        lasts = {last} if stem in names and ends[last] == m.start() + len(stem) else set()
+        if stem + "*" in names:  # one letter more at least
+            last += ends[last] == m.start() + len(stem)
+            lasts |= {k for k in (last, last + 1, last + 2, len(tokens) - 1) if k < len(tokens)}
+        found |= {" ".join(tokens[first : k + 1]) for k in lasts if k > first}
+    return found
+
+
+def feature_memos(model: np.ndarray) -> tuple[Memo, Memo]:
+    """The features of tokens, and of runs of pieces."""
+    restorer = Restorer(model)
+    return Memo(lambda w: frozenset(features(restorer.words(w)))), Memo(lambda run: frozenset(features(restorer.decode(run).split())), 50_000)
+
+
+def text_features(memo: Memo, runs: Memo, text: str) -> set[str]:
     tokens = text.split()
     found = set().union(*map(memo.__getitem__, set(tokens)))
-    for run in spaced(tokens):
-        found |= features(restorer.decode(run.lower()).split())
-    return found
+    return found.union(*map(runs.__getitem__, runs_of(tokens)))
 
 
 def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: float = 0.7, candidates: int = 4000) -> tuple[dict[str, float], float]:
     """Rules with their share of toxic texts, and the share among texts that no rule covers."""
 
     def make():
-        restorer = Restorer(model)
-        memo, counts = Memo(lambda w: frozenset(features(restorer.words(w)))), Counter()
+        memos, counts = feature_memos(model), Counter()
 
         def take(cols):
             for t, y in zip(cols["text"], cols["label"], strict=True):
-                counts.update((f, y) for f in text_features(restorer, memo, t))
+                counts.update((f, y) for f in text_features(*memos, t))
 
         def result():
             return {"feature": [f for f, _ in counts], "label": [y for _, y in counts], "n": list(counts.values())}
@@ -232,9 +311,8 @@ def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: fl
     clean = {r["feature"]: r["n"] - r["bad"] for r in top}
 
     def make_rows():
-        restorer = Restorer(model)
-        memo = Memo(lambda w: frozenset(features(restorer.words(w))))
-        return lambda cols: {"held": [sorted(number[f] for f in text_features(restorer, memo, t) & number.keys()) for t in cols["text"]]}
+        memos = feature_memos(model)
+        return lambda cols: {"held": [sorted(number[f] for f in text_features(*memos, t) & number.keys()) for t in cols["text"]]}
 
     rows = [r[0] for r in map_rows(sample.where("label = 1"), make_rows, "held array<int>").collect()]  # at most the sample's toxic rows
     covers: list[set[int]] = [set() for _ in names]
@@ -271,12 +349,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str
     rules, rest = learn_rules(labelled_sample(docs, labels, label, usable, sample, doc_id=doc_id, text=text), model)
     names = sorted(rules)
     bit = {f: 1 << i for i, f in enumerate(names)}
+    stems = re.compile("(?=(" + "|".join(sorted({re.escape(f.rstrip("*")) for f in names})) + "))") if names else None
 
     def make():
         restorer = Restorer(model)
         bits = lambda words: reduce(or_, (bit.get(f, 0) for f in features(words)), 0)
         memo = Memo(lambda w: bits(restorer.words(w)))
 
+        def joined(run: str) -> int:
+            parts = spelled(run, stems, bit.keys())
+            if hides(run):
+                parts.add(run)
+            return reduce(or_, (bits(restorer.decode(part).split()) for part in parts), 0)
+
+        runs = Memo(joined, 50_000)
+
         def found(mask: int) -> tuple[float, list[str]]:
             held = [f for f in names if mask & bit[f]]
             return (1 - float(np.prod([1 - rules[f] for f in held])) if held else rest), held
@@ -288,8 +375,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str
             for t in cols["text"]:
                 tokens = (t or "").split()
                 mask = reduce(or_, set(map(memo.__getitem__, tokens)), 0)
-                for run in spaced(tokens):
-                    mask |= bits(restorer.decode(run.lower()).split())
+                if names:
+                    for run in runs_of(tokens):
+                        mask |= runs[run]
                 value, held = outcome[mask]
                 out["score"].append(value)
                 out["rules"].append(held)

@@ -1,4 +1,5 @@
 import edge_rows
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,37 @@ def test_spaced_letters(restorer):
     assert restorer.decode("i d i o t").replace(" ", "") == "idiot"
 
 
+def test_tokens_of_signs_alone_are_decoded():
+    table, counts = T.class_table(), np.ones((27, 27, 27))
+    for word in ("ass", "the", "a", "is", "glass"):
+        c = [0, 0, *(int(table[ord(x)]) for x in word), 0]
+        for a, b, k in zip(c, c[1:], c[2:]):
+            counts[a, b, k] += 50
+    restorer = T.Restorer(np.log(counts / counts.sum(2, keepdims=True)))
+    assert restorer.words("@$$") == restorer.words('"@$$."') == ["ass"]
+    assert restorer.words("$") == restorer.words("...") == restorer.words("2262") == []
+
+
+@pytest.fixture(scope="module")
+def split_words(spark):
+    """Scores by rules on a table where 'idiot', 'stupid', 'scum' and 'fool' are toxic, of texts that hide them."""
+    plain = "some people say that you are not on time and it was a good day in the old town"
+    docs = [(i, f"{plain} {bad} {plain}") for i, bad in enumerate(["idiot", "stupid", "scum", "fool"] * 12)]
+    docs += [(100 + i, f"{plain} {good} {plain}") for i, good in enumerate(["table", "garden", "river", "the end"] * 12)]
+    labels = [(i, int(i < 100)) for i, _ in docs]
+    hidden = ["you i d i o t.", '"i d i o t', "i d i o t!", "'i d i o t'", "the s c u m, they", "you st up id.", '("st up id")', "s-c u-m", "f o ol", "you st up id"]
+    docs += [(1000 + i, t) for i, t in enumerate(hidden)] + [(2000, plain), (2001, "it is on me to do it as it was"), (2002, "12 345 67 8 9 10 11")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = T.score_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)).collect()
+    return hidden, {r.doc_id: r for r in rows}
+
+
+def test_words_in_pieces_at_ends_of_sentences_and_in_quotes(split_words):
+    hidden, rows = split_words
+    assert [t for i, t in enumerate(hidden) if rows[1000 + i].score < 0.3] == []
+    assert all(rows[i].score < 0.3 and not rows[i].rules for i in (2000, 2001, 2002))
+
+
 def test_edges(spark):
     docs, labels = edge_rows.documents(spark), edge_rows.labels(spark)
     n = len(edge_rows.ROWS)
