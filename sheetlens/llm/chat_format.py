@@ -12,7 +12,9 @@ transcript, which fixes the states at all chunk borders of the best path; then e
 borders. That is the same path that Viterbi over the whole transcript finds.
 
 Defined results: a null or empty part adds no line; a transcript without lines gives no turn. The first
-line always begins a turn. Parts of equal number (repeated rows) stand in the order of their text.
+line always begins a turn. Parts of equal number (repeated rows) stand in the order of their text. Parts
+without number stand before all others: up to ``PARTS`` of a transcript in the order of their text, more in cells
+of about ``PARTS`` by a hash, each in that order. Labelled turns without number have no known turn before them.
 Ties of paths go to the state listed first. Rows without transcript id form one transcript of their own.
 An empty table gives an empty result. Other columns are not read.
 """
@@ -39,6 +41,8 @@ HEADER = re.compile(r"^\s*(?:#{1,4}\s*([A-Za-z]{1,15})\s*:?|<\|([A-Za-z]{1,15})\
 OTHER, NONE = len(ROLES), len(ROLES) + 1
 SIZES = (1, 20, 60, 150, 400)
 PARTS = 64
+#: Chunks of parts without number begin here, below those of all numbers.
+UNNUMBERED = -(1 << 60)
 S = 2 * len(ROLES)  # begin states, then inside states
 
 #: P(marker | state): a beginning nearly always shows its own marker, an inner line hardly ever one.
@@ -62,19 +66,22 @@ def size_class(text: str) -> int:
 def learn(turns: DataFrame, key: str, order: str, role: str, text: str) -> dict[str, np.ndarray]:
     """Counts over all labelled turns: which role follows which, and the sizes of lines by role."""
     rows = turns.where(F.col(role).isin(*ROLES)).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(role).alias("r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    follow = rows.withColumn("before", F.lag("r").over(Window.partitionBy("k", F.floor(F.col("o") / PARTS)).orderBy("o", "r", "t"))).groupBy("before", "r").count().collect()
+    follow = rows.where("o IS NOT NULL").withColumn("before", F.lag("r").over(Window.partitionBy("k", F.floor(F.col("o") / PARTS)).orderBy("o", "r", "t"))).groupBy("before", "r").count().collect()
     start, step = np.ones(3), np.ones((3, 3))
     for before, r, n in follow:
         if before is None:
             start[ROLES.index(r)] += n
         else:
             step[ROLES.index(before), ROLES.index(r)] += n
+    alone = np.zeros(3)
+    for r, n in rows.where("o IS NULL").groupBy("r").count().collect():
+        alone[ROLES.index(r)] += n
     line = rows.select("r", F.explode(F.split("t", "\n")).alias("line"))
     size = sum(((F.length("line") >= s).cast("int") for s in SIZES[1:]), (F.length("line") >= SIZES[0]).cast("int"))
     sizes = np.ones((3, len(SIZES) + 1))
     for r, s, n in line.groupBy("r", size.alias("s")).count().collect():
         sizes[ROLES.index(r), s] += n
-    turns_of = step.sum(0) + start
+    turns_of = step.sum(0) + start + alone
     lines_of = sizes.sum(1)
     return {"start": start / start.sum(), "step": step / step.sum(1, keepdims=True), "sizes": sizes / lines_of[:, None], "stay": np.clip(1 - turns_of / np.maximum(lines_of, turns_of + 1), 0.05, 0.95)}
 
@@ -124,6 +131,18 @@ class Model:
         return states[::-1]
 
 
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """``rows(key, part, text)`` with their chunk. Parts without number are dealt to cells, equal texts in pieces of ``PARTS``."""
+    numbered = rows.where("part IS NOT NULL").withColumn("chunk", F.floor(F.col("part") / PARTS))
+    texts = rows.where("part IS NULL").groupBy("key", "text").agg(F.count("*").alias("n"))
+    cells = texts.groupBy("key").agg(F.ceil(F.sum("n") / PARTS).alias("cells")).withColumnRenamed("key", "k")
+    pieces = texts.join(cells, F.col("key").eqNullSafe(F.col("k"))).select("key", "text", "n", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PARTS))).alias("piece"))
+    cell = F.pmod(F.xxhash64("text", "piece"), "cells")
+    copies = F.array_repeat("text", F.least(F.lit(PARTS).cast("long"), F.col("n") - F.col("piece") * PARTS).cast("int"))
+    unnumbered = pieces.select("key", F.lit(None).cast("long").alias("part"), F.explode(copies).alias("text"), (cell + F.lit(UNNUMBERED)).alias("chunk"))
+    return numbered.unionByName(unnumbered)
+
+
 def format_chats(parts: DataFrame, counts: dict[str, np.ndarray], key: str = "conv_id", order: str = "part", text: str = "text") -> DataFrame:
     """(key, chunk, turn, role, text, rendered): one row per turn, or per chunk that a turn runs through.
 
@@ -131,7 +150,7 @@ def format_chats(parts: DataFrame, counts: dict[str, np.ndarray], key: str = "co
     """
     kind = parts.schema[key].dataType.simpleString()
     rows = parts.select(F.col(key).alias("key"), F.col(order).cast("long").alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    chunks = rows.groupBy("key", F.floor(F.col("part") / PARTS).alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]).alias("parts"))
+    chunks = in_chunks(rows).groupBy("key", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]).alias("parts"))
     alone = Window.partitionBy("key")
 
     def lines_of(texts: list[str]) -> list[str]:

@@ -49,6 +49,21 @@ def test_edges(spark):
     assert C.format_chats(df.where(F.lit(False)), counts).count() == 0
 
 
+def test_parts_without_number(spark):
+    turns = [(1, None, "user", "early"), (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, None, "user", "only"), (None, None, "user", "no id")]
+    counts = C.learn(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), "conv_id", "turn", "role", "text")
+    rows = [(1, None, "User: early"), (1, 0, "User: hi"), (1, 1, "Bot: yo"), (2, None, "Bot: only"), (None, None, "User: no id"), (4, None, None)]
+    rows += [(3, None, "User: same")] * 150 + [(3, None, f"Bot: answer {i}") for i in range(150)] + [(3, 0, "User: end")]
+    got = C.format_chats(spark.createDataFrame(rows, "conv_id long, part long, text string"), counts).collect()
+    assert [(r.turn, r.role, r.text) for r in sorted(got, key=lambda r: r.turn) if r.conv_id == 1] == [(0, "user", "early"), (1, "user", "hi"), (2, "assistant", "yo")]
+    assert sorted((r.conv_id or 0, r.turn, r.role, r.text) for r in got if r.conv_id in (None, 2, 4)) == [(0, 0, "user", "no id"), (2, 0, "assistant", "only")]
+    many = sorted((r for r in got if r.conv_id == 3), key=lambda r: r.turn)
+    assert [r.turn for r in many] == list(range(301))
+    assert many[-1].text == "end"
+    assert sum(r.text == "same" for r in many) == 150
+    assert len({r.chunk for r in many}) > 4
+
+
 def test_markers():
     for line, role in (("User: a", 1), ("### Assistant\n", 2), ("[Human] x", 1), ("<|system|> y", 0), ("**Q:** z", 1), ("Dave: hm", C.OTHER), ("plain text", C.NONE), ("", C.NONE)):
         assert C.read_line(line.strip("\n"))[0] == role, line
