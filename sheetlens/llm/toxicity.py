@@ -15,8 +15,8 @@ toxic texts that the rules before it leave (a text is left until ``COVERS`` rule
 that only keep company with true rules are hardly taken. A text's score is ``1 - product(1 - p)`` over the rules it holds, with p the smoothed
 share of toxic texts; without any it is the share among the sample's texts without any.
 
-``sample`` bounds the labelled rows that the rules are fitted on; the character counts and the
-scores cover all rows.
+``sample`` bounds the labelled rows that the rules are fitted on, and so the candidates for rules; each distinct
+text of the sample counts once. The character counts and the scores cover all rows.
 
 Defined results: null and empty texts get the score of a text without rules. Without labelled
 rows every score is 0. Rows are scored one by one: repeated rows get equal scores, and other
@@ -29,13 +29,14 @@ import re
 import unicodedata
 from collections import Counter
 from functools import reduce
+from heapq import heapify, heappop, heappush
 from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_tasks, labelled_sample, map_rows
+from .common import fold_tasks, labelled_sample, map_rows, saved
 
 #: Letters that a sign may stand for.
 LEET = {
@@ -287,8 +288,9 @@ def text_features(memo: Memo, runs: Memo, text: str) -> set[str]:
     return found.union(*map(runs.__getitem__, runs_of(tokens)))
 
 
-def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: float = 0.7, candidates: int = 4000) -> tuple[dict[str, float], float]:
-    """Rules with their share of toxic texts, and the share among texts that no rule covers."""
+def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: float = 0.7) -> tuple[dict[str, float], float]:
+    """Rules with their share of toxic texts, and the share among texts that no rule covers. Each distinct text counts once."""
+    sample = saved(sample.groupBy("text").agg(F.max("label").alias("label")), "distinct")
 
     def make():
         memos, counts = feature_memos(model), Counter()
@@ -304,7 +306,9 @@ def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: fl
 
     counted = fold_tasks(sample, make, "feature string, label int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    top = counted.where((F.col("bad") >= least) & (F.col("bad") >= purity * F.col("n"))).orderBy(F.desc("bad"), F.length("feature"), "feature").limit(candidates).collect()
+    # a gain below ``least`` at the start never rises
+    pure = (F.col("bad") >= purity * F.col("n")) & (F.col("bad") - 2 * (F.col("n") - F.col("bad")) >= least)
+    top = counted.where(pure).orderBy(F.desc("bad"), F.length("feature"), "feature").collect()  # words of at least ``least`` rows of the sample
     total = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     names = [r["feature"] for r in top]
     number = {f: i for i, f in enumerate(names)}
@@ -321,20 +325,29 @@ def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: fl
             covers[f].add(i)
     prior = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
     need, rules = dict.fromkeys(range(len(rows)), COVERS), {}
-    open_ = set(range(len(names)))
-    while open_:
-        gain = {f: sum(i in need for i in covers[f]) - 2 * clean[names[f]] for f in open_}
-        best = max(open_, key=lambda f: (gain[f], -f))
-        if gain[best] < least:
-            break
-        bad, stem = len(covers[best]), names[best].rstrip("*")
+    stems: list[str] = []
+    # gains only fall, so the first candidate whose gain is still what it was is the best
+    queue = [(2 * clean[name] - len(covers[f]), f) for f, name in enumerate(names)]
+    heapify(queue)
+    while queue:
+        was, best = heappop(queue)
+        stem = names[best].rstrip("*")
+        # words and prefixes of one family say the same
+        if any(s.startswith(stem) or stem.startswith(s) for s in stems):
+            continue
+        gain = sum(i in need for i in covers[best]) - 2 * clean[names[best]]
+        if gain < least:
+            continue
+        if gain < -was:
+            heappush(queue, (-gain, best))
+            continue
+        bad = len(covers[best])
         rules[names[best]] = (bad + prior) / (bad + clean[names[best]] + 1)
+        stems.append(stem)
         for i in covers[best] & need.keys():
             need[i] -= 1
             if not need[i]:
                 del need[i]
-        # words and prefixes of one family say the same
-        open_ = {f for f in open_ if not (names[f].startswith(stem) or stem.startswith(names[f].rstrip("*")))}
     held = {i for f, name in enumerate(names) if name in rules for i in covers[f]}
     rest = len(rows) - len(held)
     return rules, min(rest / max(1, sum(total.values()) - len(held)), 0.25)

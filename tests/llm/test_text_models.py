@@ -80,8 +80,8 @@ def test_tokens_of_signs_alone_are_decoded():
 def split_words(spark):
     """Scores by rules on a table where 'idiot', 'stupid', 'scum' and 'fool' are toxic, of texts that hide them."""
     plain = "some people say that you are not on time and it was a good day in the old town"
-    docs = [(i, f"{plain} {bad} {plain}") for i, bad in enumerate(["idiot", "stupid", "scum", "fool"] * 12)]
-    docs += [(100 + i, f"{plain} {good} {plain}") for i, good in enumerate(["table", "garden", "river", "the end"] * 12)]
+    docs = [(i, f"{plain} {bad} {plain} {i}") for i, bad in enumerate(["idiot", "stupid", "scum", "fool"] * 12)]
+    docs += [(100 + i, f"{plain} {good} {plain} {i}") for i, good in enumerate(["table", "garden", "river", "the end"] * 12)]
     labels = [(i, int(i < 100)) for i, _ in docs]
     hidden = ["you i d i o t.", '"i d i o t', "i d i o t!", "'i d i o t'", "the s c u m, they", "you st up id.", '("st up id")', "s-c u-m", "f o ol", "you st up id"]
     docs += [(1000 + i, t) for i, t in enumerate(hidden)] + [(2000, plain), (2001, "it is on me to do it as it was"), (2002, "12 345 67 8 9 10 11")]
@@ -96,6 +96,19 @@ def test_words_in_pieces_at_ends_of_sentences_and_in_quotes(split_words):
     assert all(rows[i].score < 0.3 and not rows[i].rules for i in (2000, 2001, 2002))
 
 
+def test_copies_of_a_long_toxic_text_do_not_push_out_other_rules(spark):
+    letters = "bcdfghklmnprstvz"
+    long = " ".join(f"{a}a{b}e{c}o{a}i" for a in letters[:11] for b in letters for c in letters[:10])  # 1,760 words
+    plain = "it was a good day in the old town"
+    docs = [(i, long) for i in range(30)]
+    docs += [(100 + i, f"{plain} {'idiot' if i % 2 else 'garden'} {i}") for i in range(24)] + [(900, "what an idiot he was")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100 or i % 2)) for i, _ in docs if i < 900], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in T.score_toxicity(df, labels, F.lit(True)).collect()}
+    assert rows[900].score >= 0.3
+    assert rows[900].rules
+
+
 def test_edges(spark):
     docs, labels = edge_rows.documents(spark), edge_rows.labels(spark)
     n = len(edge_rows.ROWS)
