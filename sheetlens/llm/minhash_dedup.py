@@ -6,7 +6,10 @@ reached it first. The share of equal registers estimates the probability Jaccard
 two texts. A shingle's process ends as soon as its time is past the latest first arrival of all
 registers, so long texts stop after a few arrivals a shingle.
 
-Registers are grouped into ``BANDS`` bands of ``ROWS``; at similarity 0.8 a pair shares a band with
+A text in which a shingle repeats has a second set of registers, with rate 1 for each distinct shingle; their share
+of equal ones estimates the plain Jaccard similarity. For other texts both sets are the same.
+
+Registers, of both sets, are grouped into ``BANDS`` bands of ``ROWS``; at similarity 0.8 a pair shares a band with
 probability 0.998. Candidates are verified exactly: two texts are linked if their probability
 Jaccard similarity, or the Jaccard similarity of their sets of shingles, is at least the threshold.
 
@@ -145,8 +148,16 @@ def similarity(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) ->
     return float((1 / total).sum()), plain
 
 
+def equal_registers(a: np.ndarray, plain_a: np.ndarray, b: np.ndarray, plain_b: np.ndarray) -> np.ndarray:
+    """Equal registers of texts, by counts or by distinct shingles, whichever are more."""
+    return np.maximum((a == b).sum(-1), (plain_a == plain_b).sum(-1))
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, key of the text's words (null without words), band keys, and 16 bits of each register."""
+    """doc_id, key of the text's words (null without words), band keys, and 16 bits of each register.
+
+    ``plain`` are the registers of the distinct shingles, null where no shingle repeats.
+    """
 
     def make():
         def sketch(cols):
@@ -155,16 +166,23 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             some = [i for i, w in enumerate(words) if w]
             bands: list = [None] * len(words)
             short: list = [None] * len(words)
+            plain: list = [None] * len(words)
             if some:
-                signature = registers([shingles(words[i]) for i in some])
+                sets = [shingles(words[i]) for i in some]
+                signature = registers(sets)
                 for i, b, s in zip(some, band_keys(signature), (signature >> U(48)).astype("<u2"), strict=True):
                     bands[i], short[i] = b.tolist(), s.tobytes()
-            return {"doc_id": cols["doc_id"], "text_key": keys, "bands": bands, "registers": short}
+                repeat = [(i, items) for i, (items, counts) in zip(some, sets, strict=True) if (counts > 1).any()]
+                if repeat:
+                    signature = registers([(items, np.ones(len(items), np.int64)) for _, items in repeat])
+                    for (i, _), b, s in zip(repeat, band_keys(signature), (signature >> U(48)).astype("<u2"), strict=True):
+                        bands[i], plain[i] = sorted({*bands[i], *b.tolist()}), s.tobytes()
+            return {"doc_id": cols["doc_id"], "text_key": keys, "bands": bands, "registers": short, "plain": plain}
 
         return sketch
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_rows(rows, make, "doc_id long, text_key binary, bands array<long>, registers binary", rows=500)
+    return map_rows(rows, make, "doc_id long, text_key binary, bands array<long>, registers binary, plain binary", rows=500)
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -212,13 +230,17 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
 
     def make_likely():
         def likely(cols):
-            a, b = (np.frombuffer(b"".join(cols[f"registers_{s}"]), "<u2").reshape(-1, REGISTERS) for s in "ab")
-            keep = np.flatnonzero((a == b).sum(1) >= least).tolist()
+            sides = []
+            for s in "ab":
+                counted = cols[f"registers_{s}"]
+                for entries in (counted, [p or r for p, r in zip(cols[f"plain_{s}"], counted, strict=True)]):
+                    sides.append(np.frombuffer(b"".join(entries), "<u2").reshape(-1, REGISTERS))
+            keep = np.flatnonzero(equal_registers(*sides) >= least).tolist()
             return {k: [cols[k][i] for i in keep] for k in ("a", "b")}
 
         return likely
 
-    return map_rows(sided(pairs, nodes.select("node", "registers")), make_likely, "a long, b long", rows=5000)
+    return map_rows(sided(pairs, nodes.select("node", "registers", "plain")), make_likely, "a long, b long", rows=5000)
 
 
 def lowest_share(a: np.ndarray, b: np.ndarray) -> float:
@@ -228,7 +250,7 @@ def lowest_share(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def likely_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Of ``members(key, node, root, top, registers, lowest, low_counts, weighted)``, likely pairs (a, b) of one key and different roots.
+    """Of ``members(key, node, root, top, registers, plain, lowest, low_counts, weighted)``, likely pairs (a, b) of one key and different roots.
 
     Blocks of a key's members outside its ``top`` component meet blocks of all its members, and a
     task compares the registers of two blocks at a time, then the smallest hashes, which for most texts are all. So neither a row for each pair is made, nor
@@ -237,7 +259,7 @@ def likely_across(members: DataFrame, threshold: float) -> DataFrame:
     least = least_equal(threshold)
     sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
     cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    entry = F.struct("node", "root", "registers", "lowest", "low_counts", "weighted")
+    entry = F.struct("node", "root", "registers", "plain", "lowest", "low_counts", "weighted")
     near = threshold - 4 * (threshold * (1 - threshold) / LOWEST) ** 0.5
     every = saved(cut.groupBy("key", "top", "block").agg(F.collect_list(entry).alias("all")), "all")  # BLOCK members, more or less
     few = saved(every.select("key", F.filter("all", lambda x: x["root"] != F.col("top")).alias("few")).where("size(few) > 0"), "few")
@@ -245,7 +267,8 @@ def likely_across(members: DataFrame, threshold: float) -> DataFrame:
     def make():
         def arrays(rows):
             sets = [(np.frombuffer(r["lowest"], "<u4"), np.frombuffer(r["low_counts"], "<u4").astype(np.int64), r["weighted"]) for r in rows]
-            return (np.array([r["node"] for r in rows]), np.array([r["root"] for r in rows]), np.frombuffer(b"".join(r["registers"] for r in rows), "<u2").reshape(-1, REGISTERS), sets)
+            counted, plain = (np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in ([r["registers"] for r in rows], [r["plain"] or r["registers"] for r in rows]))
+            return (np.array([r["node"] for r in rows]), np.array([r["root"] for r in rows]), counted, plain, sets)
 
         def passes(a, b) -> bool:
             if len(a[0]) < LOWEST and len(b[0]) < LOWEST:
@@ -255,11 +278,11 @@ def likely_across(members: DataFrame, threshold: float) -> DataFrame:
         def compare(cols):
             out = {"a": [], "b": []}
             for few, every, top in zip(cols["few"], cols["all"], cols["top"], strict=True):
-                a, root_a, sig_a, low_a = arrays(few)
-                b, root_b, sig_b, low_b = arrays(every)
+                a, root_a, sig_a, plain_a, low_a = arrays(few)
+                b, root_b, sig_b, plain_b, low_b = arrays(every)
                 for i in range(len(a)):
                     want = np.flatnonzero((root_b != root_a[i]) & ((root_b == top) | (b > a[i])))
-                    hits = [j for j in want[(sig_b[want] == sig_a[i]).sum(1) >= least] if passes(low_a[i], low_b[j])]
+                    hits = [j for j in want[equal_registers(sig_a[i], plain_a[i], sig_b[want], plain_b[want]) >= least] if passes(low_a[i], low_b[j])]
                     out["a"] += np.minimum(b[hits], a[i]).tolist()
                     out["b"] += np.maximum(b[hits], a[i]).tolist()
             return out
@@ -292,7 +315,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """(doc_id, class_id) of every row: class_id is the smallest doc_id of the row's near-duplicate class."""
     known = saved(sketches(docs, doc_id, text), "sketches")
     worded = known.where(F.col("text_key").isNotNull())
-    nodes = worded.groupBy("text_key").agg(F.max("doc_id").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    nodes = worded.groupBy("text_key").agg(F.max("doc_id").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("plain").alias("plain"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
     heads = saved(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1"), "heads")
@@ -307,7 +330,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     placed = saved(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed_keys = saved(sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1").select("key", F.col("top.root").alias("top")), "mixed")
-    rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers"), "node").join(sets.select("node", "lowest", "low_counts", "weighted"), "node"), "rest")
+    rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers", "plain"), "node").join(sets.select("node", "lowest", "low_counts", "weighted"), "node"), "rest")
     more = likely_across(rest, threshold).join(pairs, ["a", "b"], "left_anti")
     found = verified(more, sets, threshold)
     roots = saved(connected_components(links.unionByName(found)), "roots")

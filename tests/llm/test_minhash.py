@@ -39,6 +39,18 @@ def test_classes_equal_brute_force(spark, sf001):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
 
 
+def test_texts_with_a_much_repeated_line(spark):
+    rng, rows = np.random.default_rng(3), []
+    for pair in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 220)]
+        text, line = " ".join(words[:200]), " ".join(words[200:])
+        rows += [(2 * pair, text), (2 * pair + 1, " ".join([text, *[line] * (10 if pair % 2 else 30)]))]
+    want = brute(rows)
+    assert {want[2 * p + 1] for p in range(20)} == {2 * p for p in range(20)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in M.near_duplicate_classes(docs).collect()} == want
+
+
 def test_edges(spark):
     got = sorted(((r.doc_id or 0), r.class_id or 0) for r in M.near_duplicate_classes(edge_rows.documents(spark)).collect())
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 8), (10, 10), (11, 11)]
