@@ -18,9 +18,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or on a single machine one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         app = spark.sparkContext.applicationId
         path = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return path.rstrip("/")
@@ -57,8 +59,8 @@ def unused_name(df: DataFrame, stem: str) -> str:
 
 
 def crc_mod(col: str, n: int) -> Column:
-    """crc32 of an id written as text, modulo ``n`` (null for a null id)."""
-    return F.crc32(F.col(col).cast("string")) % F.lit(n)
+    """crc32 of an id written as text, modulo ``n``; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(col).cast("string")) % F.lit(n), F.lit(-1))
 
 
 def hash_unit(col: Column | str, seed: int) -> Column:
@@ -66,21 +68,20 @@ def hash_unit(col: Column | str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def bounded_sample(rows: DataFrame, key: str, bound: int, seed: int = 7, by: str | None = None) -> DataFrame:
-    """About ``bound`` rows (per value of ``by``), chosen by a seeded hash of ``key``.
+def bounded_sample(rows: DataFrame, key: list[str], bound: int, seed: int = 7, by: str | None = None) -> DataFrame:
+    """About ``bound`` rows (per value of ``by``), chosen by a seeded hash of the columns ``key``.
 
     The rate is ``bound / rows counted``, so the expected size never exceeds ``bound`` whatever
-    the size of the table; all rows are taken where there are fewer.
+    the size of the table; all rows are taken where there are fewer. Rows that agree in ``key`` are taken
+    together, so callers that collect name enough columns and drop equal rows.
     """
+    unit = hash_unit(F.struct(*key), seed)
     if by is None:
         n = rows.count()
-        rate = F.lit(1.0 if n <= bound else bound / n)
-    else:
-        counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
-        rate = F.lit(0.0)
-        for value, n in counts.items():
-            rate = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(1.0 if n <= bound else bound / n)).otherwise(rate)
-    return rows.where(hash_unit(F.col(key).cast("string"), seed) < rate)
+        return rows if n <= bound else rows.where(unit < bound / n)
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    counted = rows.join(counts, F.col(by).eqNullSafe(F.col("_by")))
+    return counted.where(unit * F.col("_n") < F.lit(float(bound))).drop("_by", "_n")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, chars: int = 8_000_000) -> Iterator[dict[str, list]]:
@@ -117,15 +118,17 @@ def fold_tasks(df: DataFrame, make: Callable[[], tuple[Callable[[dict[str, list]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, bound: int, label_id: str = "doc_id", doc_id: str = "doc_id", text: str = "text", seed: int = 5) -> DataFrame:
-    """(text, label) of about ``bound`` labelled rows, written to the shared folder.
+    """(text, label) of about ``bound`` distinct labelled texts, written to the shared folder; a text labelled both ways has label 1.
 
     ``usable`` is a condition on the labels' rows. The ids of the sample are broadcast, which
-    ``bound`` keeps small; so texts are not shuffled to meet their labels.
+    ``bound`` keeps small; so texts are not shuffled to meet their labels. Ids that repeat bring more rows, so the
+    distinct texts are bounded once more.
     """
-    known = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(label_id).alias("_id"), F.col(label).cast("int").alias("label"))
-    ids = bounded_sample(known, "_id", bound, seed).groupBy("_id").agg(F.max("label").alias("label"))
+    known = labels.where(usable & F.col(label).isin(0, 1)).groupBy(F.col(label_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
+    ids = bounded_sample(known, ["_id"], bound, seed)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return saved(rows.join(F.broadcast(ids), "_id").select("text", "label"), "sample")
+    texts = saved(rows.join(F.broadcast(ids), "_id").groupBy("text").agg(F.max("label").alias("label")), "sample")
+    return bounded_sample(texts, ["text"], bound, seed)
 
 
 def kept_rows(df: DataFrame, text: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], least: float | None = None, below: float | None = None, rows: int = 1000) -> DataFrame:

@@ -21,9 +21,9 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def sample_matrix(rows: DataFrame, key: str, vector: str, bound: int) -> np.ndarray:
-    """About ``bound`` vectors of the most common length, in the order of their values; (0, 0) if there are none."""
-    got = [np.array(r[0], float) for r in bounded_sample(rows, key, bound, seed=3).select(F.col(vector).cast("array<double>")).collect()]
+def sample_matrix(rows: DataFrame, vector: str, bound: int) -> np.ndarray:
+    """About ``bound`` distinct vectors of the most common length, in the order of their values; (0, 0) if there are none."""
+    got = [np.array(r[0], float) for r in bounded_sample(rows, [vector], bound, seed=3).select(F.col(vector).cast("array<double>")).distinct().collect()]
     if not got:
         return np.zeros((0, 0))
     sizes = [len(v) for v in got]

@@ -1,6 +1,13 @@
 import os
 import sys
 
+import pytest
+
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "")])
+
+
+@pytest.fixture(scope="session")
+def sf1():
+    return "/root/testdata/sf0.1"

@@ -2,9 +2,15 @@ import re
 
 import edge_rows
 
-from sheetlens.llm import license_scan as S
-from sheetlens.llm.queries import op10_license_scan
-from sheetlens.llm.common import documents
+import sys
+
+sys.path.insert(0, edge_rows.__file__.rsplit("/", 2)[0])
+
+from oracle import check  # noqa: E402
+
+from sheetlens.llm import license_scan as S  # noqa: E402
+from sheetlens.llm.common import documents  # noqa: E402
+from sheetlens.llm.queries import ORACLE_SQL, op10_license_scan  # noqa: E402
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -44,3 +50,30 @@ def test_edges(spark):
     assert got[8, 12].labels == ["gpl-3"]
     assert got[9, 4].labels == []
     assert S.scan_licenses(edge_rows.documents(spark, [])).count() == 0
+
+
+def test_query_equals_its_sql(spark, sf01, tmp_path):
+    assert check(op10_license_scan(spark, sf01), ORACLE_SQL["op10_license_scan"], sf01, tmp_path) > 0
+
+
+def index(**parameters):
+    words = {w for _, t, _ in S.TEMPLATES for w in t.encode().split()} | {w for p in S.PHRASES for w in p.encode().split()}
+    return S.RareTokenIndex(dict.fromkeys(words, 1.0) | {b"the": 0.1, b"of": 0.1, b"and": 0.1, b"in": 0.1, b"use": 0.2}, **parameters)
+
+
+def test_starts_are_intersected():
+    """A key phrase whose template's rarer words stand elsewhere in the file is no notice; without the intersection it would be one."""
+    scattered = "permitted modification without binary forms following redistribution and use in source and binary forms".encode().split()
+    notice = S.TEMPLATES[1][1].encode().split()
+    assert index().scan(notice)[2] == {"bsd"}
+    assert index().scan(scattered)[2] == set()
+    assert index(agree=1).scan(scattered)[2] == {"bsd"}
+    assert index().scan("see the mozilla public license for more".encode().split())[2] == set()
+    assert index(agree=1).scan("see the mozilla public license for more".encode().split())[2] == {"mpl-2"}
+
+
+def test_the_number_of_rare_words_matters():
+    """With few looked-up words, rare words that stand elsewhere hide a notice that lacks its end."""
+    words = "permitted modification without redistribution and use in source and binary forms with or".encode().split()
+    assert index(rare=4).scan(words)[2] == set()
+    assert index(rare=8).scan(words)[2] == {"bsd"}
