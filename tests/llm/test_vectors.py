@@ -1,9 +1,26 @@
-import numpy as np
+import sys
 
-from sheetlens.llm.embedding_dedup import linked_vectors
-from sheetlens.llm.topk_search import product, top_k
+import edge_rows
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, edge_rows.__file__.rsplit("/", 2)[0])
+
+from oracle import check  # noqa: E402
+
+from sheetlens.llm import embedding_dedup as E  # noqa: E402
+from sheetlens.llm import topk_search as T  # noqa: E402
+from sheetlens.llm.embedding_dedup import linked_vectors  # noqa: E402
+from sheetlens.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
+from sheetlens.llm.topk_search import product, top_k  # noqa: E402
+
+
+@pytest.mark.parametrize("name", ["op4_embedding_dedup", "op7_topk_search"])
+def test_queries_equal_their_sql(spark, sf1, tmp_path, name):
+    """On all vectors of the largest table, so every link and every rank of brute force is found."""
+    assert check(QUERIES[name](spark, sf1), ORACLE_SQL[name], sf1, tmp_path) > 0
+
 
 def vectors(spark):
     """Clusters of near copies around the threshold, exact copies, and odd rows."""
@@ -42,16 +59,46 @@ def test_links_and_components(spark):
     assert linked_vectors(df.limit(0)).count() == 0
 
 
+def brute_links(x, labels):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return ((x @ x.T >= 0.98) & (labels[:, None] == labels[None, :])).sum(1) - 1
+
+
+@pytest.mark.parametrize(("dims", "dense"), [(64, 1024), (64, 1), (64, 10**9), (16, 1024), (3, 1024)])
+def test_a_group_of_half_of_the_rows(spark, dims, dense):
+    """Half of the vectors are near copies of one; dense buckets, sparse ones and vectors of few dimensions lose no link."""
+    rng = np.random.default_rng(dims)
+    base = rng.normal(size=dims)
+    x = np.concatenate([base + rng.normal(size=(400, dims)) * 0.08 * np.linalg.norm(base) / dims**0.5, rng.normal(size=(400, dims))])
+    labels = np.arange(800) % 2
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in linked_vectors(df, dense=dense).collect()}
+    want = brute_links(x, labels)
+    found, there = sum(got.values()), int(want.sum())
+    assert all(got[i] <= want[i] for i in got)
+    assert found >= 0.99 * there
+
+
+def test_few_dimensions_do_not_meet_all(spark):
+    rng = np.random.default_rng(0)
+    coded = E.encode(E.unit_rows(rng.normal(size=(1500, 16))), E.learn_codes(rng.normal(size=(1500, 16))))
+    parts = E.masks(E.TABLES)
+    for first, width in parts:
+        part = (coded.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << width) - 1)
+        assert np.unique(part, return_counts=True)[1].max() <= 150
+
+
 def test_top_k(spark):
     rows, df = vectors(spark)
-    rows = [(i, [np.floor(256 * x) for x in v]) for i, v, _ in rows if usable(v)]
-    assert max(abs(x) for _, v in rows for x in v) > 1e300
-    df = df.where("NOT exists(coalesce(embedding, array()), x -> abs(x) > 1e200)")
-    rows = [(i, v) for i, v in rows if max(map(abs, v)) < 1e200]
+    whole = lambda x: min(max(int(np.floor(x * 256)) if abs(x) < 1e300 else int(x) * 256, -(2**63)), 2**63 - 1)
+    rows = [(i, [whole(x) for x in v]) for i, v, _ in rows if usable(v)]
+    assert max(abs(x) for _, v in rows for x in v) == 2**63 - 1
+    rows.append((5000, [0] * 24))
+    df = df.unionByName(spark.createDataFrame([(5000, [0.0] * 24, 1, 9, "x")], df.schema))
     want = []
     for q, x in rows:
         if q % 50 == 0:
-            scores = sorted((-int(sum(a * b for a, b in zip(x, y))), j) for j, y in rows if j != q)[:5]
+            scores = sorted((-min(max(sum(a * b for a, b in zip(x, y)), -(2**63)), 2**63 - 1), j) for j, y in rows if j != q)[:5]
             want += [(q, k, j, -s) for k, (s, j) in enumerate(scores, 1)]
     got = [tuple(r) for r in top_k(df, F.col("vec_id") % 50 == 0).collect()]
     assert sorted(got) == sorted(want)
@@ -59,6 +106,28 @@ def test_top_k(spark):
     assert top_k(df, F.lit(False)).count() == 0
 
 
+def test_top_k_skips_blocks(spark, monkeypatch):
+    """Clustered vectors in many small blocks, groups and chunks: the same rows, and most blocks are not scored."""
+    for name, v in (("BLOCK", 20), ("GROUP", 8), ("CHUNK", 16), ("SALTED", 2)):
+        monkeypatch.setattr(T, name, v)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(30, 16)), 50, axis=0) * 3 + rng.normal(size=(1500, 16)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scored, plain = [], T.saved
+    monkeypatch.setattr(T, "saved", lambda d, label: scored.append((label, plain(d, label))) or scored[-1][1])
+    n = {}
+    monkeypatch.setattr(T, "discard", lambda *tables: n.update({label: d.count() for label, d in scored if label in ("first", "again", "blocks")}))
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0).collect())
+    q = np.floor(256 * x)
+    want = []
+    for i in range(0, 1500, 10):
+        s = q @ q[i]
+        best = sorted((j for j in range(1500) if j != i), key=lambda j: (-s[j], j))[:5]
+        want += [(i, k, j, int(s[j])) for k, j in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert n["first"] + n["again"] < 0.35 * 150 * n["blocks"]
+
+
 def test_large_products_are_exact():
     a = np.array([[2.0**40, 1.0]])
     assert int(product(a, np.array([[2.0**20, 1.0]]))[0, 0]) == 2**60 + 1
