@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import format_chats, learn
+from . import chat_sql, embedding_dedup, license_scan, topk_search
+from .chat_format import ROLES, format_chats, learn
 from .common import crc_mod, documents
 from .embedding_dedup import linked_vectors
 from .language_id import identify_language
@@ -24,7 +25,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(documents(spark, sf_dir)).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return near_duplicate_classes(documents(spark, sf_dir)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
 MIX_FRACTION = 0.5
@@ -40,7 +41,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,21 +49,39 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rules")
 
 
-#: How transcripts write a turn, by conversation.
-STYLES = {
-    "system": ("System: ", "### System\n", "[SYS] ", "<|system|> ", "**Instructions:** ", "Context: "),
-    "user": ("User: ", "### User\n", "[Human] ", "<|user|> ", "**Q:** ", "Customer: "),
-    "assistant": ("Assistant: ", "### Assistant\n", "[Bot] ", "<|assistant|> ", "**A:** ", "Agent: "),
-}
+#: How transcripts write a turn, by conversation: the roles' markers, and how a marker is written.
+NAMES = (("System", "User", "Assistant"), ("SYS", "Human", "Bot"), ("Instructions", "Q", "A"), ("Context", "Customer", "Agent"))
+WRITTEN = (("", ": "), ("### ", "\n"), ("[", "] "), ("<|", "|> "), ("**", ":** "))
+#: Of a hundred turns: so many have no marker, an unknown name, a misspelt one, another role's, a line inside that looks like a marker.
+MISSING, UNKNOWN, MISSPELT, SWAPPED, INNER = 8, 4, 4, 2, 6
+INNER_LINE = "\nNote: see above."
+
+
+def noise(seed: int) -> Column:
+    """A number from 0 to 99 by transcript, part and seed."""
+    digest = F.md5(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
+
+
+def inner_line() -> Column:
+    """The line that looks like a marker inside some turns; it belongs to their text."""
+    return F.when(noise(2) < INNER, F.lit(INNER_LINE)).otherwise(F.lit(""))
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
-    """conv_id, part, text: raw transcript lines of each conversation, in one of six styles."""
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(6)) + 1
-    marker = F.lit("")
-    for role, marks in STYLES.items():
-        marker = F.when(F.col("role") == role, F.element_at(F.array(*map(F.lit, marks)), style.cast("int"))).otherwise(marker)
-    return turns.select("conv_id", F.col("turn").alias("part"), F.concat(marker, F.coalesce("text", F.lit(""))).alias("text"))
+    """conv_id, part, text: raw transcripts of labelled turns, with markers that are missing, unknown, misspelt or wrong."""
+    style = F.coalesce(F.col("conv_id").cast("long"), F.lit(0))
+    number = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("long")  # from 1, 0 for none
+    u = noise(1)
+    wrong = u < MISSING + UNKNOWN + MISSPELT + SWAPPED
+    asked = F.when((u >= MISSING + UNKNOWN + MISSPELT) & wrong & (number > 0), number % 3 + 1).otherwise(number)
+    names = F.element_at(F.array(*(F.array(*map(F.lit, n)) for n in NAMES)), (F.pmod(style, F.lit(len(NAMES))) + 1).cast("int"))
+    name = F.when(asked > 0, F.try_element_at(names, asked.cast("int")))
+    name = F.when((u >= MISSING) & (u < MISSING + UNKNOWN), "Dana").when((u >= MISSING + UNKNOWN) & (u < MISSING + UNKNOWN + MISSPELT), F.concat(name, F.lit("x"))).otherwise(name)
+    at = (F.pmod(F.floor(style / len(NAMES)), F.lit(len(WRITTEN))) + 1).cast("int")
+    before, after = (F.element_at(F.array(*(F.lit(w[i]) for w in WRITTEN)), at) for i in (0, 1))
+    marker = F.when((u < MISSING) | name.isNull(), "").otherwise(F.concat(before, name, after))
+    return turns.select("conv_id", F.col("turn").alias("part"), F.concat(marker, F.coalesce("text", F.lit("")), inner_line()).alias("text"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +125,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": oracle(MIX_FRACTION)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": oracle(MIX_FRACTION),
+    "op4_embedding_dedup": embedding_dedup.ORACLE,
+    "op6_chat_formatting": chat_sql.oracle(NAMES, WRITTEN, MISSING, UNKNOWN, MISSPELT, SWAPPED, INNER, INNER_LINE),
+    "op7_topk_search": topk_search.ORACLE,
+    "op10_license_scan": license_scan.oracle(),
+}

@@ -15,8 +15,9 @@ never counts; rows that repeat its id are its own too.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without id. Vectors of another length than the most common one are padded with zeros or, if longer, searched with
-their further components among vectors that have them. Equal vectors are all candidates. An empty table, or
-no query, gives an empty result.
+their further components among vectors that have them. Integer components and scores beyond the range of a long count as
+its nearest end; such scores are equal and tie. Equal vectors are all candidates, also rows that repeat an id. Rows that repeat
+a query's id are searched each, and share the query's ranks. An empty table, or no query, gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved
+from .common import discard, map_rows, saved
 from .vectors import finite, sample_matrix
 
 BLOCK = 512
@@ -35,6 +36,8 @@ CLUSTERS = 32
 CHUNK = 256
 FIRST = 3
 GROUP = 512
+#: So many chunks of queries meet a group of blocks in one task.
+SALTED = 64
 
 
 def centres(sample: np.ndarray, k: int = CLUSTERS, rounds: int = 10) -> np.ndarray:
@@ -49,11 +52,24 @@ def centres(sample: np.ndarray, k: int = CLUSTERS, rounds: int = 10) -> np.ndarr
     return c
 
 
+LONGEST = np.iinfo(np.int64).max
+
+
+def integers(x: np.ndarray) -> np.ndarray:
+    """Doubles as Python integers in the range of a long."""
+    return np.array([min(max(int(v), -LONGEST - 1), LONGEST) for v in x.ravel()], object).reshape(x.shape)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T of integers held as doubles, exact: in doubles while no sum can pass 2^53, else in Python integers."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
+    if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
         return a @ b.T
-    return a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T
+    return integers(a) @ integers(b).T
+
+
+def in_range(s: np.ndarray) -> np.ndarray:
+    """Scores, those beyond the range of a long at its end."""
+    return s if s.dtype != object else np.minimum(np.maximum(s, -LONGEST - 1), LONGEST)
 
 
 def pack(rows: DataFrame, by: str, width: int) -> DataFrame:
@@ -85,7 +101,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
         F.col(vec_id).cast("long").alias("vec_id"), F.col("_query").alias("query"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("q"))
     size = rows.agg(F.max(F.size("q")), F.count("*"), F.count_if("query")).first()
     width, n, n_queries = size[0] or 1, size[1], size[2]
-    shared = vectors.sparkSession.sparkContext.broadcast(centres(sample_matrix(rows, "vec_id", "q", sample)))  # CLUSTERS vectors
+    shared = vectors.sparkSession.sparkContext.broadcast(centres(sample_matrix(rows, "q", sample)))  # CLUSTERS vectors
 
     def make_clusters():
         def clusters(cols):
@@ -97,23 +113,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
 
         return clusters
 
-    placed = saved(map_rows(rows, make_clusters, "vec_id long, query boolean, q array<double>, cluster int", rows=5000), "clusters")
+    placed = map_rows(rows, make_clusters, "vec_id long, query boolean, q array<double>, cluster int", rows=5000)
+    placed = saved(placed.withColumn("row", F.monotonically_increasing_id()), "clusters")  # rows of one id are dealt apart
     cuts = {r[0]: math.ceil(r[1] / BLOCK) for r in placed.groupBy("cluster").count().collect()}  # CLUSTERS rows
     most = max([1, *cuts.values()])
     split = F.element_at(F.create_map(*(F.lit(x) for c, m in sorted(cuts.items()) for x in (c, m))), F.col("cluster")) if cuts else F.lit(1)
-    block = F.col("cluster") * F.lit(most).cast("long") + F.pmod(F.xxhash64("vec_id"), split)
+    block = F.col("cluster") * F.lit(most).cast("long") + F.pmod(F.xxhash64("row"), split)
     index = saved(pack(placed.withColumn("block", block), "block", width), "blocks")
     chunks = max(1, math.ceil(n_queries / CHUNK))
-    queries = saved(pack(placed.where("query").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks))), "chunk", width), "queries")
+    queries = saved(pack(placed.where("query").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(chunks))), "chunk", width), "queries")
     groups = max(1, math.ceil(sum(cuts.values()) / GROUP))
-    summaries = saved(index.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("grp").agg(F.collect_list(F.struct("block", "high", "low")).alias("blocks")), "summaries")
-    asked = queries.select("chunk", "ids", "matrix").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
+    # chunks meet groups of blocks in as many tasks as there are groups and salts
+    salts = max(1, math.ceil(chunks / SALTED))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    grouped = index.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("grp").agg(F.collect_list(F.struct("block", "high", "low")).alias("blocks"))
+    summaries = saved(grouped.withColumn("salt", every(salts)), "summaries")
+    asked = queries.select("chunk", "ids", "matrix", F.pmod("chunk", F.lit(salts)).alias("salt")).withColumn("grp", every(groups))
 
     def bounds(cols, i):
         x = np.frombuffer(cols["matrix"][i]).reshape(-1, width)
         names = np.array([b["block"] for b in cols["blocks"][i]])
         high, low = (np.array([b[s] for b in cols["blocks"][i]]) for s in ("high", "low"))
-        return names, product(np.maximum(x, 0), high) + product(np.minimum(x, 0), low)
+        positive, negative = product(np.maximum(x, 0), high), product(np.minimum(x, 0), low)
+        if positive.dtype != negative.dtype:  # Python integers beside doubles that hold integers exactly
+            positive, negative = (m if m.dtype == object else integers(m) for m in (positive, negative))
+        return names, in_range(positive + negative)
 
     def make_best():
         def best(cols):
@@ -131,7 +155,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     def first_of(df: DataFrame, by: str, n: int, *order) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
 
-    each = map_rows(asked.join(summaries, "grp").select("chunk", "ids", "matrix", "blocks"), make_best, "query_id long, chunk long, block long, bound double", rows=4)
+    each = map_rows(asked.join(summaries, ["grp", "salt"]).select("chunk", "ids", "matrix", "blocks"), make_best, "query_id long, chunk long, block long, bound double", rows=4)
     first = saved(first_of(each, "query_id", FIRST, F.desc("bound"), "block").select("query_id", "chunk", "block"), "first")
 
     def make_scores():
@@ -143,7 +167,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                 docs, y = np.array(cols["doc_ids"][i], np.int64), np.frombuffer(cols["docs"][i]).reshape(-1, width)
                 low = dict(zip((w["query_id"] for w in cols["wanted"][i]), (w["least"] for w in cols["wanted"][i]), strict=True))
                 use = np.flatnonzero(np.isin(queries, list(low)))
-                s = product(x[use], y)
+                s = in_range(product(x[use], y))
                 for q, row in zip(queries[use].tolist(), s, strict=True):
                     ok = np.flatnonzero((docs != q) & (row >= (-np.inf if low[q] is None else low[q])))
                     best = sorted(ok.tolist(), key=lambda j: (-row[j], docs[j]))[:k]
@@ -183,7 +207,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
 
         return rest
 
-    again = map_rows(asked.join(summaries, "grp").join(done, "chunk").select("chunk", "ids", "matrix", "blocks", "state"), make_rest, "query_id long, chunk long, block long, least long", rows=4)
-    more = scored(saved(again, "again"))
+    again = map_rows(asked.join(summaries, ["grp", "salt"]).join(done, "chunk").select("chunk", "ids", "matrix", "blocks", "state"), make_rest, "query_id long, chunk long, block long, least long", rows=4)
+    again = saved(again, "again")
+    more = scored(again)
     result = first_of(so_far.drop("rank").unionByName(more), "query_id", k, *best)
-    return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    result = saved(result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top")
+    discard(placed, index, queries, summaries, first, so_far, done, again)
+    return result
+
+
+#: The query's rows as DuckDB SQL.
+ORACLE = """
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scores QUALIFY rank <= 5"""
