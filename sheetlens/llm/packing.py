@@ -12,12 +12,13 @@ reduction and the best fit run on it with multiplicities:
 * what no criterion fixes is packed by best fit, longest first, again a whole class at a time.
 
 The result is a list of slots: for a length, a range of ranks that go to consecutive sequences at
-one offset. Ranks are dealt inside (length, salt) cells and offset by the cells' counts, so a
+one offset. Ranks are dealt inside (length, salt) cells and offset by the cells' counts; salts are by row, also for equal
+rows, and there are as many as keep a cell at about ``CELL`` rows, so a
 length that a third of the pieces share is spread over many tasks. A full piece needs no rank: it is a
 sequence of its own (numbered from -1 down), which every packing shares.
 
 Defined results: a null text is an empty one (one token, the end mark). Equal lengths are
-interchangeable; their order is by salt and id and does not change the number of sequences. Rows
+interchangeable; their order is by salt and row and does not change the number of sequences. Rows
 with equal ids are packed as separate documents. An empty table packs to nothing.
 """
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, saved
 
 END = 2
-SALTS = 64
+#: So many pieces of one length are ranked in one task, about.
+CELL = 200_000
 
 
 #: Fixed value: how this vocabulary splits a text before merging bytes.
@@ -49,11 +52,12 @@ class WordIds:
     holds a space further on. So a text without runs of spaces is encoded word by word, and words that
     are new are encoded many at a time, as one text that is cut before each token with a space.
     The vocabulary's ids are its merge order, so a rank-based encoder gives the ids of the file's
-    own tokenizer; the two are compared on a probe when it is loaded.
+    own tokenizer; the two are compared on a probe when it is loaded. A text that holds one of the file's added tokens
+    (as ``<|endoftext|>``) is given to the file's tokenizer itself, which knows them.
     """
 
     LIMIT = 500_000
-    PROBE = "It's 12 words,  don't\n\tspace  <|endoftext|> d\u00e9j\u00e0 \u65e5\u672c\U0001f600 $x_1#"
+    PROBE = "It's 12 words,  don't\n\tspace  d\u00e9j\u00e0 \u65e5\u672c\U0001f600 $x_1#"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,11 +65,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         vocab = slow.get_vocab()
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*printable}))}
         special = {t.content for t in slow.get_added_tokens_decoder().values()}
+        self.slow, self.special = slow, re.compile("|".join(map(re.escape, sorted(special)))) if special else None
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
@@ -88,6 +92,16 @@ class WordIds:
                 self.known.update(zip(group, (x.tobytes() for x in self.whole([" " + w for w in group])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if self.special.search(t)] if self.special else []
+        if not marked:
+            return self.ordinary(texts)
+        out = self.ordinary(["" if self.special.search(t) else t for t in texts])
+        for i in marked:
+            out[i] = np.array(self.slow.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def ordinary(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         if len(self.known) > self.LIMIT:
             self.known.clear()
         get, known = self.known.get, self.known
@@ -250,28 +264,21 @@ def slots(plan: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
     return {s: np.array(r, np.int64) for s, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
     """All pieces with the sequence and the offset at which each stands."""
-    cut = saved(pieces(docs, tokenizer_path, capacity, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+    cut = saved(pieces(docs, tokenizer_path, capacity, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     full, rest = cut.where(F.col("length") == capacity), cut.where(F.col("length") < capacity)
-    cells = rest.groupBy("length", "salt").count().collect()  # fewer than capacity x salts rows
-    histogram: dict[int, int] = defaultdict(int)
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(tuple(r) for r in cells):
-        before[length, salt] = histogram[length]
-        histogram[length] += n
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # fewer than ``capacity`` rows
+    salts = max(16, -(-max(histogram.values(), default=0) // cell))
     plan = slots(reduce_and_fit(dict(histogram), capacity))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((before, plan))  # bounded by capacity x salts and by the plan's slots
+    shared = docs.sparkSession.sparkContext.broadcast(plan)  # bounded by ``capacity`` and by the plan's slots
 
     def make():
-        before, plan = shared.value
+        plan = shared.value
 
         def place(cols):
-            out = dict(cols)
-            length, rank = np.array(cols["length"], np.int64), np.array(cols.pop("rank"), np.int64)
+            length, rank = np.array(cols["length"], np.int64), np.array(cols["rank"], np.int64) - 1
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            rank += np.array([before[x] for x in zip(cols["length"], cols["salt"], strict=True)], np.int64) - 1
             for s in np.unique(length):
                 at = np.flatnonzero(length == s)
                 rows = plan[int(s)]
@@ -282,8 +289,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, doc_id: str
 
         return place
 
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # one row a salt
+    before = cells.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")))
     kind = docs.schema[doc_id].dataType.simpleString()
-    placed = map_rows(rest.withColumn("rank", F.row_number().over(within)), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", rows=20000)
-    alone = full.drop("salt").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rows = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "row", "before")
+    placed = map_rows(rows, make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", rows=20000)
+    alone = full.drop("row").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return placed.unionByName(alone)

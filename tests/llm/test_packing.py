@@ -14,9 +14,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    """The file's tokenizer as it is."""
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, docs, capacity=1024):
@@ -50,6 +49,10 @@ def test_pack(spark, sf01):
 
 def test_edges(spark):
     check(P.pack(edge_rows.documents(spark), PATH).collect(), [r[:2] for r in edge_rows.ROWS])
+    marked = [(1, "a <|endoftext|> b<|endoftext|>", None, None, 0), (2, "<|endoftext|>" * 1100, None, None, 0), (3, "plain text", None, None, 0), (4, "<|endoftext", None, None, 0)]
+    check(P.pack(edge_rows.documents(spark, marked), PATH).collect(), [r[:2] for r in marked])
+    equal = [(None, "the same text", None, None, 0)] * 300 + [(7, None, None, None, 0)] * 300
+    assert check(P.pack(edge_rows.documents(spark, equal), PATH, cell=10).collect(), [r[:2] for r in equal]) == (2, 2)
     assert P.pack(edge_rows.documents(spark, []), PATH).count() == 0
 
 
