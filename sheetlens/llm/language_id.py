@@ -8,8 +8,10 @@ naming a phrase) and divided by the number of characters, is the cross-parsing e
 language with the least wins. The score is ``1 - least / second least``.
 
 The automata of all languages are one transition table, and thousands of texts advance through it
-together, a character a step. Texts longer than ``CHUNK`` characters are cut into chunks that
-advance side by side, and each chunk begins a phrase anew; all chunks of the whole text count.
+together, a character a step. So that a long text needs no more steps than others, it is parsed in several places
+side by side: its streams begin every ``CHUNK`` characters and run ``OVER`` characters into the next one's. From the first character at which two
+streams both begin a phrase they are one and the same parse, so there the later stream takes over, and the phrases are those of
+the whole text's parse. Where two streams do not meet, one stream parses the whole text.
 
 Training texts are a sample: for each language at most ``chars_per_language`` characters, of about
 ``docs_per_language`` whole rows no longer than that, chosen by a seeded hash. These two parameters bound the automata and what is
@@ -34,8 +36,19 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, map_rows
 
 CHUNK = 2048
+OVER = 256
 STREAMS = 4096
-UNKNOWN = 0
+#: Symbols: a letter that no training text holds, and anything that is no letter.
+UNKNOWN, OUTSIDE = 0, 1
+_LETTER = None
+
+
+def letters() -> np.ndarray:
+    """Of every code point, whether it is a letter."""
+    global _LETTER
+    if _LETTER is None:
+        _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _LETTER
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -69,8 +82,8 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def folded(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, cut off at the end of the basic plane."""
-    return np.minimum(np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
+    """Code points of the lower-cased text."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
 
 
 class CrossParser:
@@ -79,12 +92,11 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         points = {lang: [folded(t) for t in samples[lang]] for lang in self.langs}
-        letter = np.array([chr(c).isalpha() for c in range(0x10000)])
-        self.letter = letter
+        letter = self.letter = letters()
         seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *(p for ps in points.values() for p in ps)]))
         seen = seen[letter[seen]]
-        #: symbol of each code point: 0 unknown letter, 1 anything that is no letter, then the letters seen
-        self.symbol = np.where(letter, UNKNOWN, 1).astype(np.int16)
+        #: symbol of each code point: those above, then the letters seen
+        self.symbol = np.where(letter, UNKNOWN, OUTSIDE).astype(np.int32)
         self.symbol[seen] = np.arange(2, 2 + len(seen))
         self.width = 2 + len(seen)
         tables, self.roots, self.cost, at = [], [], [], 0
@@ -107,7 +119,7 @@ class CrossParser:
     def _squeezed(symbols: np.ndarray) -> np.ndarray:
         """Runs of non-letters become one."""
         keep = np.ones(len(symbols), bool)
-        keep[1:] = (symbols[1:] != 1) | (symbols[:-1] != 1)
+        keep[1:] = (symbols[1:] != OUTSIDE) | (symbols[:-1] != OUTSIDE)
         return symbols[keep]
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,38 +129,62 @@ class CrossParser:
         lettered = np.array([bool(self.letter[p].any()) for p in points], bool)
         if not k:
             return np.zeros((n, 0)), lettered
-        chunks, owner = [], []
-        length = np.zeros(n)
-        for i, p in enumerate(points):
-            if lettered[i]:
-                s = self._squeezed(self.symbol[p])
-                length[i] = len(s)
-                for at in range(0, len(s), CHUNK):
-                    chunks.append(s[at : at + CHUNK])
-                    owner.append(i)
+        whole = {i: self._squeezed(self.symbol[p]) for i, p in enumerate(points) if lettered[i]}
+        length = np.array([len(whole.get(i, ())) for i in range(n)])
+        streams, owner = [], []
+        for i, s in whole.items():
+            for at in range(0, len(s), CHUNK):
+                streams.append(s[at : at + CHUNK + OVER])
+                owner.append(i)
         phrases = np.zeros((k, n), np.int64)
-        order = sorted(range(len(chunks)), key=lambda c: -len(chunks[c]))
-        for at in range(0, len(order), STREAMS):
-            part = order[at : at + STREAMS]
-            found = self._advance([chunks[c] for c in part])
-            np.add.at(phrases, (slice(None), [owner[c] for c in part]), found)
-        bits = phrases.T * np.array(self.cost) / np.maximum(length, 1)[:, None]
-        return bits, lettered
-
-    def _advance(self, chunks: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each chunk (longest first) in each language."""
-        k, n = len(self.langs), len(chunks)
-        sizes = np.array([len(c) for c in chunks])
-        grid = np.zeros((n, int(sizes[0])), np.int16)
-        for i, c in enumerate(chunks):
+        follows = [c + 1 < len(owner) and owner[c + 1] == owner[c] for c in range(len(owner))]
+        counted, begins = self._parsed(streams, [f or c > 0 and follows[c - 1] for c, f in enumerate(follows)])
+        apart: set[int] = set()
+        for c, i in enumerate(owner):
+            phrases[:, i] += counted[c]
+            if follows[c]:
+                # both streams' phrases in the stretch they share; the later one counts from the first they have in common
+                mine, later = (b[:, a : a + OVER] for b, a in ((begins[c], CHUNK), (begins[c + 1], 0)))
+                both = mine[:, : later.shape[1]] & later
+                apart |= set() if both.any(1).all() else {i}
+                at = both.argmax(1)
+                phrases[:, i] -= [int(m[x:].sum() + late[:x].sum()) for m, late, x in zip(mine, later, at, strict=True)]
+            if c and follows[c - 1]:
+                phrases[:, i] -= 1  # the phrase that a stream begins with
+        for i in apart:
+            phrases[:, i] = self._parsed([whole[i]], [False])[0][0]
+        return phrases.T * np.array(self.cost) / np.maximum(length, 1)[:, None], lettered
+
+    def _parsed(self, streams: list[np.ndarray], marked: list[bool]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+        """Phrases of each stream by language, and for marked streams where they begin after the first, (languages x characters)."""
+        counted: list = [None] * len(streams)
+        begins: list = [None] * len(streams)
+        for some in (True, False):
+            order = sorted((c for c, m in enumerate(marked) if m == some), key=lambda c: -len(streams[c]))
+            for at in range(0, len(order), STREAMS // 4 if some else STREAMS):
+                part = order[at : at + (STREAMS // 4 if some else STREAMS)]
+                found, places = self._advance([streams[c] for c in part], some)
+                for j, c in enumerate(part):
+                    counted[c] = found[:, j]
+                    if some:
+                        begins[c] = places[:, : len(streams[c]), j]
+        return counted, begins
+
+    def _advance(self, streams: list[np.ndarray], marked: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Phrases of each stream (longest first) in each language, and where they begin after the first."""
+        k, n = len(self.langs), len(streams)
+        sizes = np.array([len(c) for c in streams])
+        grid = np.zeros((n, int(sizes[0])), np.int32)
+        for i, c in enumerate(streams):
             grid[i, : len(c)] = c
-        grid = np.ascontiguousarray(grid.T).astype(np.int32)
-        live = np.searchsorted(-sizes, -np.arange(len(grid)), "left")  # chunks longer than each step
+        grid = np.ascontiguousarray(grid.T)
+        live = np.searchsorted(-sizes, -np.arange(len(grid)), "left")  # streams longer than each step
         root = np.array(self.roots, np.int32)
         again = self.table.reshape(-1, self.width)[root]  # (languages, symbols): where the root leads
         again = np.where(again < 0, root[:, None], again)
         state = np.repeat(root[:, None], n, 1)
         count = np.ones((k, n), np.int64)
+        places = np.zeros((k, len(grid), n), bool) if marked else None
         width = self.width
         for step, m in enumerate(live):
             if m < state.shape[1]:
@@ -157,21 +193,23 @@ class CrossParser:
             to = self.table.take(state * width + s)
             ends = to < 0
             count[:, :m] += ends
+            if marked:
+                places[:, step, :m] = ends
             np.copyto(to, again.take(s, 1), where=ends)
             state = to
-        return count
+        return count, places
 
 
 _PARSERS: dict[str, CrossParser] = {}
 
 
 def training_texts(rows: DataFrame, lang: str, text: str, key: str, docs_per_language: int, chars_per_language: int) -> dict[str, list[str]]:
-    """Whole texts by language, in the order of their hash, up to the bound."""
+    """Distinct whole texts by language, in the order of their ids' hash, up to the bound."""
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars_per_language))
-    picked = bounded_sample(known, key, docs_per_language, seed=8, by=lang)
+    picked = bounded_sample(known.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), F.col(key).cast("string").alias("k")), ["k", "t"], docs_per_language, seed=8, by="l")
     out: dict[str, list[str]] = {}
     room: dict[str, int] = {}
-    for r in sorted(picked.select(lang, F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h")).collect(), key=lambda r: (r[0], r.h or 0, r.t)):
+    for r in sorted(picked.groupBy("l", "t").agg(F.min(F.xxhash64("k")).alias("h")).collect(), key=lambda r: (r[0], r.h, r.t)):
         left = room.setdefault(r[0], chars_per_language)
         if r.t and len(r.t) <= left:
             out.setdefault(r[0], []).append(r.t)

@@ -127,23 +127,37 @@ def test_edges(spark):
     assert L.identify_language(empty, F.lit(True)).count() == 0
 
 
+def slow_phrases(symbols, train):
+    """Greedy longest matches of substrings of ``train``, one character at a time."""
+    train = "".join(map(chr, train))
+    phrases, now = 1, ""
+    for c in map(chr, symbols):
+        if c != "\0" and now + c in train:
+            now += c
+        else:
+            phrases += 1
+            now = c if c != "\0" and c in train else ""
+    return phrases
+
+
 def test_phrases_by_the_slow_parse():
-    parser = L.CrossParser({"x": ["abcabd abx"], "y": ["zzz yy"]})
-    for text in ["abcabdab", "zzzz", "ab cd ab", "Q", "abx " * 900]:
-        (bits,), _ = parser.entropies([text])
+    """Whole texts, many times as long as a stream, and texts whose streams never meet."""
+    rng = np.random.default_rng(6)
+    samples = {"x": "abcabd abx", "y": "zzz yy", "z": " ".join("".join(rng.choice(list("abcdxyz"), 6)) for _ in range(60))}
+    parser = L.CrossParser({k: [v] for k, v in samples.items()})
+    texts = ["abcabdab", "zzzz", "ab cd ab", "Q", "abx " * 2900, "z" * 9000, "ab" * 5001, " ".join("".join(rng.choice(list("abcdxyz\U00010330"), 5)) for _ in range(2500)), samples["z"] * 30]
+    bits, lettered = parser.entropies(texts)
+    assert lettered.all()
+    for row, text in zip(bits, texts):
         s = parser._squeezed(parser.symbol[L.folded(text)]).tolist()
-        for lang, sample in (("x", "abcabd abx"), ("y", "zzz yy")):
-            train = [*parser._squeezed(parser.symbol[L.folded(sample)]).tolist()]
-            runs = {tuple(train[i:j]) for i in range(len(train)) for j in range(i + 1, len(train) + 1)}
-            phrases = 0
-            for at in range(0, len(s), L.CHUNK):
-                chunk, now = s[at : at + L.CHUNK], ()
-                phrases += 1
-                for c in chunk:
-                    if c and (*now, c) in runs:
-                        now = (*now, c)
-                    else:
-                        phrases += 1
-                        now = (c,) if (c,) in runs and c else ()
-            k = parser.langs.index(lang)
-            assert bits[k] == pytest.approx(phrases * parser.cost[k] / len(s))
+        for k, lang in enumerate(parser.langs):
+            train = parser._squeezed(parser.symbol[L.folded(samples[lang])]).tolist()
+            assert row[k] == pytest.approx(slow_phrases(s, train) * parser.cost[k] / len(s)), (lang, text[:20])
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    rows = [(1, "\U00010330\U00010331\U00010332 \U00010330", "got"), (2, "plain words", "en"), (3, "\U00010332\U00010331", None), (4, "\U00020000", None), (5, "\U0001f600 12", None)]
+    got = {r.doc_id: r.lang_pred for r in L.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()}
+    assert got[3] == "got"
+    assert got[4] in ("got", "en")
+    assert got[5] == "und"
