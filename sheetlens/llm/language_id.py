@@ -9,8 +9,8 @@ language with the least wins. The score is ``1 - least / second least``.
 
 The automata of all languages are one transition table, and thousands of texts advance through it
 together, a character a step. So that a long text needs no more steps than others, it is parsed in several places
-side by side: its streams begin every ``CHUNK`` characters and run ``OVER`` characters into the next one's. From the first character at which two
-streams both begin a phrase they are one and the same parse, so there the later stream takes over, and the phrases are those of
+side by side: its streams begin every ``CHUNK`` characters and run ``OVER`` characters into the next one's. From the first character after which two
+streams are in the same state of the automaton they are one and the same parse, so there the later stream takes over, and the phrases are those of
 the whole text's parse. Where two streams do not meet, one stream parses the whole text.
 
 Training texts are a sample: for each language at most ``chars_per_language`` characters, of about
@@ -138,40 +138,43 @@ class CrossParser:
                 owner.append(i)
         phrases = np.zeros((k, n), np.int64)
         follows = [c + 1 < len(owner) and owner[c + 1] == owner[c] for c in range(len(owner))]
-        counted, begins = self._parsed(streams, [f or c > 0 and follows[c - 1] for c, f in enumerate(follows)])
-        apart: set[int] = set()
+        counted, seen = self._parsed(streams, [f or c > 0 and follows[c - 1] for c, f in enumerate(follows)])
+        apart = set()
         for c, i in enumerate(owner):
             phrases[:, i] += counted[c]
             if follows[c]:
-                # both streams' phrases in the stretch they share; the later one counts from the first they have in common
-                mine, later = (b[:, a : a + OVER] for b, a in ((begins[c], CHUNK), (begins[c + 1], 0)))
-                both = mine[:, : later.shape[1]] & later
-                apart |= set() if both.any(1).all() else {i}
-                at = both.argmax(1)
-                phrases[:, i] -= [int(m[x:].sum() + late[:x].sum()) for m, late, x in zip(mine, later, at, strict=True)]
-            if c and follows[c - 1]:
-                phrases[:, i] -= 1  # the phrase that a stream begins with
-        for i in apart:
-            phrases[:, i] = self._parsed([whole[i]], [False])[0][0]
+                # what both streams saw of the stretch that they share; the later one counts after the first state in common
+                (mine, ends), (later, began) = seen[c][1], seen[c + 1][0]
+                m = min(mine.shape[1], later.shape[1])
+                same = mine[:, :m] == later[:, :m]
+                if not same.any(1).all():
+                    apart.add(i)
+                at = same.argmax(1)
+                phrases[:, i] -= [int(e[x + 1 :].sum() + b[: x + 1].sum()) for e, b, x in zip(ends, began, at, strict=True)]
+                phrases[:, i] -= 1  # the phrase that the later stream begins with
+        if apart:
+            whole_counts = self._parsed([whole[i] for i in sorted(apart)], [False] * len(apart))[0]
+            for i, found in zip(sorted(apart), whole_counts, strict=True):
+                phrases[:, i] = found
         return phrases.T * np.array(self.cost) / np.maximum(length, 1)[:, None], lettered
 
-    def _parsed(self, streams: list[np.ndarray], marked: list[bool]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
-        """Phrases of each stream by language, and for marked streams where they begin after the first, (languages x characters)."""
+    def _parsed(self, streams: list[np.ndarray], marked: list[bool]) -> tuple[list[np.ndarray], list]:
+        """Phrases of each stream by language, and for marked streams what ``_advance`` saw at their beginning and end."""
         counted: list = [None] * len(streams)
-        begins: list = [None] * len(streams)
-        for some in (True, False):
-            order = sorted((c for c, m in enumerate(marked) if m == some), key=lambda c: -len(streams[c]))
-            for at in range(0, len(order), STREAMS // 4 if some else STREAMS):
-                part = order[at : at + (STREAMS // 4 if some else STREAMS)]
-                found, places = self._advance([streams[c] for c in part], some)
-                for j, c in enumerate(part):
-                    counted[c] = found[:, j]
-                    if some:
-                        begins[c] = places[:, : len(streams[c]), j]
-        return counted, begins
-
-    def _advance(self, streams: list[np.ndarray], marked: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Phrases of each stream (longest first) in each language, and where they begin after the first."""
+        seen: list = [None] * len(streams)
+        order = sorted(range(len(streams)), key=lambda c: -len(streams[c]))
+        for at in range(0, len(order), STREAMS):
+            part = order[at : at + STREAMS]
+            found, head, tail = self._advance([streams[c] for c in part], sum(marked[c] for c in part) > 0)
+            for j, c in enumerate(part):
+                counted[c] = found[:, j]
+                if marked[c]:
+                    size = len(streams[c])
+                    seen[c] = [tuple(x[:, : max(0, min(OVER, size - first)), j] for x in place) for place, first in ((head, 0), (tail, CHUNK))]
+        return counted, seen
+
+    def _advance(self, streams: list[np.ndarray], marked: bool) -> tuple[np.ndarray, tuple | None, tuple | None]:
+        """Phrases of each stream (longest first) in each language; if ``marked``, also the states and the phrases' ends in the first ``OVER`` steps and in those after ``CHUNK``."""
         k, n = len(self.langs), len(streams)
         sizes = np.array([len(c) for c in streams])
         grid = np.zeros((n, int(sizes[0])), np.int32)
@@ -184,7 +187,7 @@ class CrossParser:
         again = np.where(again < 0, root[:, None], again)
         state = np.repeat(root[:, None], n, 1)
         count = np.ones((k, n), np.int64)
-        places = np.zeros((k, len(grid), n), bool) if marked else None
+        head, tail = ((np.zeros((k, OVER, n), np.int32), np.zeros((k, OVER, n), bool)) if marked else None for _ in range(2))
         width = self.width
         for step, m in enumerate(live):
             if m < state.shape[1]:
@@ -193,11 +196,12 @@ class CrossParser:
             to = self.table.take(state * width + s)
             ends = to < 0
             count[:, :m] += ends
-            if marked:
-                places[:, step, :m] = ends
             np.copyto(to, again.take(s, 1), where=ends)
             state = to
-        return count, places
+            if marked and (step < OVER or CHUNK <= step < CHUNK + OVER):
+                states, flags = head if step < OVER else tail
+                states[:, step % CHUNK, :m], flags[:, step % CHUNK, :m] = state, ends
+        return count, head, tail
 
 
 _PARSERS: dict[str, CrossParser] = {}
