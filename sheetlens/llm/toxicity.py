@@ -4,7 +4,8 @@ A token that hides something (digits or signs among letters, a letter three time
 of two or more tokens of at most ``FRAGMENT`` characters, not counting signs around them, become a
 lattice: each character is itself, a letter it may stand for, or nothing, and each space may be
 nothing. Viterbi decodes the lattice under a character trigram model whose counts come from all
-documents. Restored words, and words that hide nothing, are matched against rules. A token of signs alone,
+documents. Long or starred lattices are decoded by matrix steps over all pairs of letters, and a run of one sign counts only as often as a
+best path can use it, so a token's cost is in proportion to its length; nothing of it is cut. Restored words, and words that hide nothing, are matched against rules. A token of signs alone,
 some of them no digits, is read as a word if the model finds the word likelier than letters by chance
 (digits alone are a number). When texts are scored, each part of a run that spells a rule is decoded by itself, so words beside it
 do not matter. Pieces of more than ``FRAGMENT`` characters are not joined.
@@ -36,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_tasks, labelled_sample, map_rows, saved
+from .common import fold_tasks, labelled_sample, map_rows
 
 #: Letters that a sign may stand for.
 LEET = {
@@ -120,8 +121,15 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 class Restorer:
     """Token -> restored words, remembered for each distinct token."""
 
+    #: Lattices of up to so many characters with up to one star are decoded state by state, others by matrix steps.
+    SMALL = 32
+    #: After so many steps the paths of all states are traced back to the point that they share.
+    SETTLE = 4096
+
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.cost = -np.asarray(model)
+        self.useful: dict[str, int] = {}
 
     def words(self, token: str) -> list[str]:
         token = token.lower()
@@ -167,6 +175,11 @@ class Restorer:
 
     def decode(self, text: str, signs: bool = False) -> str:
         """The best path of the character lattice, by Viterbi over the last two letters."""
+        if len(text) <= self.SMALL and text.count("*") < 2:
+            return self.decode_small(text, signs)
+        return self.decode_large(self.shortened(text), signs)
+
+    def decode_small(self, text: str, signs: bool = False) -> str:
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(text)):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -190,6 +203,64 @@ class Restorer:
             path = path[1]
         return "".join(reversed(out))
 
+    def shortened(self, text: str) -> str:
+        """The text without those signs of a run of one sign that no best path uses: each is nothing, at the same cost for all paths."""
+        return re.sub(r"([^\w\s]|\d)\1{15,}", lambda m: m.group()[: max(16, self.most_used(m.group(1)))], text)
+
+    def most_used(self, sign: str) -> int:
+        """How many letters a best path can take from a run of a sign: beyond, three that lead to the same state are cheaper."""
+        if sign not in self.useful:
+            options = dict(self.options(sign, 0))
+            nothing = options.pop("")
+            low = min(extra - nothing + self.cost[:, :, letter_class(out)].min() for out, extra in options.items())
+            high = max(extra - nothing + self.cost[:, :, letter_class(out)].max() for out, extra in options.items())
+            self.useful[sign] = int(3 * high / low) + 1 if low > 0 else 1 << 62
+        return self.useful[sign]
+
+    def decode_large(self, text: str, signs: bool = False) -> str:
+        best = np.full((27, 27), np.inf)
+        best[0, 0] = 0.0
+        back: list[np.ndarray] = []  # by new state: the letter before its two, or -1 where the character is nothing
+        outs: list[dict[int, str]] = []
+        done: list[str] = []
+
+        def trace(a: int, b: int, upto: int) -> list[str]:
+            found = []
+            for i in range(upto - 1, -1, -1):
+                if (before := int(back[i][a, b])) >= 0:
+                    found.append(outs[i][b])
+                    a, b = before, a
+            return found[::-1]
+
+        for i in range(len(text)):
+            options = [(letter_class(out), out, extra) for out, extra in self.options(text, i, signs) if out]
+            nothing = [extra for out, extra in self.options(text, i, signs) if not out]
+            k = [c for c, _, _ in options]
+            ways = best[:, :, None] + self.cost[:, :, k] + np.array([extra for _, _, extra in options])
+            for j, (_, out, _) in enumerate(options):
+                if out == " ":
+                    ways[:, 0, j] = np.inf
+            new, source = np.full((27, 27), np.inf), np.full((27, 27), -1, np.int8)
+            new[:, k], source[:, k] = ways.min(0), ways.argmin(0)
+            if nothing:
+                kept = best + nothing[0]
+                source[kept <= new] = -1
+                new = np.minimum(new, kept)
+            best = new
+            back.append(source)
+            outs.append({c: out for c, out, _ in options})
+            if len(back) >= self.SETTLE and len(back) % self.SETTLE == 0:
+                a, b = np.nonzero(np.isfinite(best))
+                for at in range(len(back) - 1, -1, -1):
+                    before = back[at][a, b].astype(np.int64)
+                    a, b = np.where(before >= 0, before, a), np.where(before >= 0, a, b)
+                    if (a == a[0]).all() and (b == b[0]).all():
+                        done += trace(int(a[0]), int(b[0]), at)
+                        back, outs = back[at:], outs[at:]
+                        break
+        a, b = divmod(int((best + self.cost[:, :, 0]).argmin()), 27)
+        return "".join(done + trace(a, b, len(back)))
+
 
 def features(words: list[str]) -> set[str]:
     """Each word, and ``first letters`` + ``*`` of longer words."""
@@ -289,9 +360,7 @@ def text_features(memo: Memo, runs: Memo, text: str) -> set[str]:
 
 
 def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: float = 0.7) -> tuple[dict[str, float], float]:
-    """Rules with their share of toxic texts, and the share among texts that no rule covers. Each distinct text counts once."""
-    sample = saved(sample.groupBy("text").agg(F.max("label").alias("label")), "distinct")
-
+    """Rules with their share of toxic texts, and the share among texts that no rule covers; ``sample`` are distinct texts."""
     def make():
         memos, counts = feature_memos(model), Counter()
 
@@ -350,7 +419,7 @@ def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: fl
                 del need[i]
     held = {i for f, name in enumerate(names) if name in rules for i in covers[f]}
     rest = len(rows) - len(held)
-    return rules, min(rest / max(1, sum(total.values()) - len(held)), 0.25)
+    return rules, rest / max(1, sum(total.values()) - len(held))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 16_000):

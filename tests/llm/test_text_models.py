@@ -1,3 +1,6 @@
+import time
+from itertools import product
+
 import edge_rows
 import numpy as np
 import pytest
@@ -60,6 +63,48 @@ def test_restored_words(restorer, token, words):
     assert restorer.words(token) == words
 
 
+def path_cost(restorer, options, outs):
+    """A path's cost by the lattice's options and the model; None where a space follows no letter."""
+    a, b, cost = 0, 0, 0.0
+    for (out, extra) in outs:
+        cost += extra
+        if out:
+            k = T.letter_class(out)
+            if out == " " and not b:
+                return None
+            cost -= restorer.model[a][b][k]
+            a, b = b, k
+    return cost - restorer.model[a][b][0]
+
+
+@pytest.mark.parametrize("token", ["1d10t", "i!!t", "f*l", "lo00ser", "a.b", "s7up1d", "@$$", "i d1 o", "**", "t®x", "sss$", "é1é"])
+def test_both_decoders_find_the_best_of_all_paths(restorer, token):
+    options = [restorer.options(token, i) for i in range(len(token))]
+    costs: dict = {}
+    for outs in product(*options):
+        cost, word = path_cost(restorer, options, outs), "".join(o for o, _ in outs)
+        if cost is not None:
+            costs[word] = min(cost, costs.get(word, np.inf))
+    best = min(costs.values())
+    assert costs[restorer.decode_small(token)] == pytest.approx(best)
+    assert costs[restorer.decode_large(token)] == pytest.approx(best)
+
+
+def test_long_tokens(restorer, monkeypatch):
+    """Long lattices are whole, quick, and the same in pieces; surplus signs of a run change nothing."""
+    began = time.monotonic()
+    assert restorer.words("idiot" + "*" * 100_000 + "clown") in (["idiot", "clown"], ["idiotclown"])
+    assert time.monotonic() - began < 5
+    text = "1d10t.cl0wn*$tup1d" * 40
+    whole = restorer.decode_large(text)
+    monkeypatch.setattr(T.Restorer, "SETTLE", 50)
+    assert restorer.decode_large(text) == whole
+    for n in (20, 40, 60):
+        assert restorer.decode_large("cl" + "*" * n + "wn") == restorer.decode_large("cl" + "*" * 200 + "wn")
+        assert restorer.decode_large("lo" + "0" * n + "ser") == restorer.decode_large(restorer.shortened("lo" + "0" * n + "ser"))
+    assert restorer.words("a" + "1b2*c3" * 5000)
+
+
 def test_spaced_letters(restorer):
     assert T.spaced("the i d i o t said".split()) == ["i d i o t"]
     assert restorer.decode("i d i o t").replace(" ", "") == "idiot"
