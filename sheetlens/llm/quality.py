@@ -7,8 +7,8 @@ decomposition of the labelled sample. The labelled vectors are broadcast; each b
 is multiplied with all of them, which gives exact cosines. The ``neighbours`` nearest (and all
 tied with the last) vote with their label, weighted by a power of the similarity.
 
-``sample`` bounds the labelled rows, ``terms`` the vocabulary and ``dimensions`` the vectors, so
-what is broadcast does not grow with the corpus.
+``sample`` bounds the labelled texts (each distinct one counts once), ``terms`` the vocabulary and ``dimensions`` the vectors, so
+what is broadcast does not grow with the corpus. A term stands in at least ``least_texts`` texts of the sample.
 
 Defined results: a text without terms (null, empty) gets the share of label 1 in the sample; with no
 labelled rows every score is 0.5. Rows are scored one by one: repeated rows get equal scores, and
@@ -32,7 +32,7 @@ REPEAT = "=again"
 def shape_of(word: str) -> str:
     """``~`` and the word with runs of letters as a (A if all are capitals), digits as 0, other signs once."""
     s = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", word)
-    return "~" + re.sub(r"(.)\1+", r"\1", re.sub(r"\d+", "0", s))[:12]
+    return "~" + re.sub(r"(.)\1+", r"\1", re.sub(r"\d+", "0", s))
 
 
 class Terms:
@@ -68,7 +68,7 @@ class Terms:
         return out[:, :-1]
 
 
-def vocabulary(sample: DataFrame, terms: int) -> list[str]:
+def vocabulary(sample: DataFrame, terms: int, least_texts: int) -> list[str]:
     """The terms that stand in most texts of the sample: a third shapes, the rest words."""
 
     def make():
@@ -82,7 +82,7 @@ def vocabulary(sample: DataFrame, terms: int) -> list[str]:
 
         return take, lambda: {"term": list(words), "n": list(words.values())}
 
-    counted = fold_tasks(sample, make, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
+    counted = fold_tasks(sample, make, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least_texts)
     top = lambda shapes, k: [r[0] for r in counted.where(F.col("term").startswith("~") == F.lit(shapes)).orderBy(F.desc("n"), "term").limit(k).collect()]
     return [REPEAT, *top(True, terms // 3), *top(False, terms - terms // 3)]
 
@@ -113,14 +113,14 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    sample: int = 6000, terms: int = 900, dimensions: int = 48, neighbours: int = 15, power: int = 8,
+    sample: int = 6000, terms: int = 900, dimensions: int = 48, neighbours: int = 15, power: int = 8, least_texts: int = 3,
 ):
     """A task's scorer: called once in each task, it gives the function from ``text`` to ``score``.
 
     ``usable`` says of a row of ``labels`` whether its label may be learned from.
     """
     known = labelled_sample(docs, labels, label, usable, sample, doc_id=doc_id, text=text)
-    names = vocabulary(known, terms)
+    names = vocabulary(known, terms, least_texts)
     df, n = document_frequency(docs, names, text)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
 
@@ -162,6 +162,7 @@ def fit_quality(
 
         return score
 
+    make.space = names, idf, basis, got
     return make
 
 
