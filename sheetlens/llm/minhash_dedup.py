@@ -22,8 +22,8 @@ a bucket of near copies does not become a row for each pair.
 Equal texts (the same words in the same order) are one node from the start.
 
 Defined results: null texts and texts without words are classes of their own. A text of one to four
-words is one shingle. Repeated rows, also of one id, fall into one class. A row without id takes part
-as a copy and is compared if a copy of it has an id; its class is the class of its text (null if all
+words is one shingle. Repeated rows, also of one id, fall into one class; rows of one id with different texts are compared
+as different texts. A row without id takes part like others; its class is named by the smallest id of its members (null if all
 ids of the class are null). An empty table gives an empty result. Other columns are not read.
 """
 
@@ -31,11 +31,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import discard, map_rows, saved, unused_name
 from .components import connected_components
@@ -186,22 +189,21 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, items, counts, lowest, low_counts, weighted) of ``nodes(node, rep, text_key)``: their texts' shingles, read from ``docs`` once.
+    """(node, items, counts, lowest, low_counts) of ``nodes(node, rep, text_key)``: their texts' shingles, read from ``docs`` once.
 
-    ``lowest`` are the first 32 bits of the ``LOWEST`` smallest items, with their counts; ``weighted`` says whether a
-    shingle repeats.
-
-    The nodes grow with the corpus, so they are never broadcast here.
+    ``lowest`` are the first 32 bits of the ``LOWEST`` smallest items, ``low_counts`` their counts, null where no
+    shingle repeats. The nodes grow with the corpus, so they are never broadcast here.
     """
 
     def make():
         def sets(cols):
-            out = {"node": [], "items": [], "counts": [], "lowest": [], "low_counts": [], "weighted": []}
+            out = {"node": [], "items": [], "counts": [], "lowest": [], "low_counts": []}
             for node, key, t in zip(cols["node"], cols["text_key"], cols["text"], strict=True):
                 words = words_of(t)
                 if text_key(words) == key:  # else another row of the same id
                     items, counts = shingles(words)
-                    for k, v in zip(out, (node, items.tobytes(), counts.astype("<u4").tobytes(), (items[:LOWEST] >> U(32)).astype("<u4").tobytes(), counts[:LOWEST].astype("<u4").tobytes(), bool((counts > 1).any())), strict=True):
+                    low = counts[:LOWEST].astype("<u4").tobytes() if (counts > 1).any() else None
+                    for k, v in zip(out, (node, items.tobytes(), counts.astype("<u4").tobytes(), (items[:LOWEST] >> U(32)).astype("<u4").tobytes(), low), strict=True):
                         out[k].append(v)
             return out
 
@@ -209,7 +211,26 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
     rows = texts.join(nodes.hint("merge"), "rep").select("node", "text_key", "text")
-    return saved(map_rows(rows, make, "node long, items binary, counts binary, lowest binary, low_counts binary, weighted boolean", rows=500), "shingles")
+    unnamed = nodes.where("rep IS NULL").select("node", "text_key")
+    if not unnamed.isEmpty():  # texts of which no row has an id are found by their words
+        rows = rows.unionByName(with_text_key(texts.where("rep IS NULL"), "text", "text_key").join(unnamed, "text_key").dropDuplicates(["node"]).select("node", "text_key", "text"))
+    found = saved(map_rows(rows, make, "node long, items binary, counts binary, lowest binary, low_counts binary", rows=500), "shingles")
+    if found.groupBy("node").count().where("count > 1").isEmpty():
+        return found
+    once = saved(found.dropDuplicates(["node"]), "shingles")  # rows that repeat an id and a text
+    discard(found)
+    return once
+
+
+def with_text_key(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the key of their text's words as the last column ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [text_key(words_of(None if t is None else str(t))) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield batch.append_column(name, pa.array(keys, pa.binary()))
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, BinaryType())]))
 
 
 def least_equal(threshold: float) -> int:
@@ -250,23 +271,25 @@ def lowest_share(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def likely_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Of ``members(key, node, root, top, registers, plain, lowest, low_counts, weighted)``, likely pairs (a, b) of one key and different roots.
+    """Of ``members(key, node, root, top, registers, plain, lowest, low_counts)``, likely pairs (a, b) of one key and different roots.
 
-    Blocks of a key's members outside its ``top`` component meet blocks of all its members, and a
-    task compares the registers of two blocks at a time, then the smallest hashes, which for most texts are all. So neither a row for each pair is made, nor
-    does a key's whole group meet in one task.
+    Blocks of a key's members outside its ``top`` component meet blocks of all its members, each two blocks in a task of their own
+    choice, so a large key is spread over all tasks. A task compares the registers of two blocks, then the smallest hashes, which
+    for most texts are all. So no row for each pair is made.
     """
     least = least_equal(threshold)
-    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    entry = F.struct("node", "root", "registers", "plain", "lowest", "low_counts", "weighted")
+    sizes = saved(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("root") != F.col("top")) / BLOCK).alias("few_blocks")), "sizes")
+    cut = members.join(sizes, "key")
     near = threshold - 4 * (threshold * (1 - threshold) / LOWEST) ** 0.5
-    every = saved(cut.groupBy("key", "top", "block").agg(F.collect_list(entry).alias("all")), "all")  # BLOCK members, more or less
-    few = saved(every.select("key", F.filter("all", lambda x: x["root"] != F.col("top")).alias("few")).where("size(few) > 0"), "few")
+    entries = F.collect_list(F.struct("node", "root", "registers", "plain", "lowest", "low_counts"))
+    every = saved(cut.groupBy("key", F.pmod(F.xxhash64("node"), "blocks").alias("block")).agg(entries.alias("all")), "all")  # BLOCK members, more or less
+    few = saved(cut.where("root <> top").groupBy("key", "top", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), "few_blocks").alias("few_block")).agg(entries.alias("few")), "few")
+    meet = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(every, ["key", "block"])
 
     def make():
         def arrays(rows):
-            sets = [(np.frombuffer(r["lowest"], "<u4"), np.frombuffer(r["low_counts"], "<u4").astype(np.int64), r["weighted"]) for r in rows]
+            lows = [np.frombuffer(r["lowest"], "<u4") for r in rows]
+            sets = [(x, np.frombuffer(c, "<u4").astype(np.int64) if c else np.ones(len(x), np.int64), c is not None) for x, c in zip(lows, (r["low_counts"] for r in rows), strict=True)]
             counted, plain = (np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in ([r["registers"] for r in rows], [r["plain"] or r["registers"] for r in rows]))
             return (np.array([r["node"] for r in rows]), np.array([r["root"] for r in rows]), counted, plain, sets)
 
@@ -289,7 +312,7 @@ def likely_across(members: DataFrame, threshold: float) -> DataFrame:
 
         return compare
 
-    found = saved(map_rows(few.join(every, "key").select("few", "all", "top"), make, "a long, b long", rows=16).distinct(), "across")
+    found = saved(map_rows(meet.select("few", "all", "top"), make, "a long, b long", rows=16).distinct(), "across")
     discard(sizes, every, few)
     return found
 
@@ -311,8 +334,8 @@ def verified(likely: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return saved(map_rows(sided(saved(likely, "likely"), sets), make_compare, "a long, b long", rows=200), "near")
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id) of every row: class_id is the smallest doc_id of the row's near-duplicate class."""
+def classed_rows(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """(doc_id, text_key, root, class_id) of every row; texts without words have neither key nor root."""
     known = saved(sketches(docs, doc_id, text), "sketches")
     worded = known.where(F.col("text_key").isNotNull())
     nodes = worded.groupBy("text_key").agg(F.max("doc_id").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("plain").alias("plain"))
@@ -330,30 +353,49 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     placed = saved(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed_keys = saved(sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1").select("key", F.col("top.root").alias("top")), "mixed")
-    rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers", "plain"), "node").join(sets.select("node", "lowest", "low_counts", "weighted"), "node"), "rest")
+    rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers", "plain"), "node").join(sets.select("node", "lowest", "low_counts"), "node"), "rest")
     more = likely_across(rest, threshold).join(pairs, ["a", "b"], "left_anti")
     found = verified(more, sets, threshold)
     roots = saved(connected_components(links.unionByName(found)), "roots")
 
     placed_nodes = saved(nodes.select("node", "text_key", "least").join(roots, "node", "left").select("text_key", "least", F.coalesce("root", "node").alias("root")), "placed")
     least = saved(placed_nodes.groupBy("root").agg(F.min("least").alias("class_id")), "least")
-    classes = saved(placed_nodes.join(least, "root").select("text_key", "class_id"), "classes")
+    classes = saved(placed_nodes.join(least, "root").select("text_key", "root", "class_id"), "classes")
     discard(nodes, heads, shared, pairs, sets, links, placed, mixed_keys, rest, found, placed_nodes, least)
-    out = worded.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "class_id")
-    return out.unionByName(known.where(F.col("text_key").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
+    out = worded.select("doc_id", "text_key").join(classes, "text_key")
+    alone = known.where(F.col("text_key").isNull()).select("doc_id", "text_key", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"))
+    return out.select("doc_id", "text_key", "root", "class_id").unionByName(alone)
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(doc_id, class_id) of every row: class_id is the smallest doc_id of the row's near-duplicate class."""
+    return classed_rows(docs, doc_id, text, threshold).select("doc_id", "class_id")
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row of each class, in the columns of ``docs``: the row whose id is the smallest of its class.
+    """One row of each class, in the columns of ``docs``: of its rows with the smallest id (of those without id if none has one) one of the smallest text key.
 
-    Of rows that repeat an id one stays, if any of them is the first of its class; rows without id stay.
+    Rows without words are classes of their own and stay, but for repetitions of an id.
     """
-    ids = near_duplicate_classes(docs, doc_id, text, threshold).where("doc_id IS NOT NULL").groupBy("doc_id")
-    name = unused_name(docs, "class_doc")
-    state = saved(ids.agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1").withColumnRenamed("doc_id", name), "state")
-    here = F.col(doc_id) == F.col(name)
-    once = docs.join(state.select(name), here, "left_anti")
-    twice = state.where("first").select(name)
-    if twice.isEmpty():  # the usual case: no id is repeated, so the texts need not be moved again
+    rows = saved(classed_rows(docs, doc_id, text, threshold), "rows")
+    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = saved(rows.where("root IS NOT NULL").groupBy("root").agg(F.min(member).alias("first")).select("root", "first.doc_id", "first.text_key"), "first")
+    is_first = rows.join(first.select(F.col("root").alias("r"), F.col("doc_id").alias("d"), F.col("text_key").alias("k")), F.col("root") == F.col("r"), "left")
+    is_first = is_first.select("doc_id", (F.col("root").isNull() | (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))).alias("first"))
+    name, key = unused_name(docs, "class_doc"), unused_name(docs, "class_key")
+    state = is_first.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    state = saved(state.where("NOT first OR n > 1").withColumnRenamed("doc_id", name), "state")
+    here = F.col(doc_id).cast("long") == F.col(name)
+    once = docs.where(F.col(doc_id).isNotNull()).join(state.select(name), here, "left_anti")
+    twice, unnamed = state.where("first").select(name), docs.where(F.col(doc_id).isNull())
+    none_twice, none_unnamed = twice.isEmpty(), rows.where("doc_id IS NULL").isEmpty()
+    if none_twice and none_unnamed:  # the usual case: no id is repeated or missing, so the texts need not be moved again
         return once
-    return once.unionByName(docs.join(twice, here, "left_semi").dropDuplicates([doc_id]))
+    several = unnamed if none_twice else unnamed.unionByName(docs.join(twice, here, "left_semi"))
+    several = saved(with_text_key(several, text, key), "several")
+    won = first.select(F.col("doc_id").alias(name), F.col("text_key").alias(unused_name(docs, "won_key")))
+    won_key = won.columns[1]
+    worded = several.where(F.col(key).isNotNull()).join(won, F.col(doc_id).cast("long").eqNullSafe(F.col(name)) & (F.col(key) == F.col(won_key)), "left_semi").dropDuplicates([doc_id, key])
+    silent = several.where(F.col(key).isNull())
+    kept = worded.unionByName(silent.where(F.col(doc_id).isNull())).unionByName(silent.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+    return once.unionByName(kept.drop(key))

@@ -39,6 +39,41 @@ def test_classes_equal_brute_force(spark, sf001):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
 
 
+def test_no_planted_pair_is_lost(spark, sf01):
+    """All documents of the table and planted near copies, by all pairs; texts without ids among them."""
+    rng = np.random.default_rng(8)
+    rows = [(r.doc_id, r.text) for r in documents(spark, sf01).where("n_chars < 4000").collect()]
+    long = [(i, t) for i, t in rows if t and 60 <= len(t.split()) <= 400][:120]
+    for n, (i, t) in enumerate(long):
+        words = t.split()
+        for k in range(n % 4):  # words changed at one place, a line repeated, or both
+            at = rng.integers(0, len(words) - 3)
+            words[at : at + 2] = [f"new{n}x{k}"]
+        rows.append((100_000 + n, " ".join(words + words[:8] * (n % 3))))
+    want = brute(rows)
+    got = {r.doc_id: r.class_id for r in M.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert sum(want[100_000 + n] < 100_000 for n in range(len(long))) >= 60
+    plain = spark.createDataFrame([(None if i >= 100_000 else i, t) for i, t in rows], "doc_id long, text string")
+    classes = {r.class_id for r in M.near_duplicate_classes(plain).collect()}
+    assert classes >= {c for c in want.values() if c < 100_000}
+    lonely = [n for n in range(len(long)) if want[100_000 + n] >= 100_000]
+    assert M.one_of_each_class(plain).where("doc_id IS NULL").count() == len({want[100_000 + n] for n in lonely})
+
+
+def test_blocks_of_one_key_find_what_all_pairs_find(spark, monkeypatch):
+    """A chain of texts that all share keys, in tiny blocks."""
+    monkeypatch.setattr(M, "BLOCK", 3)
+    rng, rows = np.random.default_rng(5), []
+    words = [f"w{x}" for x in rng.integers(0, 10_000, 200)]
+    for i in range(40):
+        at = rng.integers(0, 195)
+        words[at : at + 2] = [f"n{i}", f"m{i}"]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in M.near_duplicate_classes(docs).collect()} == brute(rows)
+
+
 def test_texts_with_a_much_repeated_line(spark):
     rng, rows = np.random.default_rng(3), []
     for pair in range(20):
@@ -55,7 +90,11 @@ def test_edges(spark):
     got = sorted(((r.doc_id or 0), r.class_id or 0) for r in M.near_duplicate_classes(edge_rows.documents(spark)).collect())
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 8), (10, 10), (11, 11)]
     docs = edge_rows.documents(spark, [(1, "a b c", "en", "s", 1), (1, "a b c", "en", "s", 1), (None, "a b c", "en", "s", 1)])
-    assert [r.doc_id for r in M.one_of_each_class(docs).orderBy("doc_id").collect()] == [None, 1]
+    assert [r.doc_id for r in M.one_of_each_class(docs).orderBy("doc_id").collect()] == [1]
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (2, "g h i j k l"), (2, "x y z x y"), (2, "x y z x y"), (3, "x y z x y"), (4, None), (4, None), (None, ""), (None, ""), (5, "g h i j k l")]
+    docs = edge_rows.documents(spark, [(*r, "en", "s", 1) for r in rows])
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in M.one_of_each_class(docs).collect())
+    assert kept == [(0, ""), (0, ""), (0, "a b c d e f"), (2, "g h i j k l"), (2, "x y z x y"), (4, "")]
     assert M.near_duplicate_classes(edge_rows.documents(spark, [])).count() == 0
 
 
