@@ -11,8 +11,8 @@ window functions over the nodes, not a loop.
 Each leaf then takes a token-prefix: as many whole epochs as fit, and of the next the documents
 in the order of a seeded hash of epoch and id, as long as their tokens in all do not pass the rest. Prefix sums are not
 taken over all rows of a leaf: tokens are summed by the hash's first byte, then inside the one byte
-where the prefix ends by the second, and only the rows that share both bytes with its end are
-ordered one by one. A leaf with a third of all rows is thus never in one task.
+where the prefix ends by the second, and only the hashes that share both bytes with its end are
+ordered one by one, after a sum for each. A leaf with a third of all rows is thus never in one task, nor are the rows of one id.
 
 Tokens are runs of characters other than space, tab, carriage return and newline.
 
@@ -64,11 +64,12 @@ def split_budget(children: DataFrame, parent: list[str], name: str) -> DataFrame
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column], budget: Column, epochs: int) -> DataFrame:
     """``leaves(levels.., tokens)`` with the tokens that each leaf is to give (``share``)."""
     leaves = leaves.withColumn("capacity", F.col("tokens").cast("double") * epochs).withColumn("root", F.lit(0))
-    nodes = leaves.groupBy("root").agg(budget.alias("share"))
-    path = ["root"]
+    whole = F.lit(leaves.agg(budget.alias("share")).first()[0])
+    path, nodes = ["root"], None
     for name in levels:
         children = leaves.groupBy(*path, name).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weights[name])
-        nodes = split_budget(children.join(nodes.withColumnRenamed("share", "budget"), path), path, name).select(*path, name, "share")
+        children = children.withColumn("budget", whole) if nodes is None else children.join(nodes.withColumnRenamed("share", "budget"), path)
+        nodes = split_budget(children, path, name).select(*path, name, "share")
         path.append(name)
     return leaves.join(nodes, path).select(*levels, "tokens", "share")
 
@@ -102,8 +103,12 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     first, second = F.substring("h", 1, 2), F.substring("h", 3, 2)
     kept = ["doc_id", *names, "tokens"]
     passed = near.where(F.col("end1").isNull() | (first < F.col("end1")) | ((first == F.col("end1")) & (F.col("end2").isNull() | (second < F.col("end2")))))
-    within = Window.partitionBy(*names).orderBy("h", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = near.where((first == F.col("end1")) & (second == F.col("end2"))).withColumn("upto", F.sum("tokens").over(within)).where(F.col("before") + F.col("upto") <= F.col("rest"))
+    # in the one cell where the prefix ends: tokens by hash, so that rows of one id, or without id, are summed before they are ordered
+    cell = near.where((first == F.col("end1")) & (second == F.col("end2")))
+    upto = F.sum("sum").over(Window.partitionBy(*names).orderBy("h"))
+    sums = cell.groupBy(*names, "h", "before", "rest").agg(F.sum("tokens").alias("sum")).withColumn("upto", upto)
+    end = saved(sums.where(F.col("before") + F.col("upto") <= F.col("rest")).groupBy(*names).agg(F.max("h").alias("end_h")), "end")
+    last = cell.join(end, names).where("h <= end_h")
     whole = rows.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
     part = passed.select(*kept, F.col("full").alias("epoch")).unionByName(last.select(*kept, F.col("full").alias("epoch")))
     return whole.select(*kept, "epoch").unionByName(part)
