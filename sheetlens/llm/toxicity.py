@@ -467,6 +467,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str
 
         return score
 
+    make.fitted = model, rules, rest
     return make
 
 

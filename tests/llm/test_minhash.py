@@ -1,34 +1,14 @@
-import itertools
-
 import edge_rows
 import numpy as np
 import pytest
 
+from brute import classes as brute
+
 from sheetlens.llm import minhash_dedup as M
 from sheetlens.llm.common import documents
 from sheetlens.llm.components import connected_components
 
 
-def brute(rows) -> dict:
-    """Classes by comparing all pairs."""
-    sets = {}
-    for i, t in rows:
-        if M.words_of(t):
-            sets[i] = M.shingles(M.words_of(t))
-    root = {i: i for i, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in itertools.combinations(sorted(sets), 2):
-        if max(M.similarity(*sets[a], *sets[b])) >= 0.8:
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    return {i: find(i) for i, _ in rows}
-
-
 def test_classes_equal_brute_force(spark, sf001):
     docs = documents(spark, sf001)
     want = brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -1,6 +1,7 @@
 import time
 from itertools import product
 
+import brute
 import edge_rows
 import numpy as np
 import pytest
@@ -36,39 +37,10 @@ def test_quality_votes_by_a_loop_over_the_neighbours(spark, sf001):
     """The scores of all documents from a plain loop in double precision over the labelled vectors."""
     docs, labels = documents(spark, sf001), spark.read.parquet(f"{sf001}/labels.parquet")
     make = Q.fit_quality(docs, labels, crc_mod("doc_id", 5) != 0)
-    names, idf, basis, known = make.space
-    number = {t: i for i, t in enumerate(names)}
-
-    def vector(counts):
-        x = np.sqrt(counts) * idf.astype(float)
-        x = x / max(np.linalg.norm(x), 1e-12)
-        v = x @ basis.astype(float)
-        return v / max(np.linalg.norm(v), 1e-12), np.linalg.norm(v) > 1e-9
-
-    def counted(text):
-        x, words = np.zeros(len(names)), (text or "").split()
-        for w in words:
-            for t in (w.lower(), Q.shape_of(w)):
-                if t in number:
-                    x[number[t]] += 1
-        x[number[Q.REPEAT]] += sum(a == b for a, b in zip(words, words[1:]))
-        return x
-
-    space = []
-    for r in known:
-        x = np.zeros(len(names))
-        x[r.term] = r.n
-        space.append((vector(x)[0], r.label))
     rows = docs.collect()
     got = make()({"doc_id": [r.doc_id for r in rows], "text": [r.text for r in rows]})["score"]
-    far = 0
-    for r, score in zip(rows, got):
-        v, some = vector(counted(r.text))
-        near = sorted(((round(float(v @ u), 5), y) for u, y in space), reverse=True)
-        near = [(c, y) for c, y in near if c >= near[14][0]]
-        want = sum(max(c, 1e-3) ** 8 * y for c, y in near) / sum(max(c, 1e-3) ** 8 for c, _ in near) if some else sum(y for _, y in space) / len(space)
-        far += abs(want - score) > 1e-3
-    assert far <= 0.01 * len(rows)  # cosines that differ in the last place by single precision
+    want = brute.quality_scores(make.space, [r.text for r in rows])
+    assert sum(abs(a - b) > 1e-3 for a, b in zip(got, want)) <= 0.01 * len(rows)  # cosines that differ in the last place by single precision
 
 
 def test_shapes_are_whole():
