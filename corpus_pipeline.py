@@ -3,6 +3,12 @@
 Toxicity and quality drop the documents that they reject, near-dedup keeps one document of each class,
 mixing takes each leaf's token-prefix, and packing places what is left in sequences. Each stage
 reads what its predecessor kept, written as Parquet to the shared folder.
+
+Defined results, each stage on its own input: a null or empty text passes toxicity and quality by the share of the labelled texts
+without rules and of label 1; near-dedup keeps each row without words, but one for each id, and of all other classes one
+row; mixing takes rows of one id, or without id, of a leaf together or not at all; packing makes one piece of an empty text. Rows
+that repeat stay until near-dedup. Columns other than those of the table pass through all stages but the last, whatever their
+names. Without labelled texts nothing is toxic and all pass quality. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,7 +66,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Stages one to three and the packing are beyond SQL; tests hold the stages against brute force.
+#: Stages one to three and the packing are beyond SQL; tests hold each stage's rows against loops, and ``run`` against all of them.
 ORACLE_SQL = None
 
 
