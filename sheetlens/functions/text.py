@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that count as white space at the ends of a text, besides those of ``(?U)\\s``: U+001C to U+001F.
-_SPACE = r"[\s\x1c-\x1f]+"
+#: All characters that count as white space at the ends of a text.
+SPACES = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
 
 
 def strip(col: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(col, f"(?U)^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def empty_to_null(col: Column) -> Column:

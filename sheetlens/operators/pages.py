@@ -7,6 +7,7 @@ call a model again.
 
 from __future__ import annotations
 
+from base64 import b64encode
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schema import MAX_PAGES, OCR_PREFIX
+from ..schema import MAX_PAGES, MAX_REPLY_TOKENS, OCR_PREFIX
 
 #: Splits one file into page images; the default sees form feeds, a real one calls a PDF library.
 Splitter = Callable[[bytes, int], list[bytes]]
@@ -30,9 +31,13 @@ class Reader(Protocol):
 
 
 class Inspector(Protocol):
-    """Answers one page's prompt with the text of a JSON reply."""
+    """Answers one page's prompt with the text of a JSON reply of at most ``max_tokens`` tokens. ``image`` is what ``Encoder`` made."""
 
-    def __call__(self, prompt: str, image: bytes) -> str: ...
+    def __call__(self, prompt: str, image: bytes, max_tokens: int) -> str: ...
+
+
+#: A page image as the model takes it: a real one makes a JPEG and its base64 text, the default only the latter.
+Encoder = Callable[[bytes], bytes]
 
 
 def split_pages(files: DataFrame, splitter: Splitter = form_feed_pages, limit: int = MAX_PAGES) -> DataFrame:
@@ -68,12 +73,15 @@ def with_prompt(pages: DataFrame) -> DataFrame:
     return pages.withColumn("total_pages", total).withColumn("prompt", X.prompt(F.col("page_number"), F.col("total_pages"), F.col("ocr_text")))
 
 
-def inspect(pages: DataFrame, inspector: Inspector) -> DataFrame:
-    """(document_id, page_number, ocr_text, raw, error): the model's reply, or what it raised."""
+def inspect(pages: DataFrame, inspector: Inspector, max_tokens: int = MAX_REPLY_TOKENS, encoder: Encoder = b64encode) -> DataFrame:
+    """(document_id, page_number, ocr_text, raw, error): the model's reply, or what it raised.
+
+    Pages are asked side by side, also those after a page that fails; what they find is left out later.
+    """
 
     def one(prompt: str, image: bytes) -> tuple[str | None, str | None]:
         try:
-            return inspector(prompt, bytes(image)), None
+            return inspector(prompt, encoder(bytes(image)), max_tokens), None
         except Exception as e:  # the document fails, the job goes on
             return None, f"{type(e).__name__}: {e}"
 

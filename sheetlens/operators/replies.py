@@ -14,34 +14,40 @@ def allow_repeated_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def kind(value: Column) -> Column:
-    """First word of a VARIANT's schema: ARRAY, OBJECT, STRING, ..., VOID for JSON null."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def as_list(value: Column) -> Column:
+    """A VARIANT's items; null for anything but a list."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def as_object(value: Column) -> Column:
+    """A VARIANT's fields; null for anything but an object."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
 def _read(text: Column) -> Column:
-    """(text, state, items) of a reply without fence."""
+    """(state, items) of a reply without fence: its one JSON value, or the list under ``issues`` of its one object."""
 
-    def value(v: Column) -> Column:
-        return X.let(kind(v), lambda k: X.let(F.when(k == "ARRAY", v).when(k == "OBJECT", F.try_variant_get(v, "$.issues", "variant")), lambda items: X.let(kind(items), lambda ik: result(v, k, items, ik))))
+    def value(every: Column) -> Column:
+        return X.let(F.when(F.size(every) == 1, every[0]), lambda v: X.let(as_list(v), lambda items: F.when(v.isNull(), result("unparseable")).when(items.isNotNull(), result("ok", items)).otherwise(X.let(as_object(v), fields))))
 
-    def result(v: Column, k: Column, items: Column, ik: Column) -> Column:
-        state = (
-            F.when(v.isNull(), "unparseable")
-            .when(~k.isin("ARRAY", "OBJECT"), "wrong_type")
-            .when(items.isNull() | ik.isin("ARRAY", "STRING", "OBJECT"), "ok")
-            .otherwise("failed")
-        )
-        return F.struct(state.alias("state"), F.when(ik == "ARRAY", items).alias("items"))
+    def fields(o: Column) -> Column:
+        return F.when(o.isNull(), result("wrong_type")).otherwise(X.let(F.try_element_at(o, F.lit("issues")), lambda i: F.when(i.isNull(), result("ok")).otherwise(listed(i))))
 
-    def single(every: Column) -> Column:
-        return F.when(F.try_variant_get(every, "$[1]", "variant").isNull(), F.try_variant_get(every, "$[0]", "variant"))
+    def listed(i: Column) -> Column:
+        return X.let(as_list(i), lambda items: F.when(items.isNotNull(), result("ok", items)).when(as_object(i).isNotNull() | is_text(i), result("ok")).otherwise(result("failed")))
 
-    return X.let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), lambda every: X.let(single(every), value))
+    def result(state: str, items: Column | None = None) -> Column:
+        return F.struct(F.lit(state).alias("state"), (F.lit(None).cast("array<variant>") if items is None else items).alias("items"))
+
+    return X.let(as_list(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))), value)
 
 
 def parsed(replies: DataFrame, raw: str = "raw") -> DataFrame:
-    """Replies with ``items`` (VARIANT list or null) and ``state``: ok, unparseable, wrong_type, failed.
+    """Replies with ``items`` (list of VARIANT, or null) and ``state``: ok, unparseable, wrong_type, failed.
 
     A reply is its one JSON value; text after it makes it unparseable.
     """
@@ -60,23 +66,29 @@ def findings(replies: DataFrame, raw: str = "raw") -> DataFrame:
     Items that are no objects, or whose severity, type or description is not valid, are left out.
     """
     keep = [c for c in replies.columns if c != raw]
-    items = parsed(replies, raw).select(*keep, "items")
-    view = items.lateralJoin(items.sparkSession.tvf.variant_explode(F.col("items").outer()))
-    field = lambda name: F.try_variant_get("value", f"$.{name}", "variant")
-    rows = view.where(kind(F.col("value")) == "OBJECT").select(
-        *keep, F.col("pos").cast("long").alias("pos"),
-        F.lower(X.strip(_as_text(field("severity")))).alias("severity"),
-        F.replace(F.lower(X.strip(_as_text(field("issue_type")))), F.lit(" "), F.lit("_")).alias("issue_type"),
-        X.strip(_as_text(field("description"))).alias("description"),
-        location(field("location_hint")).alias("location_hint"))
-    return rows.where(F.col("severity").isin(*SEVERITIES) & F.col("issue_type").isin(*ISSUE_TYPES) & (F.length("description") > 0))
+
+    def fields(o: Column, pos: Column) -> Column:
+        field = lambda name: F.try_element_at(o, F.lit(name))
+        return F.struct(
+            pos.cast("long").alias("pos"),
+            F.lower(X.strip(_as_text(field("severity")))).alias("severity"),
+            F.replace(F.lower(X.strip(_as_text(field("issue_type")))), F.lit(" "), F.lit("_")).alias("issue_type"),
+            X.strip(_as_text(field("description"))).alias("description"),
+            location(field("location_hint")).alias("location_hint"))
+
+    def valid(r: Column) -> Column:
+        return r["severity"].isin(*SEVERITIES) & r["issue_type"].isin(*ISSUE_TYPES) & (F.length(r["description"]) > 0)
+
+    # inside the list, and an outer explode: filters on its rows would be copied below it with all they compute
+    rows = F.transform("items", lambda v, i: X.let(as_object(v), lambda o: F.when(o.isNotNull(), fields(o, i))))
+    return parsed(replies, raw).select(*keep, F.inline_outer(F.filter(rows, lambda r: F.coalesce(valid(r), F.lit(False))))).where("pos IS NOT NULL")
 
 
 def location(field: Column) -> Column:
     """The hint as text; null where it is missing, null, 0, false, an empty list or object, or blank."""
 
     def shown(v: Column) -> Column:
-        return X.let(_as_text(v), lambda t: F.when(~(v.isNull() | F.is_variant_null(v) | (t.isin("0", "0.0", "false", "[]", "{}") & (kind(v) != "STRING"))), X.empty_to_null(X.strip(t))))
+        return X.let(_as_text(v), lambda t: F.when(~(v.isNull() | F.is_variant_null(v) | (t.isin("0", "0.0", "false", "[]", "{}") & ~is_text(v))), X.empty_to_null(X.strip(t))))
 
     return X.let(field, shown)
 

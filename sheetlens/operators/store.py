@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import checked
+
 #: From which state an action may start.
 STARTS = {"run": ("pending",), "retry": ("failed",), "rerun": ("completed",)}
 
@@ -20,12 +22,12 @@ class ReviewStore:
         self.spark, self.log_path, self.issues_path = spark, f"{folder}/document_log", f"{folder}/issues"
 
     def append_states(self, rows: DataFrame) -> None:
-        """``rows``: the document's columns, and ``seq`` that grows with each change, and ``deleted``."""
-        rows.write.mode("append").parquet(self.log_path)
+        """``rows``: the document's columns, and ``seq`` that grows with each change, and ``deleted``. Checked when written."""
+        checked(rows, "documents").write.mode("append").parquet(self.log_path)
 
     def append_issues(self, rows: DataFrame) -> None:
-        """Findings of a run; those of earlier runs stay."""
-        rows.write.mode("append").parquet(self.issues_path)
+        """Findings of a run; those of earlier runs stay. Checked when written."""
+        checked(rows, "issues").write.mode("append").parquet(self.issues_path)
 
     def documents(self) -> DataFrame:
         return latest(self.spark.read.parquet(self.log_path), "id", "seq").where("NOT deleted").drop("deleted", "seq")
@@ -36,8 +38,8 @@ class ReviewStore:
 
 
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
-    """The newest row of each key, by a maximum that is aggregated before the shuffle."""
-    newest = log.groupBy(key).agg(F.max_by(F.struct(*(c for c in log.columns if c != key)), seq).alias("_row"))
+    """The newest row of each key, of equally new ones the largest by content; a maximum that is aggregated before the shuffle."""
+    newest = log.groupBy(key).agg(F.max(F.struct(seq, *(c for c in log.columns if c not in (key, seq)))).alias("_row"))
     return newest.select(key, "_row.*")
 
 

@@ -44,18 +44,22 @@ def sql_case(col: str, names: dict[str, str], other: str) -> str:
 
 # Lists and details
 
+#: What a document shows of itself in lists and details.
+DOCUMENT = ("id", "filename", "file_path", "page_count", "status", "uploaded_at", "analyzed_at", "issue_count")
 
-@query("""SELECT d.*, coalesce(c.cnt, 0)::BIGINT AS issue_count, row_number() OVER (ORDER BY uploaded_at DESC, d.id)::BIGINT AS pos
+
+@query("""SELECT d.*, coalesce(c.cnt, 0)::BIGINT AS issue_count, row_number() OVER (ORDER BY uploaded_at DESC NULLS LAST, d.id)::BIGINT AS pos
 FROM docs d LEFT JOIN (SELECT document_id, count(id) AS cnt FROM issues GROUP BY 1) c ON c.document_id = d.id""")
 def document_list(spark, sf_dir):
-    """Documents, newest first, with the number of their issues. ``pos`` shows the order; ranges are ranked first, then offset."""
-    rows = L.with_issue_count(review_documents(spark, sf_dir), review_issues(spark, sf_dir).select("id", "document_id"))
-    day = F.to_date("uploaded_at")
-    per_day = rows.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
-    later = per_day.withColumn("later", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row a day
-    in_day = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("uploaded_at"), "id"))
-    placed = rows.withColumn("day", day).withColumn("_in", in_day).join(later, "day")
-    return placed.select("id", "filename", "status", "uploaded_at", "issue_count", (F.col("_in") + F.col("later")).cast("long").alias("pos"))
+    """Documents, newest first, with the number of their issues. ``pos`` shows the order: days are counted from the documents alone, places are inside a day."""
+    docs = review_documents(spark, sf_dir).withColumn("day", F.to_date("uploaded_at"))
+    days = docs.groupBy(F.col("day").alias("of")).agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.desc_nulls_last("of")).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = days.select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("later"))
+    in_day = F.row_number().over(Window.partitionBy("day").orderBy(F.desc_nulls_last("uploaded_at"), "id"))
+    rows = L.with_issue_count(docs, review_issues(spark, sf_dir).select("id", "document_id"))
+    placed = rows.withColumn("_in", in_day).join(days, F.col("day").eqNullSafe(F.col("of")))
+    return placed.select(*DOCUMENT, (F.col("_in") + F.col("later")).cast("long").alias("pos"))
 
 
 DETAIL_ID = 42
@@ -64,7 +68,7 @@ DETAIL_ID = 42
 @query(f"""SELECT d.*, (SELECT count(id) FROM issues WHERE document_id = {DETAIL_ID})::BIGINT AS issue_count FROM docs d WHERE d.id = {DETAIL_ID}""")
 def document_detail(spark, sf_dir):
     issues = review_issues(spark, sf_dir).where(F.col("document_id") == DETAIL_ID).select("id", "document_id")
-    return L.with_issue_count(review_documents(spark, sf_dir).where(F.col("id") == DETAIL_ID), issues).select("id", "filename", "status", "uploaded_at", "issue_count")
+    return L.with_issue_count(review_documents(spark, sf_dir).where(F.col("id") == DETAIL_ID), issues).select(*DOCUMENT)
 
 
 @query("SELECT count(*)::BIGINT AS total FROM docs")
@@ -87,17 +91,24 @@ def issue_counts(spark, sf_dir):
     return L.issue_counts(review_issues(spark, sf_dir))
 
 
-@query("""SELECT d.id, d.status, count(i.id)::BIGINT AS issues, count(i.id) FILTER (i.severity = 'high')::BIGINT AS high
-FROM docs d LEFT JOIN issues i ON i.document_id = d.id GROUP BY 1, 2""")
+@query("""SELECT d.id, d.status, d.page_count, count(i.id)::BIGINT AS issues, count(i.id) FILTER (i.severity = 'high')::BIGINT AS high,
+  string_agg(page_number || ':' || i.id || ':' || issue_type || ':' || description, '; ' ORDER BY page_number, i.id) AS listed
+FROM docs d LEFT JOIN issues i ON i.document_id = d.id GROUP BY 1, 2, 3""")
 def detail_page(spark, sf_dir):
-    """Document, issues and summary put together; a document without issues has zeros."""
-    counts = review_issues(spark, sf_dir).groupBy(F.col("document_id").alias("id")).agg(F.count("id").alias("issues"), F.count_if(F.col("severity") == "high").alias("high"))
-    return review_documents(spark, sf_dir).select("id", "status").join(counts, "id", "left").na.fill(0, ["issues", "high"])
+    """Document, its issues by page and summary put together; a document without issues has zeros."""
+    shown = F.concat_ws(":", F.col("page_number").cast("string"), "id", "issue_type", "description")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "id", shown.alias("shown")))), lambda x: x["shown"]), "; ")
+    found = review_issues(spark, sf_dir).groupBy(F.col("document_id").alias("of")).agg(F.count("id").alias("issues"), F.count_if(F.col("severity") == "high").alias("high"), listed.alias("listed"))
+    return review_documents(spark, sf_dir).select("id", "status", "page_count").join(found, F.col("id") == F.col("of"), "left").drop("of").na.fill(0, ["issues", "high"])
 
 
-@query("SELECT json_object('id', id, 'filename', filename, 'status', status)::VARCHAR AS body FROM docs")
+@query("""SELECT json_object('id', id, 'filename', filename, 'file_path', file_path, 'page_count', page_count, 'status', status, 'uploaded_at', strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S'),
+  'analyzed_at', strftime(analyzed_at, '%Y-%m-%dT%H:%M:%S'), 'issue_count', (SELECT count(*) FROM issues i WHERE i.document_id = docs.id))::VARCHAR AS body FROM docs""")
 def document_json(spark, sf_dir):
-    return review_documents(spark, sf_dir).select(F.to_json(F.struct("id", "filename", "status")).alias("body"))
+    """All fields of the documents as JSON, times in ISO form, null where there is none."""
+    rows = L.with_issue_count(review_documents(spark, sf_dir), review_issues(spark, sf_dir).select("id", "document_id"))
+    shown = rows.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c in ("uploaded_at", "analyzed_at")})
+    return shown.select(F.to_json(F.struct(*DOCUMENT), {"ignoreNullFields": "false"}).alias("body"))
 
 
 @query("SELECT 1 AS ready", views=False)
@@ -256,16 +267,16 @@ def page_count(spark, sf_dir):
 
 
 @query("""SELECT document_id, page_number, 'Review page ' || page_number || ' of ' || count(*) OVER (PARTITION BY document_id) || ' of a drawing set. Text found on the page:' || chr(10)
-  || coalesce(nullif(ocr_text, ''), '(no text extracted)') || chr(10) || 'Answer with JSON: {"issues": [...]}.' AS prompt FROM pages_""")
+  || coalesce(nullif(ocr_text, ''), '(no text extracted)') || chr(10) || 'Answer with JSON: {"issues": [...]}.' AS prompt FROM all_pages""")
 def prompt_text(spark, sf_dir):
-    pages = text_pages(table(spark, sf_dir, "documents"), cap=MAX_PAGES)
+    pages = text_pages(table(spark, sf_dir, "documents"))
     total = F.count("*").over(Window.partitionBy("document_id"))
     return pages.select("document_id", "page_number", X.prompt(F.col("page_number"), total, F.col("ocr_text")).alias("prompt"))
 
 
-@query("SELECT document_id, page_number, base64(encode(ocr_text)) AS body FROM pages_")
+@query("SELECT document_id, page_number, base64(encode(ocr_text)) AS body FROM all_pages")
 def page_base64(spark, sf_dir):
-    pages = text_pages(table(spark, sf_dir, "documents"), cap=MAX_PAGES)
+    pages = text_pages(table(spark, sf_dir, "documents"))
     return pages.select("document_id", "page_number", F.replace(F.base64(F.encode("ocr_text", "UTF-8")), F.lit("\r\n"), F.lit("")).alias("body"))
 
 
@@ -282,9 +293,13 @@ def type_check(spark, sf_dir):
         f, n, X.accepted_upload(F.col("content_type"), f, n, MAX_UPLOAD_BYTES).alias("accepted"), F.coalesce(X.accepted_by_client(f, n, MAX_UPLOAD_BYTES), F.lit(False)).alias("by_client"), X.extension(f).alias("extension"))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM documents WHERE n_chars <= 4000 AND source IN ('src1', 'src2', 'src3')", views=False)
+@query("""SELECT doc_id, filename, strlen(text) <= 4000 AND (kind = 'application/pdf' OR filename LIKE '%.pdf') AS accepted FROM (SELECT doc_id, text,
+  doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' ELSE '.doc' END AS filename, CASE doc_id % 2 WHEN 0 THEN 'application/pdf' ELSE 'text/plain' END AS kind FROM documents)""", views=False)
 def upload_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where((F.col("n_chars") <= 4000) & F.col("source").isin("src1", "src2", "src3")).agg(F.count("*").alias("n"))
+    """Every text as an upload, by name, content type and size."""
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".pdf").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".doc"))
+    kind = F.when(F.col("doc_id") % 2 == 0, "application/pdf").otherwise("text/plain")
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("filename"), X.accepted_upload(kind, name, F.octet_length("text"), 4000).alias("accepted"))
 
 
 @query("SELECT id, id || '_' || regexp_extract('up/' || filename, '[^/]*$') AS name FROM docs")
@@ -292,9 +307,9 @@ def blob_name(spark, sf_dir):
     return review_documents(spark, sf_dir).select("id", X.blob_name(F.col("id"), F.concat(F.lit("up/"), F.col("filename"))).alias("name"))
 
 
-@query("SELECT document_id, page_number, sha256(document_id || '|' || 1 || '|' || page_number) AS id FROM pages_")
+@query("SELECT document_id, page_number, sha256(document_id || '|' || 1 || '|' || page_number) AS id FROM all_pages")
 def hash_id(spark, sf_dir):
-    pages = text_pages(table(spark, sf_dir, "documents"), cap=MAX_PAGES)
+    pages = text_pages(table(spark, sf_dir, "documents"))
     return pages.select("document_id", "page_number", X.row_id(F.col("document_id"), F.lit(1), F.col("page_number")).alias("id"))
 
 
@@ -334,6 +349,18 @@ def unicode_strip(spark, sf_dir):
     return rows.select(F.lower(F.hex(F.encode("given", "UTF-8"))).alias("given"), X.strip(F.col("given")).alias("stripped"))
 
 
+_PADS = tuple(" \t\n\x1c\u00a0\u3000")
+
+
+@query("SELECT p_partkey, p_name AS name, 'a b' AS inner_ FROM part", views=False)
+def strip_column(spark, sf_dir):
+    """Names with white space put around them, stripped again; white space inside stays."""
+    pads = F.array(*map(F.lit, _PADS))
+    pad = lambda n: F.element_at(pads, (F.pmod(F.col("p_partkey") * n, F.lit(len(_PADS))) + 1).cast("int"))
+    around = lambda c: F.concat(pad(1), pad(5), c, pad(7), pad(3))
+    return table(spark, sf_dir, "part").select("p_partkey", X.strip(around(F.col("p_name"))).alias("name"), X.strip(around(F.lit("a b"))).alias("inner_"))
+
+
 # Replies
 
 _ITEM = '{"issue_type":"Missing Tag","severity":" HIGH ","description":"d %s","location_hint":"grid"}'
@@ -373,12 +400,12 @@ def reply_rejects(spark, sf_dir):
 # States
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS state, count(*)::BIGINT AS changes FROM events GROUP BY 1", views=False)
+@query("SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS state, count(*)::BIGINT AS changes FROM events GROUP BY 1", views=False)
 def current_state(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("state"), F.count("*").alias("changes"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("changes"))
 
 
-@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1", views=False)
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1", views=False)
 def latest_rows(spark, sf_dir):
     return S.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts").select("user_id", "event_id", "event_type")
 
@@ -412,13 +439,13 @@ def upsert(spark, sf_dir):
 
 # Demo rows
 
-_FILES = ((0, "structural_plan_floor1.pdf", 4), (1, "mechanical_hvac_layout.pdf", 6))
+_FILES = ((0, "tower_level_two.pdf", 4), (1, "pump_room_pipes.pdf", 6))
 _FINDINGS = (
-    (1, "missing_tag", "high", "top-right quadrant, room 102"),
-    (1, "dimension_mismatch", "high", "center corridor, between grids C and D"),
-    (2, "missing_scale", "medium", "bottom title block"),
-    (2, "unlabeled_element", "medium", "plant room, bottom-left corner"),
-    (3, "inconsistent_annotation", "low", "top-left notes block"),
+    (1, "missing_tag", "high", "beside the stair, axis 4"),
+    (1, "dimension_mismatch", "high", "lift lobby, west wall"),
+    (2, "missing_scale", "medium", "title field"),
+    (2, "unlabeled_element", "medium", "valve group near the tank"),
+    (3, "inconsistent_annotation", "low", "general notes, line 3"),
 )
 _NOW = "2024-01-05 15:07:00"
 

@@ -8,36 +8,44 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import pages as P
 from ..operators.replies import allow_repeated_keys, findings, parsed, second_check
-from ..operators.store import ReviewStore
+from ..operators.store import ReviewStore, may_start
+from ..schema import Settings
 from ..sources.files import pdf_files, pending_documents
 
 
-def ingest(spark: SparkSession, store: ReviewStore, folder: str, now: str) -> None:
+def ingest(spark: SparkSession, store: ReviewStore, folder: str, now: str, settings: Settings = Settings()) -> None:
     """New files become pending documents."""
-    rows = pending_documents(pdf_files(spark, folder), now)
+    add(store, pending_documents(pdf_files(spark, folder, settings.max_upload_bytes), now))
+
+
+def add(store: ReviewStore, rows: DataFrame) -> None:
+    """Documents as they are at first."""
     store.append_states(rows.withColumns({"seq": F.lit(0).cast("long"), "deleted": F.lit(False)}))
 
 
-def analyse(spark: SparkSession, store: ReviewStore, work: str, run_id: int, now: str, reader: P.Reader, inspector: P.Inspector, splitter: P.Splitter = P.form_feed_pages) -> DataFrame:
-    """Run all documents that are not being processed; returns their state after the run.
+def analyse(
+    spark: SparkSession, store: ReviewStore, work: str, run_id: int, now: str, contents: DataFrame, reader: P.Reader, inspector: P.Inspector,
+    splitter: P.Splitter = P.form_feed_pages, ids: DataFrame | None = None, settings: Settings = Settings(),
+) -> DataFrame:
+    """Run the documents of ``ids`` (all, if there are none given) that are not being processed; returns all documents after the run.
 
-    Pages and replies are written below ``work`` before they are used, so that outside calls are not repeated.
-    A document with a page that failed is failed; findings of its pages before that one stay.
+    ``contents(file_path, content)`` are their files, as of ``file_contents``. Pages and replies are written below ``work`` before
+    they are used, so that outside calls are not repeated. A document with a page that failed is failed; findings of its pages
+    before that one stay.
     """
     allow_repeated_keys(spark)
-    docs = store.documents().where("status <> 'processing'")
+    docs = store.documents().where(may_start())
+    if ids is not None:
+        docs = docs.join(ids.select("id").distinct(), "id", "left_semi")
     state = lambda rows, step: rows.withColumns({"seq": F.lit(run_id * 10 + step).cast("long"), "deleted": F.lit(False)})
     docs.write.parquet(f"{work}/run={run_id}/documents")
     docs = spark.read.parquet(f"{work}/run={run_id}/documents")
     store.append_states(state(docs.withColumn("status", F.lit("processing")), 1))
 
-    content = spark.read.format("binaryFile").load([r.file_path for r in docs.select("file_path").distinct().toLocalIterator()]) if docs.limit(1).count() else None
-    if content is None:
-        return docs
-    files = docs.join(content.select(F.col("path").alias("file_path"), "content"), "file_path").select(F.col("id").alias("document_id"), "content")
-    P.read_text(P.split_pages(files, splitter), reader).write.parquet(f"{work}/run={run_id}/pages")
+    files = docs.join(contents, "file_path").select(F.col("id").alias("document_id"), "content")
+    P.read_text(P.split_pages(files, splitter, settings.max_pages), reader).write.parquet(f"{work}/run={run_id}/pages")
     read = spark.read.parquet(f"{work}/run={run_id}/pages")
-    P.inspect(P.with_prompt(read), inspector).write.parquet(f"{work}/run={run_id}/replies")
+    P.inspect(P.with_prompt(read), inspector, settings.max_reply_tokens).write.parquet(f"{work}/run={run_id}/replies")
     replies = spark.read.parquet(f"{work}/run={run_id}/replies")
 
     states = parsed(replies)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +22,20 @@ ISSUE_TYPES = {
 SEVERITY_COLOURS = {"high": "red", "medium": "amber", "low": "green"}
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 MAX_PAGES = 10
+MAX_REPLY_TOKENS = 2048
 OCR_PREFIX = 4000
 LOG_PREFIX = 200
 
+
+@dataclass(frozen=True)
+class Settings:
+    """What one review may be told to do otherwise."""
+
+    max_upload_bytes: int = MAX_UPLOAD_BYTES
+    max_pages: int = MAX_PAGES
+    max_reply_tokens: int = MAX_REPLY_TOKENS
+
+
 DOCUMENTS = T.StructType([
     T.StructField("id", T.StringType(), False),
     T.StructField("filename", T.StringType(), False),
@@ -61,11 +74,27 @@ CHECKS = {
 }
 
 
+TABLES = {"documents": DOCUMENTS, "issues": ISSUES, "pages": PAGES}
+
+
 def create_table_sql(name: str, schema: T.StructType) -> str:
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in schema)
     return f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
 
 
+def migration(up: bool = True) -> list[str]:
+    """Statements that create all tables, or drop them, referring tables first."""
+    return [create_table_sql(n, s) for n, s in TABLES.items()] if up else [f"DROP TABLE IF EXISTS {n}" for n in reversed(TABLES)]
+
+
+def checked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as they are; a row that breaks its table's checks, or lacks a value that it must have, fails the write."""
+    needed = " AND ".join(f"{f.name} IS NOT NULL" for f in TABLES[name] if not f.nullable)
+    good = F.expr(f"{needed} AND coalesce({CHECKS[name]}, true)")
+    what = F.concat(F.lit(f"a row of {name} breaks its checks: "), F.coalesce(F.col("id").cast("string"), F.lit("no id")))
+    return rows.withColumn("id", F.when(good, F.col("id")).otherwise(F.raise_error(what)))
+
+
 def looked_up(names: dict[str, str], col: Column, default: Column | None = None) -> Column:
     """``names[col]``, else ``default`` or the value itself: a map literal, not a join."""
     table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))

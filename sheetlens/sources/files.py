@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +12,33 @@ from ..functions import text as X
 from ..schema import MAX_UPLOAD_BYTES
 
 
+def accepted(files: DataFrame, limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """Files of a listing, or of a stream of files, that may be uploaded, with their ``filename``."""
+    return files.withColumn("filename", X.base_name(F.col("path"))).where(X.accepted_by_client(F.col("filename"), F.col("length"), limit))
+
+
 def pdf_files(spark: SparkSession, folder: str, limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """Accepted PDF files below ``folder`` (any URI scheme that Hadoop reads): path, filename, length, content.
 
     Size and name are read from the listing; ``content`` is not loaded unless selected.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
-    return files.withColumn("filename", X.base_name(F.col("path"))).where((X.extension(F.col("filename")) == "pdf") & (F.col("length") <= limit))
+    return accepted(files, limit)
+
+
+def file_contents(spark: SparkSession, folder: str, limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """(file_path, content) of all accepted files below ``folder``; documents meet them by a join, so no list of paths is made."""
+    return pdf_files(spark, folder, limit).select(F.col("path").alias("file_path"), "content")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below ``spark.checkpoint.dir``, or on a single machine below /tmp."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/review-{uuid.uuid4().hex}"
 
 
 def pending_documents(files: DataFrame, uploaded_at: str) -> DataFrame:
@@ -27,7 +50,7 @@ def pending_documents(files: DataFrame, uploaded_at: str) -> DataFrame:
 
 
 def delete_file(spark: SparkSession, path: str) -> bool:
-    """Remove a stored file through Hadoop's file system; a missing file is no error."""
+    """Remove a stored file through Hadoop's file system; whether there was one."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, False))

@@ -1,14 +1,17 @@
 """The review from files to findings, its states, deletion, and files that arrive later."""
 
+import base64
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetlens.operators.listing import csv_files, write_csv_files
-from sheetlens.operators.store import ReviewStore
+from sheetlens.operators.store import ReviewStore, latest
 from sheetlens.plans import review
-from sheetlens.sources.files import delete_file, file_exists, pdf_files
+from sheetlens.schema import Settings, migration
+from sheetlens.sources.files import delete_file, file_contents, file_exists, pdf_files
 from sheetlens.streaming.arrivals import watch
 
 NOW = "2024-01-05 15:07:00"
@@ -20,7 +23,9 @@ def reader(image: bytes) -> str:
     return image.decode() + " "
 
 
-def inspector(prompt: str, image: bytes) -> str:
+def inspector(prompt: str, image: bytes, max_tokens: int) -> str:
+    image = base64.b64decode(image)
+    assert max_tokens == 2048
     if b"down" in image:
         raise ConnectionError("model is down")
     found = [{"issue_type": "Missing Tag", "severity": "HIGH", "description": f"{image.decode()}, \"here\"", "location_hint": None}]
@@ -41,7 +46,7 @@ def test_review(spark, tmp_path):
     review.ingest(spark, store, d, NOW)
     assert {r.filename: r.status for r in store.documents().collect()} == {"a.pdf": "pending", "b.PDF": "pending", "e.pdf": "pending"}
     work = str(tmp_path / "work")
-    rows = {r.filename: r for r in review.analyse(spark, store, work, 1, NOW, reader, inspector).collect()}
+    rows = {r.filename: r for r in review.analyse(spark, store, work, 1, NOW, file_contents(spark, d), reader, inspector).collect()}
     assert (rows["a.pdf"].status, rows["a.pdf"].page_count) == ("completed", 10)
     assert rows["a.pdf"].analyzed_at is not None
     assert (rows["b.PDF"].status, rows["b.PDF"].analyzed_at) == ("failed", None)
@@ -50,13 +55,38 @@ def test_review(spark, tmp_path):
     assert {r["filename"]: r["count"] for r in issues.groupBy("filename").count().collect()} == {"a.pdf": 10, "b.PDF": 1}
     assert {r.raw_ocr_text for r in issues.where("filename = 'b.PDF'").collect()} == {"tag 1"}
     # a second run appends
-    review.analyse(spark, store, work, 2, NOW, reader, inspector)
+    contents = file_contents(spark, d)
+    review.analyse(spark, store, work, 2, NOW, contents, reader, inspector)
     assert store.issues().count() == 22
     assert store.issues().select("id").distinct().count() == 22
+    # a run of one document leaves the others
+    only = store.documents().where("filename = 'b.PDF'").select("id")
+    review.analyse(spark, store, work, 3, NOW, contents, reader, inspector, ids=only, settings=Settings(max_pages=1))
+    rows = {r.filename: (r.status, r.page_count) for r in store.documents().collect()}
+    assert rows == {"a.pdf": ("completed", 10), "b.PDF": ("completed", 1), "e.pdf": ("completed", 1)}
+    assert store.issues().count() == 23
     # deletion hides the document and its issues
     review.delete(store, store.documents().where("filename = 'a.pdf'").select("id"), 100)
     assert store.documents().count() == 2
-    assert store.issues().count() == 2
+    assert store.issues().count() == 3
+
+
+def test_checks_when_written(spark, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    row = ("i", "a.pdf", "/a.pdf", None, "pending", 0, False)
+    rows = lambda **other: spark.createDataFrame([row], "id string, filename string, file_path string, page_count int, status string, seq long, deleted boolean").withColumns({"uploaded_at": F.lit(NOW).cast("timestamp_ntz"), **{k: F.lit(v) for k, v in other.items()}})
+    store.append_states(rows())
+    for other in ({"status": "unheard"}, {"filename": "x" * 256}, {"file_path": None}):
+        with pytest.raises(Exception, match="breaks its checks"):
+            store.append_states(rows(**other))
+    assert [r.id for r in store.documents().collect()] == ["i"]
+    for statement in (*migration(), *migration(up=False)):
+        spark.sql(statement)
+
+
+def test_newest_of_equally_new(spark):
+    log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "p"), ("a", 2, "q"), ("b", 1, None)], "id string, seq long, state string")
+    assert sorted((r.id, r.state) for r in latest(log, "id", "seq").collect()) == [("a", "q"), ("b", None)]
 
 
 def test_csv_files(spark, tmp_path):
@@ -81,5 +111,6 @@ def test_arrivals(spark, tmp_path):
     store = ReviewStore(spark, str(tmp_path / "store"))
     watch(spark, store, d, str(tmp_path / "check"), NOW).awaitTermination(60)
     (tmp_path / "in" / "b.pdf").write_bytes(b"y")
-    watch(spark, store, d, str(tmp_path / "check"), NOW).awaitTermination(60)
+    (tmp_path / "in" / "large.pdf").write_bytes(b"y" * 30)
+    watch(spark, store, d, str(tmp_path / "check"), NOW, limit=20).awaitTermination(60)
     assert sorted(r.filename for r in store.documents().collect()) == ["a.pdf", "b.pdf"]
