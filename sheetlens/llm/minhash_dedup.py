@@ -271,19 +271,17 @@ def lowest_share(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def likely_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Of ``members(key, node, root, top, registers, plain, lowest, low_counts)``, likely pairs (a, b) of one key and different roots.
+    """Of ``members(key, node, root, top, blocks, few_blocks, registers, plain, lowest, low_counts)``, likely pairs (a, b) of one key and different roots.
 
-    Blocks of a key's members outside its ``top`` component meet blocks of all its members, each two blocks in a task of their own
+    ``blocks`` of a key's members and ``few_blocks`` of those outside its ``top`` component have about ``BLOCK`` each. Blocks of a key's members outside its ``top`` component meet blocks of all its members, each two blocks in a task of their own
     choice, so a large key is spread over all tasks. A task compares the registers of two blocks, then the smallest hashes, which
     for most texts are all. So no row for each pair is made.
     """
     least = least_equal(threshold)
-    sizes = saved(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("root") != F.col("top")) / BLOCK).alias("few_blocks")), "sizes")
-    cut = members.join(sizes, "key")
     near = threshold - 4 * (threshold * (1 - threshold) / LOWEST) ** 0.5
     entries = F.collect_list(F.struct("node", "root", "registers", "plain", "lowest", "low_counts"))
-    every = saved(cut.groupBy("key", F.pmod(F.xxhash64("node"), "blocks").alias("block")).agg(entries.alias("all")), "all")  # BLOCK members, more or less
-    few = saved(cut.where("root <> top").groupBy("key", "top", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), "few_blocks").alias("few_block")).agg(entries.alias("few")), "few")
+    every = saved(members.groupBy("key", F.pmod(F.xxhash64("node"), "blocks").alias("block")).agg(entries.alias("all")), "all")  # BLOCK members, more or less
+    few = saved(members.where("root <> top").groupBy("key", "top", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), "few_blocks").alias("few_block")).agg(entries.alias("few")), "few")
     meet = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(every, ["key", "block"])
 
     def make():
@@ -313,7 +311,7 @@ def likely_across(members: DataFrame, threshold: float) -> DataFrame:
         return compare
 
     found = saved(map_rows(meet.select("few", "all", "top"), make, "a long, b long", rows=16).distinct(), "across")
-    discard(sizes, every, few)
+    discard(every, few)
     return found
 
 
@@ -352,7 +350,9 @@ def classed_rows(docs: DataFrame, doc_id: str, text: str, threshold: float) -> D
     # buckets that still hold several components
     placed = saved(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed_keys = saved(sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1").select("key", F.col("top.root").alias("top")), "mixed")
+    mixed_keys = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    blocks, few_blocks = (F.ceil(n / BLOCK) for n in (F.col("n"), F.col("n") - F.col("top.n")))
+    mixed_keys = saved(mixed_keys.select("key", F.col("top.root").alias("top"), blocks.alias("blocks"), few_blocks.alias("few_blocks")), "mixed")
     rest = saved(placed.join(mixed_keys, "key").join(nodes.select("node", "registers", "plain"), "node").join(sets.select("node", "lowest", "low_counts"), "node"), "rest")
     more = likely_across(rest, threshold).join(pairs, ["a", "b"], "left_anti")
     found = verified(more, sets, threshold)
