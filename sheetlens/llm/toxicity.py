@@ -33,6 +33,7 @@ from functools import reduce
 from heapq import heapify, heappop, heappush
 from operator import or_
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,7 @@ COVERS = 4
 #: Tokens of at most so many characters may be pieces of one word.
 FRAGMENT = 3
 EDGE = " .,;:?\"'()[]{}«»“”‘’…-_*#%&=<>/\\~^`"
+TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 #: Signs around a word that stand for no letter.
 SIGNS = EDGE.replace("(", "")
 
@@ -96,11 +98,15 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
         table, counts = class_table(), np.zeros(27**3, np.int64)
 
         def take(cols):
-            for t in cols["text"]:
-                if t:
-                    c = table[np.minimum(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
-                    c = np.concatenate(([0, 0], c, [0]))
-                    counts[:] += np.bincount((c[:-2] * 27 + c[1:-1]) * 27 + c[2:], minlength=27**3)
+            texts = [t for t in cols["text"] if t]
+            if not texts:
+                return
+            c = table[np.minimum(np.frombuffer(("\0\0" + "\0\0".join(texts) + "\0").encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+            grams = (c[:-2] * 27 + c[1:-1]) * 27 + c[2:]
+            last = 1 + np.cumsum([len(t) + 2 for t in texts[:-1]]) - 2  # a text's last letter and the two spaces after it are no trigram
+            counts[:] += np.bincount(grams, minlength=27**3)
+            if len(last):
+                counts[:] -= np.bincount(grams[last.astype(int)], minlength=27**3)
 
         def result():
             at = np.flatnonzero(counts)
@@ -156,7 +162,7 @@ class Restorer:
 
     @staticmethod
     def repeats(token: str) -> bool:
-        return any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
+        return TRIPLE.search(token) is not None
 
     def options(self, text: str, i: int, signs: bool = False) -> list[tuple[str, float]]:
         """What the character at ``i`` may be, with costs: '' is nothing, ' ' a word's end. With ``signs``, each sign is a letter."""
@@ -270,7 +276,7 @@ def features(words: list[str]) -> set[str]:
 class Memo(dict):
     """A dict that computes what it lacks, emptied when it has grown large."""
 
-    def __init__(self, make, limit: int = 200_000):
+    def __init__(self, make, limit: int = 100_000):
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
@@ -347,10 +353,20 @@ def spelled(run: str, stems: re.Pattern, names: frozenset[str] | set[str]) -> se
     return found
 
 
+def may_join(token: str) -> int:
+    """1 for a token that can be a piece of a word in pieces and has more to restore than spaces, else 0."""
+    piece, size = piece_of(token)
+    return int(size <= FRAGMENT and piece != "" and (not piece.isalpha() or Restorer.repeats(piece)))
+
+
+#: White space and the signs around pieces, so that the letters of pieces in a row stand together without them.
+BETWEEN = re.compile("[\\s" + re.escape(EDGE + "!") + "]+")
+
+
 def feature_memos(model: np.ndarray) -> tuple[Memo, Memo]:
     """The features of tokens, and of runs of pieces."""
     restorer = Restorer(model)
-    return Memo(lambda w: frozenset(features(restorer.words(w)))), Memo(lambda run: frozenset(features(restorer.decode(run).split())), 50_000)
+    return Memo(lambda w: frozenset(features(restorer.words(w))), 20_000), Memo(lambda run: frozenset(features(restorer.decode(run).split())), 20_000)
 
 
 def text_features(memo: Memo, runs: Memo, text: str) -> set[str]:
@@ -362,18 +378,17 @@ def text_features(memo: Memo, runs: Memo, text: str) -> set[str]:
 def learn_rules(sample: DataFrame, model: np.ndarray, least: int = 3, purity: float = 0.7) -> tuple[dict[str, float], float]:
     """Rules with their share of toxic texts, and the share among texts that no rule covers; ``sample`` are distinct texts."""
     def make():
-        memos, counts = feature_memos(model), Counter()
+        memos = feature_memos(model)
 
-        def take(cols):
+        def count(cols):
+            counts = Counter()
             for t, y in zip(cols["text"], cols["label"], strict=True):
                 counts.update((f, y) for f in text_features(*memos, t))
-
-        def result():
             return {"feature": [f for f, _ in counts], "label": [y for _, y in counts], "n": list(counts.values())}
 
-        return take, result
+        return count
 
-    counted = fold_tasks(sample, make, "feature string, label int, n long").groupBy("feature").agg(
+    counted = map_rows(sample, make, "feature string, label int, n long", rows=500).groupBy("feature").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
     # a gain below ``least`` at the start never rises
     pure = (F.col("bad") >= purity * F.col("n")) & (F.col("bad") - 2 * (F.col("n") - F.col("bad")) >= least)
@@ -433,10 +448,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str
     bit = {f: 1 << i for i, f in enumerate(names)}
     stems = re.compile("(?=(" + "|".join(sorted({re.escape(f.rstrip("*")) for f in names})) + "))") if names else None
 
+    spelt = ahocorasick.Automaton()
+    for f in names:
+        spelt.add_word(f.rstrip("*"), 1)
+    spelt.make_automaton()
+
     def make():
         restorer = Restorer(model)
         bits = lambda words: reduce(or_, (bit.get(f, 0) for f in features(words)), 0)
-        memo = Memo(lambda w: bits(restorer.words(w)))
+        heads = {f.rstrip("*")[:3] for f in names}
+
+        def look(token: str) -> int:
+            """Rules of a token; the lowest bit is no rule, but says that runs with it are to be looked at."""
+            core = token.lower()
+            if not core.isalpha():
+                core = core.strip(EDGE)
+            if not core.isalpha() or TRIPLE.search(core):
+                return bits(restorer.words(token)) << 1 | may_join(token)
+            held = bits([core]) << 1 if core[:3] in heads else 0
+            return held if len(core) > FRAGMENT else held | may_join(token)
+
+        memo = Memo(look)
 
         def joined(run: str) -> int:
             parts = spelled(run, stems, bit.keys())
@@ -456,8 +488,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str
             out = {"doc_id": cols["doc_id"], "score": [], "rules": []}
             for t in cols["text"]:
                 tokens = (t or "").split()
-                mask = reduce(or_, set(map(memo.__getitem__, tokens)), 0)
-                if names:
+                seen = reduce(or_, set(map(memo.__getitem__, tokens)), 0)
+                mask = seen >> 1
+                # no run of pieces spells a rule unless its letters stand together in the text, and none is decoded unless a piece hides something
+                if names and (seen & 1 or next(spelt.iter(BETWEEN.sub("", t.lower())), None) if t else False):
                     for run in runs_of(tokens):
                         mask |= runs[run]
                 value, held = outcome[mask]
