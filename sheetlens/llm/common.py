@@ -72,16 +72,18 @@ def bounded_sample(rows: DataFrame, key: list[str], bound: int, seed: int = 7, b
     """About ``bound`` rows (per value of ``by``), chosen by a seeded hash of the columns ``key``.
 
     The rate is ``bound / rows counted``, so the expected size never exceeds ``bound`` whatever
-    the size of the table; all rows are taken where there are fewer. Rows that agree in ``key`` are taken
+    the size of the table; all rows are taken where there are fewer. ``by`` is not null. Rows that agree in ``key`` are taken
     together, so callers that collect name enough columns and drop equal rows.
     """
     unit = hash_unit(F.struct(*key), seed)
     if by is None:
         n = rows.count()
         return rows if n <= bound else rows.where(unit < bound / n)
-    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
-    counted = rows.join(counts, F.col(by).eqNullSafe(F.col("_by")))
-    return counted.where(unit * F.col("_n") < F.lit(float(bound))).drop("_by", "_n")
+    counts = rows.groupBy(by).count().collect()  # one row a value: a caller collects ``bound`` rows of each anyway
+    if not counts:
+        return rows
+    n = F.try_element_at(F.create_map(*(F.lit(x) for value, n in counts for x in (value, float(n)))), F.col(by))
+    return rows.where(unit * n < F.lit(float(bound)))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, chars: int = 8_000_000) -> Iterator[dict[str, list]]:
