@@ -31,6 +31,9 @@ REPEAT = "=again"
 
 def shape_of(word: str) -> str:
     """``~`` and the word with runs of letters as a (A if all are capitals), digits as 0, other signs once."""
+    core, end = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+    if core.isalpha() and not end.isalnum():  # most words need no pattern
+        return ("~A" if core.isupper() and len(core) > 1 else "~a") + end
     s = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", word)
     return "~" + re.sub(r"(.)\1+", r"\1", re.sub(r"\d+", "0", s))
 
