@@ -439,24 +439,24 @@ def upsert(spark, sf_dir):
 
 # Demo rows
 
-_FILES = ((0, "tower_level_two.pdf", 4), (1, "pump_room_pipes.pdf", 6))
-_FINDINGS = (
+DEMO_FILES = ((0, "tower_level_two.pdf", 4), (1, "pump_room_pipes.pdf", 6))
+DEMO_FINDINGS = (
     (1, "missing_tag", "high", "beside the stair, axis 4"),
     (1, "dimension_mismatch", "high", "lift lobby, west wall"),
     (2, "missing_scale", "medium", "title field"),
     (2, "unlabeled_element", "medium", "valve group near the tank"),
     (3, "inconsistent_annotation", "low", "general notes, line 3"),
 )
-_NOW = "2024-01-05 15:07:00"
+DEMO_NOW = "2024-01-05 15:07:00"
 
 
-@query(f"""SELECT i::INT AS i, filename, page_count::INT AS page_count, page_number::INT AS page_number, issue_type, severity, location_hint, TIMESTAMP '{_NOW}' - to_hours(i * 3 + 1) AS uploaded_at, TIMESTAMP '{_NOW}' - to_hours(i * 3) AS analyzed_at
-FROM ({sql_values(*_FILES)}) d(i, filename, page_count) CROSS JOIN ({sql_values(*_FINDINGS)}) f(page_number, issue_type, severity, location_hint)""", views=False)
+@query(f"""SELECT i::INT AS i, filename, page_count::INT AS page_count, page_number::INT AS page_number, issue_type, severity, location_hint, TIMESTAMP '{DEMO_NOW}' - to_hours(i * 3 + 1) AS uploaded_at, TIMESTAMP '{DEMO_NOW}' - to_hours(i * 3) AS analyzed_at
+FROM ({sql_values(*DEMO_FILES)}) d(i, filename, page_count) CROSS JOIN ({sql_values(*DEMO_FINDINGS)}) f(page_number, issue_type, severity, location_hint)""", views=False)
 def seed_cross(spark, sf_dir):
     """Two documents with five findings each: fixed rows, so a product of constants."""
-    docs = values(spark, "i int, filename string, page_count int", *_FILES)
-    found = values(spark, "page_number int, issue_type string, severity string, location_hint string", *_FINDINGS)
-    now = F.lit(_NOW).cast("timestamp_ntz")
+    docs = values(spark, "i int, filename string, page_count int", *DEMO_FILES)
+    found = values(spark, "page_number int, issue_type string, severity string, location_hint string", *DEMO_FINDINGS)
+    now = F.lit(DEMO_NOW).cast("timestamp_ntz")
     ago = lambda n: now - F.make_dt_interval(F.lit(0), n)
     rows = docs.crossJoin(F.broadcast(found))
     return rows.select("i", "filename", "page_count", "page_number", "issue_type", "severity", "location_hint", ago(F.col("i") * 3 + 1).alias("uploaded_at"), ago(F.col("i") * 3).alias("analyzed_at"))

@@ -8,14 +8,14 @@ from base64 import b64decode
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES
+from ..functions.text import SPACES, row_id
 from ..operators.listing import with_issue_count
 from ..operators.store import ReviewStore
-from ..schema import ISSUE_TYPES, MAX_PAGES, OCR_PREFIX, SEVERITIES
+from ..schema import ISSUE_TYPES, MAX_PAGES, OCR_PREFIX, SEVERITIES, type_label
 from ..sources.files import accepted, pending_documents, work_folder
 from ..sources.tables import PAGE_CHARS, table
 from . import review
-from .catalogue import query
+from .catalogue import DEMO_FILES, DEMO_FINDINGS, DEMO_NOW, query, sql_case, sql_values, values
 
 ADDED, FIRST, SECOND = "2024-01-05 15:07:00", "2024-01-05 16:00:00", "2024-01-06 09:30:00"
 #: Page lengths that say what happens to a page: the reader fails, the model fails, its reply is no JSON, its list is null.
@@ -106,3 +106,23 @@ def review_listing(spark, sf_dir) -> DataFrame:
     """All columns of the documents as the reviewer sees them after both runs."""
     store = reviewed(spark, sf_dir)
     return with_issue_count(store.documents(), store.issues()).select("id", "filename", "file_path", "page_count", "status", "uploaded_at", "analyzed_at", "issue_count")
+
+
+@query(f"""WITH d AS (SELECT *, sha256('demo/' || filename || '|0') AS document_id FROM ({sql_values(*DEMO_FILES)}) v(i, filename, page_count)), f AS (SELECT * FROM ({sql_values(*DEMO_FINDINGS)}) v(page_number, issue_type, severity, location_hint))
+SELECT filename, 'completed' AS status, page_count::INT AS page_count, TIMESTAMP '{DEMO_NOW}' - to_hours(i * 3 + 1) AS uploaded_at, TIMESTAMP '{DEMO_NOW}' - to_hours(i * 3) AS analyzed_at,
+  sha256(document_id || '|0|' || page_number || '|' || issue_type) AS id, document_id, page_number::INT AS page_number, issue_type, severity, {sql_case("issue_type", ISSUE_TYPES, "issue_type")} || ': ' || location_hint AS description,
+  location_hint, TIMESTAMP '{DEMO_NOW}' AS created_at FROM d CROSS JOIN f""", views=False)
+def seed_insert(spark, sf_dir) -> DataFrame:
+    """Demo documents, already reviewed, and their findings: written through the store with its checks, and read back."""
+    store, now = ReviewStore(spark, f"{work_folder(spark)}/store"), F.lit(DEMO_NOW).cast("timestamp_ntz")
+    ago = lambda hours: now - F.make_dt_interval(F.lit(0), hours)
+    docs = values(spark, "i int, filename string, page_count int", *DEMO_FILES).withColumn("file_path", F.concat(F.lit("demo/"), "filename"))
+    review.add(store, docs.select(
+        row_id(F.col("file_path"), F.lit(0)).alias("id"), "filename", "file_path", "page_count", F.lit("completed").alias("status"), ago(F.col("i") * 3 + 1).alias("uploaded_at"), ago(F.col("i") * 3).alias("analyzed_at")))
+    found = values(spark, "page_number int, issue_type string, severity string, location_hint string", *DEMO_FINDINGS)
+    rows = store.documents().select(F.col("id").alias("document_id")).crossJoin(F.broadcast(found))
+    store.append_issues(rows.select(
+        row_id(F.col("document_id"), F.lit(0), F.col("page_number"), F.col("issue_type")).alias("id"), "document_id", "page_number", "issue_type", "severity",
+        F.concat(type_label(F.col("issue_type")), F.lit(": "), "location_hint").alias("description"), "location_hint", F.lit(None).cast("string").alias("raw_ocr_text"), now.alias("created_at"), F.lit(0).alias("run_id")))
+    shown = store.documents().select(F.col("id").alias("document_id"), "filename", "status", "page_count", "uploaded_at", "analyzed_at")
+    return store.issues().join(shown, "document_id").drop("raw_ocr_text", "run_id")
