@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_sql, embedding_dedup, license_scan, topk_search
+from . import chat_sql, embedding_dedup, license_scan, merkle, topk_search
 from .chat_format import ROLES, format_chats, learn
 from .common import crc_mod, documents
 from .embedding_dedup import linked_vectors
@@ -111,6 +111,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), changed={"text": merkle.lowered("text")}, suspect=crc_mod("doc_id", 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -131,4 +136,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": chat_sql.oracle(NAMES, WRITTEN, MISSING, UNKNOWN, MISSPELT, SWAPPED, INNER, INNER_LINE),
     "op7_topk_search": topk_search.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
 }
