@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_sql, embedding_dedup, license_scan, merkle, topk_search
+from . import chat_sql, embedding_dedup, license_scan, merkle, phrases, topk_search, warc
 from .chat_format import ROLES, format_chats, learn
 from .common import crc_mod, documents
 from .embedding_dedup import linked_vectors
@@ -111,10 +111,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), changed={"text": merkle.lowered("text")}, suspect=crc_mod("doc_id", 5) == 0)
 
 
+#: One page in so many has a torn write before its record: the archives that the query reads are damaged ones.
+TORN = 16
+
+
+def pages_in_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and gaps of the archives of all pages."""
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), "2024-01-01T00:00:00Z", torn=crc_mod("page_id", TORN) == 3)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = pages_in_archives(spark, sf_dir).where("gap IS NULL")
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -126,7 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc": op13_warc,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -136,5 +156,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": chat_sql.oracle(NAMES, WRITTEN, MISSING, UNKNOWN, MISSPELT, SWAPPED, INNER, INNER_LINE),
     "op7_topk_search": topk_search.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "op11_phrase_mining": phrases.ORACLE,
     "op12_merkle_manifest": merkle.oracle(),
+    "op13_warc": warc.ORACLE,
 }
