@@ -77,12 +77,25 @@ def test_shards_and_trees(spark, monkeypatch):
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 1000, 100_000):
-        keys = rng.integers(0, 2**64, (2, n), np.uint64)
-        keys[0, : n // 2] = 7  # many share one half
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64))
         h = P.PerfectHash(keys)
-        assert sorted(h.slots(keys).tolist()) == list(range(n))
-        assert (h.slots(rng.integers(0, 2**64, (2, 5000), np.uint64)) == -1).all()
-        assert (h.slots(keys ^ np.array([[0], [1]], np.uint64))[n // 2 :] == -1).all()
+        assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
+        assert (h.slots(rng.integers(0, 2**64, 5000, np.uint64)) == -1).all()
+
+
+def test_another_seed_is_tried_when_keys_are_shared(spark, monkeypatch):
+    plain, seeds = P.counted_candidates, []
+
+    def shared_at_first(table, usual, least, keys, seed):
+        seeds.append(seed)
+        if seed == 0:
+            raise P.SharedKey
+        return plain(table, usual, least, keys, seed)
+
+    monkeypatch.setattr(P, "counted_candidates", shared_at_first)
+    rows = ROWS[13:20]
+    assert found(edge_rows.documents(spark, rows), least=2) == brute(rows, 2)
+    assert seeds == [0, 1]
 
 
 def test_full_filters_lose_nothing(spark, monkeypatch):
