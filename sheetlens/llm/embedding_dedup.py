@@ -4,11 +4,15 @@ Codes: unit vectors of a bounded sample are centred and projected on their princ
 iterative quantisation turns the axes until the signs lose least, and each bit is cut at its median,
 so bits are balanced. Vectors of fewer than ``BITS`` dimensions get several turns, each from its own start, so all have
 ``BITS`` bits. A dense group would pull centre and cuts into itself, and its codes would scatter; so of the sample only vectors
-are fitted on whose cosine with all before them is below ``APART``. Every vector is encoded.
+are fitted on whose cosine with all before them is below ``APART``; where they are few, seeded random directions fill them up, so that no rotation is learned
+from a handful of points and no cut runs through the only groups there are. Every vector is encoded.
+
+Then misses are measured: sampled vectors are turned by the threshold's angle, and the share of these pairs that no table brings together is counted. While it is
+above ``MISS``, another set of codes, from a rotation with another start, adds its tables.
 
 Retrieval: a code is cut into ``TABLES`` parts, and a table's buckets hold the vectors of one label, one length and one part. Two
 vectors meet in the first table in which their parts differ in one bit at most; codes that differ in fewer than
-2 x ``TABLES`` bits always meet. Pairs whose whole codes are more than ``FAR`` bits apart are left out, the others are compared by the
+2 x ``TABLES`` bits always meet. Pairs all of whose codes are more than ``FAR`` bits apart are left out, the others are compared by the
 cosine of their vectors in double precision.
 
 A pair of buckets with few pairs gives these as rows. One with many, as a group of near copies makes, is
@@ -46,13 +50,15 @@ DENSE = 1024
 #: of about so many vectors.
 BLOCK = 256
 APART = 0.9
+#: Of pairs just at the threshold, the tables may miss so many; ``SETS`` is a guard.
+MISS, SETS = 1e-4, 8
 
 
-def turned_axes(x: np.ndarray, bits: int, rounds: int) -> np.ndarray:
+def turned_axes(x: np.ndarray, bits: int, rounds: int, seed: int = 11) -> np.ndarray:
     """Projection of centred rows on turned principal axes, ``bits`` columns: as many turns, each from its own start, as that takes."""
     _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, :bits]
-    v, rng, found = x @ axes, np.random.default_rng(11), []
+    v, rng, found = x @ axes, np.random.default_rng(seed), []
     for _ in range(-(-bits // v.shape[1])):
         turn, _ = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))
         for _ in range(rounds):
@@ -77,13 +83,15 @@ def leaders(x: np.ndarray, step: int = 500) -> np.ndarray:
     return kept
 
 
-def learn_codes(sample: np.ndarray, bits: int = BITS, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def learn_codes(sample: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(centre, projection, cuts) of iterative quantisation, from a sample of vectors."""
     if not len(sample):
         return np.zeros(0), np.zeros((0, 0)), np.zeros(0)
     x = leaders(unit_rows(sample))
+    if len(x) < 4 * bits:
+        x = np.concatenate([x, unit_rows(np.random.default_rng(seed + 1).normal(size=(4 * bits - len(x), x.shape[1])))])
     centre = x.mean(0)
-    projection = turned_axes(x - centre, bits, rounds)
+    projection = turned_axes(x - centre, bits, rounds, seed)
     return centre, projection, np.median((x - centre) @ projection, axis=0)
 
 
@@ -98,17 +106,42 @@ def encode(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> n
     return (on.astype(np.uint64) << np.arange(on.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def turned_pairs(x: np.ndarray, threshold: float, pairs: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, and each turned by the threshold's angle in a random direction."""
+    rng = np.random.default_rng(5)
+    x = x[rng.integers(0, len(x), pairs if x.shape[1] < 1000 else pairs // 10)]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 5e-324)
+    return x, threshold * x + (1 - threshold**2) ** 0.5 * away
+
+
+def learn_sets(sample: np.ndarray, threshold: float, tables: int = TABLES) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Models of as many sets of codes as bring the measured misses below ``MISS``."""
+    models = [learn_codes(sample)]
+    if not len(sample) or sample.shape[1] < 2:
+        return models
+    x, y = turned_pairs(unit_rows(sample), threshold)
+    missed = np.ones(len(x), bool)
+    while True:
+        xor = encode(x, models[-1]).view(np.uint64) ^ encode(y, models[-1]).view(np.uint64)
+        missed &= ~met_before(xor[None], tables, [(0, *part) for part in masks(tables)])
+        if missed.mean() <= MISS or len(models) == SETS:
+            return models
+        models.append(learn_codes(sample, seed=11 + 97 * len(models)))
+
+
 def masks(tables: int) -> list[tuple[int, int]]:
     """(first bit, number of bits) of each table's part."""
     edges = [t * BITS // tables for t in range(tables + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def met_before(xor: np.ndarray, table: int, parts: list[tuple[int, int]]) -> np.ndarray:
-    """Whether codes that differ by ``xor`` meet in a table before ``table``."""
-    before = np.zeros(xor.shape, bool)
-    for first, width in parts[:table]:
-        part = (xor >> np.uint64(first)) & np.uint64((1 << width) - 1)
+def met_before(xor: np.ndarray, table: int, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Whether codes that differ by ``xor``, by set, meet in a table before ``table``; ``parts`` are the tables' (set, first bit, bits)."""
+    before = np.zeros(xor.shape[1:], bool)
+    for number, first, width in parts[:table]:
+        part = (xor[number] >> np.uint64(first)) & np.uint64((1 << width) - 1)
         before |= (part & (part - np.uint64(1))) == 0  # no bit or one
     return before
 
@@ -194,18 +227,18 @@ def joined(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
         a, b = new_a, new_b
 
 
-def block_pairs(threshold: float, parts: list[tuple[int, int]], far: int):
+def block_pairs(threshold: float, parts: list[tuple[int, int, int]], far: int):
     """Rows (t, same, block_a, block_b): all pairs of two blocks that meet in table ``t`` first."""
 
     def take(links: Links, batch: pa.RecordBatch) -> None:
         for row in range(batch.num_rows):
             r = {k: v[0] for k, v in batch.slice(row, 1).to_pydict().items()}
             (a, ca, na, x), (b, cb, nb, y) = (
-                (np.array([m["node"] for m in block]), np.array([m["code"] for m in block], np.int64).view(np.uint64), np.array([m["copies"] for m in block], np.int64), matrix([m["unit"] for m in block]))
+                (np.array([m["node"] for m in block]), np.array([m["code"] for m in block], np.int64).view(np.uint64).T, np.array([m["copies"] for m in block], np.int64), matrix([m["unit"] for m in block]))
                 for block in (r["block_a"], r["block_b"])
             )
-            xor = ca[:, None] ^ cb[None, :]
-            near = (x @ y.T >= threshold) & (np.bitwise_count(xor) <= far) & ~met_before(xor, r["t"], parts)
+            xor = ca[:, :, None] ^ cb[:, None, :]
+            near = (x @ y.T >= threshold) & (np.bitwise_count(xor).min(0) <= far) & ~met_before(xor, r["t"], parts)
             if r["same"]:
                 near &= a[:, None] < b[None, :]
             links.counted(a, near @ nb)
@@ -227,25 +260,25 @@ def linked_vectors(
     keyed = good.withColumns({"k1": F.xxhash64("label", "v"), "k2": F.xxhash64(F.lit(1), "v", "label")})
     nodes = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    shared = spark.sparkContext.broadcast(learn_codes(sample_matrix(nodes, "v", sample)))  # a matrix of the vectors' length x BITS
+    shared = spark.sparkContext.broadcast(learn_sets(sample_matrix(nodes, "v", sample), threshold, tables))  # matrices of the vectors' length x BITS
 
     def make_codes():
         def codes(cols):
             n = len(cols["v"])
-            unit, code = [None] * n, np.zeros(n, np.int64)
+            unit, code = [None] * n, np.zeros((n, len(shared.value)), np.int64)
             sizes = np.array([len(v) for v in cols["v"]])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 x = unit_rows(np.array([cols["v"][i] for i in at], float))
-                code[at] = encode(x, shared.value)
+                code[at] = np.stack([encode(x, model) for model in shared.value], 1)
                 for i, row in zip(at, x, strict=True):
                     unit[i] = row.tobytes()
             return {"node": cols["node"], "copies": cols["copies"], "part": [f"{size}:{x}" for size, x in zip(sizes, cols["label"], strict=True)], "code": code.tolist(), "unit": unit}
 
         return codes
 
-    coded = saved(map_rows(nodes.select("node", "copies", "label", "v"), make_codes, "node long, copies long, part string, code long, unit binary", rows=5000), "codes")
-    found = saved(found_links(coded, threshold, tables, far, dense), "links")
+    coded = saved(map_rows(nodes.select("node", "copies", "label", "v"), make_codes, "node long, copies long, part string, code array<long>, unit binary", rows=5000), "codes")
+    found = saved(found_links(coded, threshold, tables, far, dense, len(shared.value)), "links")
     roots = saved(connected_components(found.where("n IS NULL").select("a", "b")), "roots")
     degree = saved(found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others")), "degree")
     placed = saved(nodes.select("k1", "k2", "node", "copies", "least").join(roots, "node", "left").join(degree, "node", "left")
@@ -257,28 +290,29 @@ def linked_vectors(
     return keyed.select("vec_id", "k1", "k2").join(result, ["k1", "k2"]).select("vec_id", "n_links", "component_id").unionByName(alone)
 
 
-def found_links(coded: DataFrame, threshold: float, tables: int, far: int, dense: int) -> DataFrame:
-    """``link_rows`` of all pairs of ``coded(node, copies, part, code, unit)`` that meet; ``part`` is what both must share."""
-    parts = masks(tables)
-    at = lambda code, t: F.shiftrightunsigned(code, parts[t][0]).bitwiseAND(F.lit((1 << parts[t][1]) - 1))
+def found_links(coded: DataFrame, threshold: float, tables: int, far: int, dense: int, sets: int = 1) -> DataFrame:
+    """``link_rows`` of all pairs of ``coded(node, copies, part, code, unit)`` that meet; ``part`` is what both must share, ``code`` has a code of each set."""
+    parts = [(number, *part) for number in range(sets) for part in masks(tables)]
+    tables = len(parts)
+    at = lambda code, t: F.shiftrightunsigned(code[parts[t][0]], parts[t][1]).bitwiseAND(F.lit((1 << parts[t][2]) - 1))
     place = ["part", "t", "bits"]
     entries = coded.select("node", "code", "part", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), at(F.col("code"), t).alias("bits")) for t in range(tables)))).alias("e")).select("node", "code", "part", "e.*")
     buckets = saved(entries.groupBy(*place).agg(F.count("*").alias("n")), "buckets")
     # each bucket meets itself and those whose part has one bit more
-    width = max(w for _, w in parts)
+    width = max(w for _, _, w in parts)
     other = buckets.withColumn("flip", F.explode(F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(width))))).where(F.col("bits").bitwiseAND(F.col("flip")) == 0)
     other = other.select(*place, "n", (F.col("bits") + F.col("flip")).alias("bits_b"))
     meet = saved(other.join(buckets.withColumnsRenamed({"bits": "bits_b", "n": "n_b"}), ["part", "t", "bits_b"]).where((F.col("bits") != F.col("bits_b")) | (F.col("n") > 1)), "meet")
 
-    def earlier(xor: Column) -> Column:
-        """Whether the codes meet in a table before ``t``."""
+    def earlier(xor: list[Column]) -> Column:
+        """Whether codes that differ by ``xor``, by set, meet in a table before ``t``."""
         return F.array_max(F.array(F.lit(False), *((F.col("t") > t) & (F.bit_count(at(xor, t)) <= 1) for t in range(tables - 1))))
 
     pairs = F.col("n") * F.col("n_b")
     side = lambda s, **names: entries.withColumnsRenamed({"node": s, "code": f"code_{s}", **names})
-    xor = F.col("code_a").bitwiseXOR(F.col("code_b"))
+    xor = [F.col("code_a")[n].bitwiseXOR(F.col("code_b")[n]) for n in range(sets)]
     once = (F.col("bits") != F.col("bits_b")) | (F.col("a") < F.col("b"))
-    few = side("a").join(meet.where(pairs < dense), place).join(side("b", bits="bits_b"), ["part", "t", "bits_b"]).where(once & (F.bit_count(xor) <= far) & ~earlier(xor)).select("a", "b")
+    few = side("a").join(meet.where(pairs < dense), place).join(side("b", bits="bits_b"), ["part", "t", "bits_b"]).where(once & (F.array_min(F.array(*map(F.bit_count, xor))) <= far) & ~earlier(xor)).select("a", "b")
     few = saved(few, "pairs")
     for s in "ab":
         few = few.join(coded.select(F.col("node").alias(s), F.col("copies").alias(f"copies_{s}"), F.col("unit").alias(f"unit_{s}")), s)

@@ -79,6 +79,25 @@ def test_a_group_of_half_of_the_rows(spark, dims, dense):
     assert found >= 0.99 * there
 
 
+@pytest.mark.parametrize("clusters", [3, 6, 12])
+def test_few_directions_lose_no_link(spark, clusters):
+    """Where all vectors stand in a few groups, every link is still found."""
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 64))
+    x = centres[np.arange(600) % clusters] + rng.normal(size=(600, 64)) * 0.09
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = brute_links(x, np.ones(600))
+    assert 0 < want.sum() < 600 * 600
+    got = {r.vec_id: r.n_links for r in linked_vectors(df).collect()}
+    assert [got[i] for i in range(600)] == want.tolist()
+
+
+def test_sets_are_added_until_few_are_missed():
+    rng = np.random.default_rng(2)
+    assert len(E.learn_sets(rng.normal(size=(3000, 64)), 0.98)) <= 2
+    assert len(E.learn_sets(rng.normal(size=(3000, 64)), 0.9)) > 2
+
+
 def test_few_dimensions_do_not_meet_all(spark):
     rng = np.random.default_rng(0)
     coded = E.encode(E.unit_rows(rng.normal(size=(1500, 16))), E.learn_codes(rng.normal(size=(1500, 16))))
