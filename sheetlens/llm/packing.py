@@ -57,6 +57,9 @@ class WordIds:
     """
 
     LIMIT = 500_000
+    #: Runs of white space so long are not given to the pattern.
+    RUN = 2000
+    RUNS = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")  # white space as the pattern's engine has it
     PROBE = "It's 12 words,  don't\n\tspace  d\u00e9j\u00e0 \u65e5\u672c\U0001f600 $x_1#"
 
     def __init__(self, path: str):
@@ -79,7 +82,25 @@ class WordIds:
             raise ValueError(f"the ids of {path} are not its merge order")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self.fast.encode_ordinary(t), "<u4") for t in texts]
+        return [np.array(self.in_parts(t) if len(t) > self.RUN and self.RUNS.search(t) else self.fast.encode_ordinary(t), "<u4") for t in texts]
+
+    def in_parts(self, text: str) -> list[int]:
+        """Ids of a text with long runs of white space, on which the pattern's engine would run out of stack.
+
+        The pattern takes all of a run but its last character as one part, or the whole run at the text's end; so a text can be cut before and after that part.
+        What of the run is left has one character, and the parts on both sides split as they do in the whole text.
+        """
+        ids, at = [], 0
+        for run in self.RUNS.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            ids += self.fast.encode_ordinary(text[at : run.start()])
+            ids += self.merged(text[run.start() : stop])
+            at = stop
+        return ids + self.fast.encode_ordinary(text[at:])
+
+    def merged(self, part: str) -> list[int]:
+        """Ids of one part of the split."""
+        return self.fast._encode_single_piece(part)
 
     def learn(self, words: list[str], at_once: int = 500) -> None:
         groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]

@@ -113,3 +113,18 @@ def test_reduction_fixes_only_what_an_optimum_has(items):
     assert sum(n for n, _ in fixed) + (best_possible(rest, 20) if rest else 0) >= best_possible(items, 20)
     if not rest:
         assert sum(n for n, _ in fixed) == best_possible(items, 20)
+
+
+def test_long_runs_of_white_space(spark):
+    """Runs on which the pattern's own engine runs out of stack, alone and between words, against the file's tokenizer; some long runs also through the query's path."""
+    ids, slow = P.WordIds(PATH), tokenizer()
+    for ch in " \n\t\u3000":
+        for n in (P.WordIds.RUN - 1, P.WordIds.RUN, P.WordIds.RUN + 1, 2_000_000):
+            for text in (ch * n, f"a{ch * n}b", f"x y{ch * n}", f"{ch * n}'s", f"a b{ch * n}\x1c{ch * n}\u00e9 c"):
+                if n < 10_000 or text == ch * n:
+                    assert ids.encode([text])[0] == np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    assert len(ids.encode([text])[0]) > 0
+    docs = [(1, f"a{ch * 1_500_000}b") for ch in " \n"] + [(2, "plain")]
+    rows = P.pack(edge_rows.documents(spark, [(i, t, "en", "s", 1) for i, t in docs]), PATH, capacity=1024).collect()
+    check(rows, docs)
