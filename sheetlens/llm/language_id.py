@@ -7,15 +7,17 @@ falls into few long phrases. The count, multiplied by log2 of the sample's lengt
 naming a phrase) and divided by the number of characters, is the cross-parsing entropy; the
 language with the least wins. The score is ``1 - least / second least``.
 
-The automata of all languages are one transition table, and thousands of texts advance through it
+The transitions of all automata share one array: a state's are stored at its own base plus the symbol, where no other state's are, each with the state it
+belongs to. So the array has about as many entries as there are transitions, however many characters the languages have. Thousands of texts advance through it
 together, a character a step. So that a long text needs no more steps than others, it is parsed in several places
 side by side: its streams begin every ``CHUNK`` characters and run ``OVER`` characters into the next one's. From the first character after which two
 streams are in the same state of the automaton they are one and the same parse, so there the later stream takes over, and the phrases are those of
 the whole text's parse. Where two streams do not meet, one stream parses the whole text.
 
 Training texts are a sample: for each language at most ``chars_per_language`` characters, of about
-``docs_per_language`` whole rows no longer than that, chosen by a seeded hash. These two parameters bound the automata and what is
-broadcast. Everything else reads all rows.
+``docs_per_language`` rows, chosen by a seeded hash; of a text that does not fit, a stretch is taken. Where a column holds so many languages that they would
+have more than ``chars_in_all`` characters together, each has its share of these, ``LEAST_CHARS`` at least, so that every language is learned.
+These parameters bound the automata and what is broadcast. Everything else reads all rows.
 
 Defined results: a null text, or one without letters, gives ``und`` and score 0, as does every
 text when no labelled text is left to learn from. With one language learned, that one wins with score 1.
@@ -33,11 +35,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_rows
+from .common import hash_unit, map_rows
 
 CHUNK = 2048
 OVER = 256
 STREAMS = 4096
+#: What a language gets at least, however many there are.
+LEAST_CHARS = 200
 #: Symbols: a letter that no training text holds, and anything that is no letter.
 UNKNOWN, OUTSIDE = 0, 1
 _LETTER = None
@@ -86,6 +90,37 @@ def folded(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
 
 
+def packed(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, entries): the transition of state q by symbol s is entry base[q] + s, as q in the upper and its target in the lower 32 bits; -1 where there is none."""
+    base, used, at = np.zeros(len(rows), np.int64), bytearray(2 * width + 2 * sum(map(len, rows))), width
+    entries: dict[int, int] = {}
+    for q in sorted(range(len(rows)), key=lambda q: -len(rows[q])):
+        symbols = sorted(rows[q])
+        if not symbols:
+            continue
+        place, tries = at, 0
+        while True:
+            place = used.find(0, place)
+            if place < 0 or place + width >= len(used):
+                used += bytes(len(used))
+                place = used.find(0, at)
+            start = place - symbols[0]
+            if all(not used[start + s] for s in symbols):
+                break
+            place, tries = place + 1, tries + 1
+        if tries > 50:  # what lies before is nearly full
+            at = place
+        elif len(symbols) == 1:
+            at = place + 1
+        base[q] = start
+        for s in symbols:
+            used[start + s] = 1
+            entries[start + s] = q << 32 | rows[q][s]
+    out = np.full(max(entries, default=0) + 2 * width + 1, -1, np.int64)
+    out[np.fromiter(entries, np.int64, len(entries))] = np.fromiter(entries.values(), np.int64, len(entries))
+    return base, out
+
+
 class CrossParser:
     """The automata of all languages in one table; parses many texts at a time."""
 
@@ -99,21 +134,16 @@ class CrossParser:
         self.symbol = np.where(letter, UNKNOWN, OUTSIDE).astype(np.int32)
         self.symbol[seen] = np.arange(2, 2 + len(seen))
         self.width = 2 + len(seen)
-        tables, self.roots, self.cost, at = [], [], [], 0
+        rows, self.roots, self.cost = [], [], []
         for lang in self.langs:
             # an unknown letter stands between texts, so that no match runs from one to the next
             symbols = [s for p in points[lang] for s in [*self._squeezed(self.symbol[p]).tolist(), UNKNOWN]]
             automaton = suffix_automaton(symbols)
-            table = np.full((len(automaton), self.width), -1, np.int32)
-            for state, out in enumerate(automaton):
-                for s, to in out.items():
-                    table[state, s] = to + at
-            table[:, UNKNOWN] = -1
-            tables.append(table)
+            at = len(rows)
+            rows += [{c: to + at for c, to in out.items() if c != UNKNOWN} for out in automaton]
             self.roots.append(at)
             self.cost.append(math.log2(2 + len(symbols)))
-            at += len(automaton)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.base, self.entries = packed(rows, self.width)
 
     @staticmethod
     def _squeezed(symbols: np.ndarray) -> np.ndarray:
@@ -183,18 +213,18 @@ class CrossParser:
         grid = np.ascontiguousarray(grid.T)
         live = np.searchsorted(-sizes, -np.arange(len(grid)), "left")  # streams longer than each step
         root = np.array(self.roots, np.int32)
-        again = self.table.reshape(-1, self.width)[root]  # (languages, symbols): where the root leads
-        again = np.where(again < 0, root[:, None], again)
+        again = self.entries[self.base[root][:, None] + np.arange(self.width)]  # (languages, symbols): where the root leads
+        again = np.where(again >> 32 == root[:, None], again & 0xFFFFFFFF, root[:, None]).astype(np.int32)
         state = np.repeat(root[:, None], n, 1)
         count = np.ones((k, n), np.int64)
         head, tail = ((np.zeros((k, OVER, n), np.int32), np.zeros((k, OVER, n), bool)) if marked else None for _ in range(2))
-        width = self.width
         for step, m in enumerate(live):
             if m < state.shape[1]:
                 state = np.ascontiguousarray(state[:, :m])
             s = grid[step, :m]
-            to = self.table.take(state * width + s)
-            ends = to < 0
+            to = self.entries.take(self.base.take(state) + s)
+            ends = (to >> 32) != state
+            to = (to & 0xFFFFFFFF).astype(np.int32)
             count[:, :m] += ends
             np.copyto(to, again.take(s, 1), where=ends)
             state = to
@@ -207,17 +237,23 @@ class CrossParser:
 _PARSERS: dict[str, CrossParser] = {}
 
 
-def training_texts(rows: DataFrame, lang: str, text: str, key: str, docs_per_language: int, chars_per_language: int) -> dict[str, list[str]]:
-    """Distinct whole texts by language, in the order of their ids' hash, up to the bound."""
-    known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars_per_language))
-    picked = bounded_sample(known.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), F.col(key).cast("string").alias("k")), ["k", "t"], docs_per_language, seed=8, by="l")
+def training_texts(rows: DataFrame, lang: str, text: str, key: str, docs_per_language: int, chars_per_language: int, chars_in_all: int = 2_000_000) -> dict[str, list[str]]:
+    """Distinct texts by language, in the order of their ids' hash, up to the bound; of a text that does not fit, a stretch."""
+    known = rows.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), F.col(key).cast("string").alias("k"))
+    counts = known.groupBy("l").count().collect()  # one row a language: each is learned
+    if not counts:
+        return {}
+    most = min(chars_per_language, max(LEAST_CHARS, chars_in_all // len(counts)))
+    n = F.try_element_at(F.create_map(*(F.lit(x) for value, n in counts for x in (value, float(n)))), F.col("l"))
+    start = F.pmod(F.xxhash64("k"), F.greatest(F.length("t") - most, F.lit(0)) + 1) + 1
+    picked = known.where(hash_unit(F.struct("k", "t"), 8) * n < F.lit(float(docs_per_language))).withColumn("t", F.substring("t", start, F.lit(most)))
     out: dict[str, list[str]] = {}
     room: dict[str, int] = {}
     for r in sorted(picked.groupBy("l", "t").agg(F.min(F.xxhash64("k")).alias("h")).collect(), key=lambda r: (r[0], r.h, r.t)):
-        left = room.setdefault(r[0], chars_per_language)
-        if r.t and len(r.t) <= left:
-            out.setdefault(r[0], []).append(r.t)
-            room[r[0]] -= len(r.t)
+        left = room.setdefault(r[0], most)
+        if left:
+            out.setdefault(r[0], []).append(r.t[:left])
+            room[r[0]] -= len(r.t[:left])
     return out
 
 
