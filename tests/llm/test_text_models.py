@@ -222,3 +222,26 @@ def test_letters_beyond_the_basic_plane(spark):
     assert got[3] == "got"
     assert got[4] in ("got", "en")
     assert got[5] == "und"
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    """A language whose texts are all longer than the bound gives stretches of them; many languages share the bound and none is lost."""
+    en = ["the cat sat on the mat and the dog ran to the house", "this is the way that we go there", "with the other words of the", "and then they went home"]
+    de = [" ".join(["der hund und die katze sind nicht im haus", "ich gehe mit dem kind durch die stadt"][i % 2] for i in range(1200)) for _ in range(4)]
+    rows = [(i, t, "en") for i, t in enumerate(en)] + [(10 + i, t, "de") for i, t in enumerate(de)] + [(20, "der hund ist nicht im haus", None), (21, "the dog went to the house", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (40_000, 500):
+        got = {r.doc_id: r.lang_pred for r in L.identify_language(df, F.lit(True), chars_per_language=size).collect()}
+        assert [got[i] for i in (10, 11, 12, 13, 20, 21)] == ["de"] * 5 + ["en"]
+    samples = L.training_texts(df, "lang", "text", "doc_id", 60, 40_000, chars_in_all=600)
+    assert {k: sum(map(len, v)) for k, v in samples.items()} == {"de": 300, "en": sum(map(len, en))}
+
+
+def test_large_alphabets_take_little_memory():
+    rng = np.random.default_rng(1)
+    samples = {k: ["".join(chr(c) for c in rng.integers(first, first + 3000, 20_000))] for k, first in (("x", 0x4E00), ("y", 0x6000))}
+    parser = L.CrossParser(samples)
+    assert parser.width > 5000
+    assert parser.entries.nbytes + parser.base.nbytes < 20e6
+    bits, _ = parser.entropies([samples["x"][0][100:400], samples["y"][0][5:50]])
+    assert bits[0].argmin() == 0 and bits[1].argmin() == 1
