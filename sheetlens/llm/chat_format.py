@@ -14,7 +14,7 @@ that Viterbi over the whole transcript finds.
 
 Defined results: a row is a turn, also where it runs through several chunks, so a turn's text must fit a row. A null or empty part adds no
 line; a transcript without lines gives no turn. The first line always begins a turn. Parts of equal number (repeated rows) stand in the
-order of their text, and where more than ``most`` rows share a chunk, in cells of about ``PARTS`` by a hash of it. Parts
+order of a hash of their text; where more than ``most`` rows share a chunk, cells of ``PARTS`` rows are ranges of that order. Parts
 without number stand before all others, as if of one number. Labelled turns without number or transcript id have no known turn before them.
 Ties of paths go to the state listed first. A row without transcript id is a transcript of its own.
 An empty table gives an empty result. Other columns are not read.
@@ -154,18 +154,21 @@ def in_chunks(rows: DataFrame, most: int) -> DataFrame:
     chunk = F.floor(F.coalesce("part", F.lit(UNNUMBERED)) / PARTS) * PARTS
     rows = rows.withColumn("chunk", chunk.cast("long"))
     big = saved(rows.groupBy("key", "chunk").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", "chunk"), "big")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]).alias("parts")
+    h = F.xxhash64("text").alias("h")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("part", h, "text"))), lambda x: x["text"]).alias("parts")
     if big.isEmpty():
         return rows.groupBy("key", "chunk", F.lit(0).cast("long").alias("cell")).agg(parts)
     usual = rows.join(big, ["key", "chunk"], "left_anti").groupBy("key", "chunk", F.lit(0).cast("long").alias("cell")).agg(parts)
-    # a number that many rows share: equal texts are counted, and pieces of them dealt to cells
+    # a number that many rows share: equal texts are counted, and cells are ranges of the same order; places are summed by the first bits of the hash, then inside them
     number = F.coalesce("part", F.lit(UNNUMBERED)).alias("chunk")
-    texts = saved(rows.join(big, ["key", "chunk"], "left_semi").groupBy("key", number, "text").agg(F.count("*").alias("n")), "texts")
-    cells = texts.groupBy("key", "chunk").agg(F.ceil(F.sum("n") / PARTS).alias("cells"))
-    pieces = texts.join(cells, ["key", "chunk"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PARTS))))
-    copies = F.array_repeat("text", F.least(F.lit(PARTS).cast("long"), F.col("n") - F.col("piece") * PARTS).cast("int"))
-    dealt = pieces.select("key", "chunk", F.pmod(F.xxhash64("text", "piece"), "cells").alias("cell"), "text", copies.alias("copies"))
-    return usual.unionByName(dealt.groupBy("key", "chunk", "cell").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("text", "copies"))), lambda x: x["copies"])).alias("parts")))
+    texts = saved(rows.join(big, ["key", "chunk"], "left_semi").groupBy("key", number, "text", h).agg(F.count("*").alias("n")).withColumn("bits", F.shiftright("h", 48)), "texts")
+    upto = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy("key", "chunk", *order[:-1]).orderBy(*order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = texts.groupBy("key", "chunk", "bits").agg(F.sum("n").alias("n")).select("key", "chunk", "bits", upto(["bits"]).alias("base"))
+    place = texts.withColumn("inner", upto("bits", ["h", "text"])).join(base, ["key", "chunk", "bits"]).withColumn("place", F.col("base") + F.col("inner"))
+    dealt = place.withColumn("cell", F.explode(F.sequence(F.floor(F.col("place") / PARTS), F.floor((F.col("place") + F.col("n") - 1) / PARTS))))
+    held = F.least(F.col("place") + F.col("n"), (F.col("cell") + 1) * PARTS) - F.greatest(F.col("place"), F.col("cell") * PARTS)
+    copies = dealt.select("key", "chunk", "cell", "h", "text", F.array_repeat("text", held.cast("int")).alias("copies"))
+    return usual.unionByName(copies.groupBy("key", "chunk", "cell").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("h", "text", "copies"))), lambda x: x["copies"])).alias("parts")))
 
 
 def tree_levels(most: int) -> list[tuple[Column, Column]]:

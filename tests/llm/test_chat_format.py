@@ -91,7 +91,8 @@ def test_many_rows_of_one_number(spark):
     rows = [(1, None, "User: early"), (1, 0, "User: hi"), (1, 1, "Bot: yo"), (2, None, "Bot: only"), (None, None, "User: no id"), (4, None, None)]
     rows += [(3, None, "User: same")] * 150 + [(3, None, f"Bot: answer {i}") for i in range(150)] + [(3, 0, "User: end")]
     rows += [(5, 0, "User: first")] + [(5, 1, f"Bot: {i}") for i in range(120)] + [(5, 2, "User: last")]
-    for most in (100, 1000):
+    every = []
+    for most in (10, 100, 10**6):
         got = C.format_chats(spark.createDataFrame(rows, "conv_id long, part long, text string"), counts, most=most).collect()
         assert [(r.turn, r.role, r.text) for r in sorted(got, key=lambda r: r.turn) if r.conv_id == 1] == [(0, "user", "early"), (1, "user", "hi"), (2, "assistant", "yo")]
         assert sorted((r.conv_id or 0, r.turn, r.role, r.text) for r in got if r.conv_id in (None, 2, 4)) == [(0, 0, "user", "no id"), (2, 0, "assistant", "only")]
@@ -100,6 +101,8 @@ def test_many_rows_of_one_number(spark):
             assert [r.turn for r in many] == list(range(n))
             assert many[-1].text == end
         assert sum(r.text == "same" for r in got) == 150
+        every.append(sorted(tuple(r) for r in got if r.conv_id))
+    assert every[0] == every[1] == every[2]  # the size of chunks changes no turn
 
 
 def test_markers():
