@@ -13,8 +13,8 @@ fixed size, which may let phrases through but loses none. The keys that pass are
 Counting: a minimal perfect hash gives each candidate's key, and each frequent word's, a slot. Keys are placed level by level: those alone at
 their place of a level get its bit, the others go on to the next; a slot is the number of bits before a key's own. Each slot stores its key, so that phrases
 that are no candidates fall out. A task counts its slices into one array of slots by ``bincount``; the arrays are
-summed chunk by chunk in a tree, ``FAN`` at a time. Beside the counts stand the least and the greatest of a second hash of all that was counted in a slot: were they to differ, two
-phrases would share a key, and everything is done again with another seed. The first slice that holds a slot is named there too, and gives the phrase's words.
+summed chunk by chunk in a tree, ``FAN`` at a time. Beside the counts stands a second hash of what was counted in a slot: were two to differ,
+two phrases would share a key, and everything is done again with another seed. The first slice that holds a slot is named there too, and gives the phrase's words.
 A candidate's own count, and those of both sides of each cut, are then read by slot. Where there are more keys than
 ``KEYS``, they are dealt into shards by hash, and the slices are counted once for each shard; so what is broadcast is bounded whatever the
 data (``KEYS`` keys and counts, and the filters), and only the number of passes grows.
@@ -287,29 +287,47 @@ def likely_keys(table: DataFrame, least: int, lengths: range, seed: int, frequen
     return counted.where(F.col("n") >= least).select("key")
 
 
-#: What a task knows of each slot: occurrences, the least and the greatest second hash, the first slice. Second hashes stand as signed numbers.
-NONE = np.iinfo(np.int64).max
-FIELDS = {"counts": (0, np.add), "low": (NONE, np.minimum), "high": (-NONE - 1, np.maximum), "owner": (NONE, np.minimum)}
+#: What a task knows of each slot: occurrences, 31 bits of the second hash, the first slice. ``UNSEEN`` stands for a slot without any, ``TWO`` for different second hashes.
+NONE, UNSEEN, TWO = np.iinfo(np.int64).max, np.iinfo(np.int32).max, -1
+
+
+def one_second(rows: np.ndarray) -> np.ndarray:
+    """Of second hashes by slot, the one that all rows have that saw the slot; ``TWO`` if they differ."""
+    low, high = rows.min(0), np.where(rows == UNSEEN, TWO, rows).max(0)
+    return np.where((low == UNSEEN) | (low == high), low, np.int32(TWO))
+
+
+FIELDS = {
+    "counts": (np.int64, 0, lambda rows: rows.sum(0)),
+    "second": (np.int32, UNSEEN, one_second),
+    "owner": (np.int64, NONE, lambda rows: rows.min(0)),
+}
+SHAPE = "part long, chunk long, counts array<long>, second array<int>, owner array<long>"
+
+
+def empty_fields(size: int) -> dict[str, np.ndarray]:
+    return {c: np.full(size, none, kind) for c, (kind, none, _) in FIELDS.items()}
 
 
 def slot_counts(table: DataFrame, seed: int, frequent, filters, hash_) -> DataFrame:
-    """(part, chunk, counts, low, high, owner): each task's ``FIELDS`` by slot, chunk by chunk, chunks without counts left out."""
-    arrow = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), *((c, pa.list_(pa.int64())) for c in FIELDS)])
+    """(part, chunk, counts, second, owner): each task's ``FIELDS`` by slot, chunk by chunk, chunks without counts left out."""
+    arrow = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), *((c, pa.list_(pa.from_numpy_dtype(kind))) for c, (kind, _, _) in FIELDS.items())])
 
     def make() -> Work:
         size = len(hash_.value.keys)
-        held = {c: np.full(size, none, np.int64) for c, (none, _) in FIELDS.items()}
+        held = empty_fields(size)
 
         def add(lanes: np.ndarray, number: int, weights: np.ndarray | None = None) -> None:
             slots = hash_.value.slots(lanes[0])
             keep = slots >= 0
-            slots, second = slots[keep], lanes[1][keep].view(np.int64)
+            slots, second = slots[keep], (lanes[1][keep] % np.uint64(UNSEEN)).astype(np.int32)
             if weights is None:
                 held["counts"] += np.bincount(slots, minlength=size)
             else:
                 np.add.at(held["counts"], slots, weights[keep])
-            np.minimum.at(held["low"], slots, second)
-            np.maximum.at(held["high"], slots, second)
+            new = held["second"][slots] == UNSEEN
+            held["second"][slots[new]] = second[new]
+            held["second"][slots[held["second"][slots] != second]] = TWO
             held["owner"][slots] = np.minimum(held["owner"][slots], number)
 
         def take(row: dict) -> Iterator[dict]:
@@ -328,21 +346,20 @@ def slot_counts(table: DataFrame, seed: int, frequent, filters, hash_) -> DataFr
 
         return take, result
 
-    return over_slices(table, "part long, chunk long, " + ", ".join(f"{c} array<long>" for c in FIELDS), arrow, make)
+    return over_slices(table, SHAPE, arrow, make)
 
 
 def tree_sum(rows: DataFrame) -> DataFrame:
-    """(chunk, counts, low, high, owner): the arrays of each chunk put together, ``FAN`` parts in a group, then their results."""
-    shape = "part long, chunk long, " + ", ".join(f"{c} array<long>" for c in FIELDS)
+    """(chunk, counts, second, owner): the arrays of each chunk put together, ``FAN`` parts in a group, then their results."""
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [key[1]], "chunk": [key[0]]} | {c: [how.reduce(np.stack(group[c].to_list()))] for c, (_, how) in FIELDS.items()})
+        return pd.DataFrame({"part": [key[1]], "chunk": [key[0]]} | {c: [how(np.stack(group[c].to_list()))] for c, (_, _, how) in FIELDS.items()})
 
     rows = saved(rows, "counts")
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // FAN)
-        summed = saved(rows.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).groupBy("chunk", "part").applyInPandas(add, shape), "counts")
+        summed = saved(rows.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).groupBy("chunk", "part").applyInPandas(add, SHAPE), "counts")
         discard(rows)
         rows = summed
         if parts <= 1:
@@ -446,14 +463,14 @@ def counted_candidates(table: DataFrame, usual: DataFrame, least: int, keys: int
     for shard in range(shards):
         some = every.where(F.pmod("key", F.lit(shards)) == shard).toArrow()
         hash_ = PerfectHash(some["key"].to_numpy().astype(np.int64).view(np.uint64))
-        sent, held = share(hash_), {c: np.full(len(hash_.keys), none, np.int64) for c, (none, _) in FIELDS.items()}
+        sent, held = share(hash_), empty_fields(len(hash_.keys))
         summed = tree_sum(slot_counts(table, seed, frequent, filters, sent))
         for batch in summed.toArrow().to_batches():
             for r in batch.to_pylist():
                 for c, v in held.items():
                     v[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = r[c]
         discard(summed)
-        if (held["low"] < held["high"]).any():
+        if (held["second"] == TWO).any():
             raise SharedKey
         phrases.append(saved(owned_phrases(table, seed, frequent, filters, sent, share(held["owner"])), "phrases"))
         if shards > 1:  # read again below, one after the other
@@ -482,7 +499,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int =
     if least < 1:
         raise ValueError("least must be at least 1")
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    table = saved(coded(texts), "coded")
+    table = saved(coded(texts), "coded", compression="zstd")
     words = saved(word_counts(table), "words")
     usual = words.where(F.col("n") >= least)
     for seed in range(SEEDS):

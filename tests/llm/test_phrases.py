@@ -98,6 +98,11 @@ def test_another_seed_is_tried_when_keys_are_shared(spark, monkeypatch):
     assert seeds == [0, 1]
 
 
+def test_different_second_hashes_are_noticed():
+    a = np.array([[5, P.UNSEEN, P.UNSEEN, 7, P.TWO], [5, 6, P.UNSEEN, 8, 4]], np.int32)
+    assert P.one_second(a).tolist() == [5, 6, P.UNSEEN, P.TWO, P.TWO]
+
+
 def test_full_filters_lose_nothing(spark, monkeypatch):
     """A filter whose bits are all set lets everything through: more candidates, the same rows."""
     monkeypatch.setattr(P.Filter, "of", classmethod(lambda cls, rows: cls(np.full(P.FILTER_BITS // 64, ~np.uint64(0)))))
