@@ -89,11 +89,17 @@ def csv_files(issues: DataFrame) -> DataFrame:
     return body.select("document_id", F.concat(F.lit(",".join(CSV_COLUMNS) + "\n"), "body").alias("csv"))
 
 
-def write_csv_files(issues: DataFrame, folder: str) -> None:
-    """One text file per document below ``folder/document_id=...``; quoted newlines stay as they are, and Spark ends the file with one more."""
-    csv_files(issues).select("document_id", F.col("csv").alias("value")).repartition("document_id").write.partitionBy("document_id").text(folder)
-
-
 def card_text() -> Column:
     """What a list card says of its issues."""
     return F.when(F.col("issue_count") > 0, X.plural(F.col("issue_count"), "issue")).when(F.col("status") == "completed", "No issues").otherwise("")
+
+
+def positions(rows: DataFrame, place: str, cell: Column) -> DataFrame:
+    """``rows`` with ``pos``, from 1 by ``place`` descending. ``cell`` follows the same order and parts the rows: cells are counted first, places are found inside them."""
+    parted = rows.withColumn("_cell", cell)
+    cells = parted.groupBy("_cell").agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    cells = cells.select(F.col("_cell").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(F.desc(place)))
+    placed = parted.withColumn("_in", inside).join(cells, F.col("_cell").eqNullSafe(F.col("_of")))
+    return placed.withColumn("pos", (F.col("_in") + F.col("_before")).cast("long")).drop("_cell", "_of", "_in", "_before")

@@ -1,8 +1,7 @@
 """Pages of documents, their text, and the pluggable model that inspects them.
 
-These three steps call outside code, so they are the only ones that run Python; each works on Arrow
-batches, and what it returns is to be written before the next step, so that a retry does not
-call a model again.
+These three steps call outside code, so they are the only ones that run Python; what each returns is to be written before the next
+step, so that a retry does not call a model again. Each keeps its errors to the row that they belong to: one file, one page.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -40,15 +39,38 @@ class Inspector(Protocol):
 Encoder = Callable[[bytes], bytes]
 
 
-def split_pages(files: DataFrame, splitter: Splitter = form_feed_pages, limit: int = MAX_PAGES) -> DataFrame:
-    """(document_id, page_number from 1, image) of the first ``limit`` pages of ``files(document_id, content)``."""
+def error_text(e: Exception) -> str:
+    """An exception as a reviewer reads it: its class and what it says."""
+    return f"{type(e).__name__}: {e}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, n, page) for d, content in zip(b["document_id"], b["content"], strict=True) for n, page in enumerate(splitter(bytes(content), limit), 1)]
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "image"])
 
-    return files.select("document_id", "content").mapInPandas(run, "document_id string, page_number int, image binary")
+def page_function(splitter: Splitter, limit: int):
+    """``splitter`` as a table function of a file's content: (page_number from 1, image, null), or one row with the error that it raised, or one of nulls if there are no pages."""
+
+    class Pages:
+        def eval(self, content: bytes | None):
+            try:
+                if content is None:
+                    raise FileNotFoundError("the file is gone")
+                pages = list(splitter(bytes(content), limit))
+            except Exception as e:  # whatever a PDF library raises: this document fails, the others go on
+                yield None, None, error_text(e)
+                return
+            for n, page in enumerate(pages, 1):
+                yield n, page, None
+            if not pages:
+                yield None, None, None
+
+    return F.udtf(Pages, returnType="page_number int, image binary, error string", useArrow=False)
+
+
+def split_pages(files: DataFrame, splitter: Splitter = form_feed_pages, limit: int = MAX_PAGES) -> DataFrame:
+    """(document_id, page_number from 1, image, error) of the first ``limit`` pages of ``files(document_id, content)``.
+
+    A file that cannot be split has one row with its error and no page; one without pages has one row without either.
+    """
+    pages = page_function(splitter, limit)(F.col("content").outer())
+    return files.select("document_id", "content").lateralJoin(pages).select("document_id", "page_number", "image", "error")
 
 
 def read_text(pages: DataFrame, reader: Reader) -> DataFrame:
@@ -74,7 +96,7 @@ def with_prompt(pages: DataFrame) -> DataFrame:
 
 
 def inspect(pages: DataFrame, inspector: Inspector, max_tokens: int = MAX_REPLY_TOKENS, encoder: Encoder = b64encode) -> DataFrame:
-    """(document_id, page_number, ocr_text, raw, error): the model's reply, or what it raised.
+    """``pages(key, prompt, image)`` to (key, raw, error): the model's reply, or what it raised.
 
     Pages are asked side by side, also those after a page that fails; what they find is left out later.
     """
@@ -83,14 +105,19 @@ def inspect(pages: DataFrame, inspector: Inspector, max_tokens: int = MAX_REPLY_
         try:
             return inspector(prompt, encoder(bytes(image)), max_tokens), None
         except Exception as e:  # the document fails, the job goes on
-            return None, f"{type(e).__name__}: {e}"
+            return None, error_text(e)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [one(p, i) for p, i in zip(b["prompt"], b["image"], strict=True)]
-            yield b[["document_id", "page_number", "ocr_text"]].assign(raw=[r for r, _ in got], error=[e for _, e in got])
+            yield b[["key"]].assign(raw=[r for r, _ in got], error=[e for _, e in got])
+
+    return pages.select("key", "prompt", "image").mapInPandas(run, "key string, raw string, error string")
+
 
-    return pages.mapInPandas(run, "document_id string, page_number int, ocr_text string, raw string, error string")
+def asked_key(prompt: Column, image: Column) -> Column:
+    """What a question to the model is known by: all that it is told."""
+    return F.sha2(F.concat_ws("|", F.sha2(prompt, 256), F.sha2(image, 256)), 256)
 
 
 def stored_text(col: str = "ocr_text"):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import pages as P
+from ..operators.purge import moved, without_keys
 from ..operators.replies import allow_repeated_keys, findings, parsed, second_check
-from ..operators.store import ReviewStore, may_start
+from ..operators.store import ReviewStore, latest
 from ..schema import Settings
 from ..sources.files import pdf_files, pending_documents
 
@@ -25,43 +28,77 @@ def add(store: ReviewStore, rows: DataFrame) -> None:
 
 def analyse(
     spark: SparkSession, store: ReviewStore, work: str, run_id: int, now: str, contents: DataFrame, reader: P.Reader, inspector: P.Inspector,
-    splitter: P.Splitter = P.form_feed_pages, ids: DataFrame | None = None, settings: Settings = Settings(),
+    splitter: P.Splitter = P.form_feed_pages, ids: DataFrame | None = None, settings: Settings = Settings(), until: str | None = None,
 ) -> DataFrame:
-    """Run the documents of ``ids`` (all, if there are none given) that are not being processed; returns all documents after the run.
+    """Run the documents of ``ids`` (all, if there are none given) that no other run holds; returns all documents after the run.
+
+    ``contents(file_path, content)`` are their files, as of ``file_contents``. The run claims its documents until ``until`` (by default an hour after ``now``): a run
+    that dies leaves claims that lapse, and runs that overlap share the documents. What it finds is written only for documents that it still holds.
 
-    ``contents(file_path, content)`` are their files, as of ``file_contents``. Pages and replies are written below ``work`` before
-    they are used, so that outside calls are not repeated. A document with a page that failed is failed; findings of its pages
-    before that one stay.
+    States, each a row of the log: processing; then failed for a file that cannot be split, else processing with the number of pages; then
+    completed or failed. A document with a page that failed is failed; findings of its pages before that one stay. Pages are written below ``work`` before they are
+    used, and the model's replies to the store, which asks it only what it has not answered before; so outside calls are not repeated.
     """
     allow_repeated_keys(spark)
-    docs = store.documents().where(may_start())
+    docs = store.documents()
     if ids is not None:
         docs = docs.join(ids.select("id").distinct(), "id", "left_semi")
     state = lambda rows, step: rows.withColumns({"seq": F.lit(run_id * 10 + step).cast("long"), "deleted": F.lit(False)})
-    docs.write.parquet(f"{work}/run={run_id}/documents")
+    until = until or str(datetime.fromisoformat(now) + timedelta(hours=1))
+    docs.join(store.claim(docs, run_id, now, until), "id", "left_semi").write.parquet(f"{work}/run={run_id}/documents")
     docs = spark.read.parquet(f"{work}/run={run_id}/documents")
     store.append_states(state(docs.withColumn("status", F.lit("processing")), 1))
 
-    files = docs.join(contents, "file_path").select(F.col("id").alias("document_id"), "content")
-    P.read_text(P.split_pages(files, splitter, settings.max_pages), reader).write.parquet(f"{work}/run={run_id}/pages")
+    files = docs.join(contents, "file_path", "left").select(F.col("id").alias("document_id"), "content")
+    P.split_pages(files, splitter, settings.max_pages).write.parquet(f"{work}/run={run_id}/split")
+    split = spark.read.parquet(f"{work}/run={run_id}/split")
+    counted = split.groupBy(F.col("document_id").alias("id")).agg(F.count("page_number").cast("int").alias("pages"), F.max("error").alias("error"))
+    failed = F.col("error").isNotNull()
+    store.append_states(state(docs.join(counted, "id").withColumns({"status": F.when(failed, "failed").otherwise("processing"), "page_count": F.when(failed, F.col("page_count")).otherwise(F.col("pages"))}).drop("pages"), 2))
+
+    pages = split.where("page_number IS NOT NULL").select("document_id", "page_number", "image")
+    read = P.with_prompt(P.read_text(pages, reader)).withColumn("key", P.asked_key(F.col("prompt"), F.col("image")))
+    read.write.parquet(f"{work}/run={run_id}/pages")
     read = spark.read.parquet(f"{work}/run={run_id}/pages")
-    P.inspect(P.with_prompt(read), inspector, settings.max_reply_tokens).write.parquet(f"{work}/run={run_id}/replies")
-    replies = spark.read.parquet(f"{work}/run={run_id}/replies")
+    answers = store.ask(read, run_id, lambda questions: P.inspect(questions, inspector, settings.max_reply_tokens))
+    replies = read.select("key", "document_id", "page_number", "ocr_text").join(answers, "key").drop("key")
 
-    states = parsed(replies)
-    failed = states.groupBy("document_id").agg(F.min(F.when(F.col("error").isNotNull() | (F.col("state") == "failed"), F.col("page_number"))).alias("failed_at"), F.max("page_number").alias("pages"))
-    before = replies.join(failed, "document_id").where("failed_at IS NULL OR page_number < failed_at").select("document_id", "page_number", "ocr_text", "raw")
+    at = F.struct("page_number", F.coalesce("error", F.when(F.col("state") == "failed", F.lit("TypeError: the findings are no list"))).alias("error"))
+    ends = parsed(replies).groupBy("document_id").agg(F.min(F.when(F.col("error").isNotNull() | (F.col("state") == "failed"), at)).alias("failed"))
+    ends = ends.select("document_id", F.col("failed.page_number").alias("failed_at"), "failed.error")
+    before = replies.join(ends.drop("error"), "document_id").where("failed_at IS NULL OR page_number < failed_at").select("document_id", "page_number", "ocr_text", "raw")
     issues = second_check(findings(before)).select(
         X.row_id(F.col("document_id"), F.lit(run_id), F.col("page_number"), F.col("pos")).alias("id"), "document_id", "page_number", "issue_type", "severity", "description",
         F.substring("location_hint", 1, 255).alias("location_hint"), P.stored_text().alias("raw_ocr_text"), F.lit(now).cast("timestamp_ntz").alias("created_at"), F.lit(run_id).alias("run_id"))
-    store.append_issues(issues)
-    ended = docs.join(failed.withColumnRenamed("document_id", "id"), "id", "left").select(
-        "id", "filename", "file_path", F.col("pages").alias("page_count"), F.when(F.col("pages").isNull() | F.col("failed_at").isNotNull(), "failed").otherwise("completed").alias("status"),
-        "uploaded_at", F.when(F.col("pages").isNotNull() & F.col("failed_at").isNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("analyzed_at")).alias("analyzed_at"))
-    store.append_states(state(ended, 2))
+    held = store.held(run_id, now)
+    issues.join(held.select(F.col("id").alias("document_id")), "document_id", "left_semi").write.parquet(f"{work}/run={run_id}/issues")
+    store.append_issues(spark.read.parquet(f"{work}/run={run_id}/issues"))
+    good = F.col("failed_at").isNull()
+    ended = docs.join(counted.where(~failed).select("id", "pages"), "id").join(held, "id", "left_semi").join(ends.withColumnRenamed("document_id", "id"), "id", "left").select(
+        "id", "filename", "file_path", F.col("pages").alias("page_count"), F.when(good, "completed").otherwise("failed").alias("status"), "uploaded_at",
+        F.when(good, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("analyzed_at")).alias("analyzed_at"), "error")
+    store.append_states(state(ended, 3))
+    store.release(run_id)
     return store.documents()
 
 
 def delete(store: ReviewStore, ids: DataFrame, seq: int) -> None:
     """Tombstones: the documents and their findings are no longer seen."""
-    store.append_states(store.documents().join(ids, "id", "left_semi").withColumns({"seq": F.lit(seq).cast("long"), "deleted": F.lit(True)}))
+    store.delete(ids, seq)
+
+
+def purge(store: ReviewStore) -> DataFrame:
+    """Deleted documents go for good: their files, then findings, claims and log rows; (source, found, error) of the files.
+
+    The tombstones go last, so a purge that died can be done again. A file that is not there is no error; one that cannot be deleted keeps its
+    document's log rows, so that the next purge tries again.
+    """
+    gone = latest(store.log(), "id", "seq").where("deleted").select("id", F.col("file_path").alias("source"), F.lit(None).cast("string").alias("target"))
+    gone.write.mode("overwrite").parquet(f"{store.folder}/_gone")  # the log, which it comes from, is rewritten below
+    gone = store.spark.read.parquet(f"{store.folder}/_gone")
+    moved(gone).write.mode("overwrite").parquet(f"{store.folder}/_deleted")
+    deleted = store.spark.read.parquet(f"{store.folder}/_deleted")
+    done = gone.join(deleted.where("error IS NULL"), "source", "left_semi").select("id")
+    for path, key in ((store.issues_path, "document_id"), (store.counts_path, "document_id"), (store.claims_path, "id"), (store.log_path, "id")):
+        without_keys(store.spark, path, key, done)
+    return deleted

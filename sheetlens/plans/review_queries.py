@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import json
+import uuid
 from base64 import b64decode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, row_id
-from ..operators.listing import with_issue_count
-from ..operators.store import ReviewStore
-from ..schema import ISSUE_TYPES, MAX_PAGES, OCR_PREFIX, SEVERITIES, type_label
+from ..operators.clustered import ClusteredStore
+from ..operators.listing import positions, with_issue_count
+from ..operators.states import LEGAL, checked_log
+from ..operators.store import ReviewStore, holders, in_places
+from ..schema import ISSUE_TYPES, MAX_PAGES, OCR_PREFIX, SEVERITIES, looked_up, migrate, type_label
+from ..sources.csv_sink import write_csv_files
 from ..sources.files import accepted, pending_documents, work_folder
-from ..sources.tables import PAGE_CHARS, table
+from ..sources.tables import PAGE_CHARS, review_documents, review_issues, table
 from . import review
-from .catalogue import DEMO_FILES, DEMO_FINDINGS, DEMO_NOW, query, sql_case, sql_values, values
+from .catalogue import DEMO_FILES, DEMO_FINDINGS, DEMO_NOW, DETAIL_ID, DOCUMENT, query, sql_case, sql_values, values
 
 ADDED, FIRST, SECOND = "2024-01-05 15:07:00", "2024-01-05 16:00:00", "2024-01-06 09:30:00"
 #: Page lengths that say what happens to a page: the reader fails, the model fails, its reply is no JSON, its list is null.
 NO_TEXT, NO_ANSWER, NO_JSON, NO_LIST = 11, 19, 7, 23
 RERUN, DELETED = 5, 10
+#: One text in so many has a byte in front that makes its file unreadable.
+UNREADABLE = 13
 
 
 def split_text(content: bytes, limit: int) -> list[bytes]:
@@ -48,39 +54,51 @@ def answer(prompt: str, image: bytes, max_tokens: int) -> str:
     return "```json\n" + json.dumps({"issues": found}) + "\n```"
 
 
+_REVIEWED: dict[tuple[str, str], ReviewStore] = {}
+
+
 def reviewed(spark: SparkSession, sf_dir: str) -> ReviewStore:
-    """Texts are uploaded, analysed, one in ``RERUN`` analysed again, one in ``DELETED`` deleted."""
+    """Texts are uploaded, analysed, one in ``RERUN`` analysed again, one in ``DELETED`` deleted. Done once for each session and table; ids of texts do not repeat."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _REVIEWED:
+        return _REVIEWED[key]
     folder = work_folder(spark)
     store = ReviewStore(spark, f"{folder}/store")
     path = F.concat(F.lit("texts/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     texts = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", path.alias("path"), F.encode("text", "UTF-8").alias("content"))
     review.add(store, pending_documents(accepted(texts.withColumn("length", F.length("content"))), ADDED))
-    contents = texts.select(F.col("path").alias("file_path"), "content")
+    contents = texts.select(F.col("path").alias("file_path"), F.when(F.col("doc_id") % UNREADABLE == 0, F.concat(F.unhex(F.lit("FF")), F.col("content"))).otherwise(F.col("content")).alias("content"))
     some = lambda n, rest: store.documents().where(F.regexp_extract("filename", r"\d+", 0).cast("long") % n == rest).select("id")
     review.analyse(spark, store, folder, 1, FIRST, contents, read_page, answer, split_text)
     review.analyse(spark, store, folder, 2, SECOND, contents, read_page, answer, split_text, ids=some(RERUN, 0))
     review.delete(store, some(DELETED, 3), 100)
+    _REVIEWED[key] = store
     return store
 
 
 _SPACES = " || ".join(f"chr({ord(c)})" for c in SPACES)
 _KINDS = "[" + ", ".join(f"'{k}'" for k in ISSUE_TYPES) + "]"
 _LEVELS = "[" + ", ".join(f"'{s}'" for s in SEVERITIES) + "]"
+UNREADABLE_SQL = "'UnicodeDecodeError: ''utf-8'' codec can''t decode byte 0xff in position 0: invalid start byte'"
 REVIEW_SQL = f"""WITH files AS (SELECT doc_id, doc_id || '.pdf' AS filename, 'texts/' || doc_id || '.pdf' AS file_path, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 named AS (SELECT *, sha256(file_path || '|' || strlen(text)) AS id FROM files),
-cut AS (SELECT id, doc_id, unnest(range(1, 1 + least(ceil(length(text) / {PAGE_CHARS}.0), {MAX_PAGES})::BIGINT)) AS p, text FROM named),
+good_files AS (SELECT *, least(ceil(length(text) / {PAGE_CHARS}.0), {MAX_PAGES})::INT AS pages FROM named WHERE doc_id % {UNREADABLE} <> 0),
+cut AS (SELECT id, doc_id, unnest(range(1, 1 + pages)) AS p, text FROM good_files),
 pages_ AS (SELECT id, doc_id, p, substr(text, (p - 1) * {PAGE_CHARS} + 1, {PAGE_CHARS}) AS t, length(t) AS n, n % {NO_ANSWER} = 0 OR (n % {NO_JSON} <> 0 AND n % {NO_LIST} = 0) AS fails FROM cut),
-ends AS (SELECT id, max(p) AS pages, min(p) FILTER (fails) AS failed_at FROM pages_ GROUP BY 1),
+ends AS (SELECT id, pages, min(p) FILTER (fails) AS failed_at, arg_min(CASE WHEN n % {NO_ANSWER} = 0 THEN 'ConnectionError: no answer' ELSE 'TypeError: the findings are no list' END, p) FILTER (fails) AS error
+  FROM good_files LEFT JOIN pages_ USING (id) GROUP BY 1, 2),
 runs AS (SELECT 1 AS run_id, id, TIMESTAMP '{FIRST}' AS at_ FROM named UNION ALL SELECT 2, id, TIMESTAMP '{SECOND}' FROM named WHERE doc_id % {RERUN} = 0),
-ended AS (SELECT run_id, named.id, at_, pages, pages IS NOT NULL AND failed_at IS NULL AS good FROM runs JOIN named USING (id) LEFT JOIN ends USING (id)),
+ended AS (SELECT run_id, named.id, at_, pages, ends.id IS NOT NULL AS readable, ends.id IS NOT NULL AND failed_at IS NULL AS good, error FROM runs JOIN named USING (id) LEFT JOIN ends USING (id)),
 found AS (SELECT run_id, at_, pages_.* FROM runs JOIN pages_ USING (id) JOIN ends USING (id) WHERE (failed_at IS NULL OR p < failed_at) AND n % {NO_JSON} <> 0),
 before AS (SELECT id, max(pages) AS pages, max(good) AS good FROM ended WHERE run_id = 1 GROUP BY 1),
 log AS (
-  SELECT filename, 0::BIGINT AS seq, 'pending' AS status, NULL::INT AS page_count, NULL::TIMESTAMP AS analyzed_at, false AS deleted FROM named
-  UNION ALL SELECT filename, 11, 'processing', NULL, NULL, false FROM named
-  UNION ALL SELECT filename, 12, CASE WHEN good THEN 'completed' ELSE 'failed' END, pages::INT, CASE WHEN good THEN at_ END, false FROM ended JOIN named USING (id) WHERE run_id = 1
-  UNION ALL SELECT filename, 21, 'processing', pages::INT, CASE WHEN good THEN TIMESTAMP '{FIRST}' END, false FROM named JOIN before USING (id) WHERE doc_id % {RERUN} = 0
-  UNION ALL SELECT filename, 22, CASE WHEN good THEN 'completed' ELSE 'failed' END, pages::INT, CASE WHEN good THEN at_ END, false FROM ended JOIN named USING (id) WHERE run_id = 2),
+  SELECT filename, 0::BIGINT AS seq, 'pending' AS status, NULL::INT AS page_count, NULL::TIMESTAMP AS analyzed_at, false AS deleted, NULL AS error FROM named
+  UNION ALL SELECT filename, 11, 'processing', NULL, NULL, false, NULL FROM named
+  UNION ALL SELECT filename, 12, CASE WHEN readable THEN 'processing' ELSE 'failed' END, pages, NULL, false, CASE WHEN NOT readable THEN {UNREADABLE_SQL} END FROM ended JOIN named USING (id) WHERE run_id = 1
+  UNION ALL SELECT filename, 13, CASE WHEN good THEN 'completed' ELSE 'failed' END, pages, CASE WHEN good THEN at_ END, false, error FROM ended JOIN named USING (id) WHERE run_id = 1 AND readable
+  UNION ALL SELECT filename, 21, 'processing', pages, CASE WHEN good THEN TIMESTAMP '{FIRST}' END, false, NULL FROM named JOIN before USING (id) WHERE doc_id % {RERUN} = 0
+  UNION ALL SELECT filename, 22, CASE WHEN readable THEN 'processing' ELSE 'failed' END, pages, CASE WHEN good THEN TIMESTAMP '{FIRST}' END, false, CASE WHEN NOT readable THEN {UNREADABLE_SQL} END FROM ended JOIN named USING (id) WHERE run_id = 2
+  UNION ALL SELECT filename, 23, CASE WHEN good THEN 'completed' ELSE 'failed' END, pages, CASE WHEN good THEN at_ END, false, error FROM ended JOIN named USING (id) WHERE run_id = 2 AND readable),
 newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY filename ORDER BY seq DESC) = 1),
 issues_ AS (SELECT sha256(id || '|' || run_id || '|' || p || '|0') AS id, id AS document_id, doc_id, p::INT AS page_number, {_KINDS}[n % {len(ISSUE_TYPES)} + 1] AS issue_type, {_LEVELS}[n % {len(SEVERITIES)} + 1] AS severity,
   'page of ' || n || ' characters' AS description, CASE WHEN n % 2 = 1 THEN 'grid' END AS location_hint, nullif(substr(trim(CASE WHEN n % {NO_TEXT} = 0 THEN '' ELSE t END, {_SPACES}), 1, {OCR_PREFIX}), '') AS raw_ocr_text,
@@ -88,10 +106,10 @@ issues_ AS (SELECT sha256(id || '|' || run_id || '|' || p || '|0') AS id, id AS
 """
 
 
-@query(REVIEW_SQL + f"""SELECT * FROM log UNION ALL SELECT filename, 100, status, page_count, analyzed_at, true FROM newest WHERE regexp_extract(filename, '[0-9]+')::BIGINT % {DELETED} = 3""", views=False)
+@query(REVIEW_SQL + f"""SELECT * FROM log UNION ALL SELECT filename, 100, status, page_count, analyzed_at, true, NULL FROM newest WHERE regexp_extract(filename, '[0-9]+')::BIGINT % {DELETED} = 3""", views=False)
 def review_log(spark, sf_dir) -> DataFrame:
-    """Every state that a document went through: pending, processing, completed or failed, processing again, deleted."""
-    return spark.read.parquet(reviewed(spark, sf_dir).log_path).select("filename", "seq", "status", "page_count", "analyzed_at", "deleted")
+    """Every state that a document went through: pending, processing, the number of its pages or failed with its file, completed or failed with a page, processing again, deleted."""
+    return reviewed(spark, sf_dir).log().select("filename", "seq", "status", "page_count", "analyzed_at", "deleted", "error")
 
 
 @query(REVIEW_SQL + f"SELECT * EXCLUDE (doc_id) FROM issues_ WHERE doc_id % {DELETED} <> 3", views=False)
@@ -108,6 +126,141 @@ def review_listing(spark, sf_dir) -> DataFrame:
     return with_issue_count(store.documents(), store.issues()).select("id", "filename", "file_path", "page_count", "status", "uploaded_at", "analyzed_at", "issue_count")
 
 
+@query(REVIEW_SQL + f"SELECT filename, log.error FROM log JOIN newest USING (filename, seq) JOIN named USING (filename) WHERE log.status = 'failed' AND doc_id % {DELETED} <> 3", views=False)
+def review_failures(spark, sf_dir) -> DataFrame:
+    """What made the documents fail that are failed now: files that cannot be split, pages without an answer, findings that are no list."""
+    return reviewed(spark, sf_dir).failures().select("filename", "error")
+
+
+@query(REVIEW_SQL + f""", asked AS (SELECT DISTINCT run_id, n % {NO_ANSWER} = 0 AS fails, CASE WHEN n % {NO_TEXT} = 0 THEN '' ELSE trim(t, {_SPACES}) END AS read, t, p, pages FROM runs JOIN pages_ USING (id) JOIN good_files USING (id)),
+firsts AS (SELECT min(run_id) AS run_id, fails, read, t, p, pages FROM asked GROUP BY ALL)
+SELECT run_id::BIGINT AS run_id, count(*)::BIGINT AS calls, count(*) FILTER (fails)::BIGINT AS errors FROM (SELECT run_id, fails FROM firsts UNION ALL SELECT run_id, fails FROM asked WHERE fails AND run_id = 2) GROUP BY 1""", views=False)
+def review_calls(spark, sf_dir) -> DataFrame:
+    """How often the model was asked by each run: once for each distinct page; the second run asks again only what got no answer."""
+    return reviewed(spark, sf_dir).replies().groupBy("run_id").agg(F.count("*").alias("calls"), F.count("error").alias("errors"))
+
+
+#: When claims are looked at, and how long a claim made of an event lasts, in hours.
+CLAIMS_AT, LEASE_HOURS = "2024-01-20 00:00:00", 72
+
+
+@query(f"""WITH claims AS (SELECT user_id AS id, event_id % 5 AS run_id, ts AS claimed_at, ts + INTERVAL '{LEASE_HOURS} hours' AS expires_at, event_id % 23 = 0 AS released FROM events WHERE ts <= TIMESTAMP '{CLAIMS_AT}'),
+one AS (SELECT id, run_id, min(claimed_at) AS claimed_at, max(expires_at) AS expires_at, bool_or(released) AS released FROM claims GROUP BY 1, 2)
+SELECT id, run_id, claimed_at, expires_at FROM one WHERE expires_at > TIMESTAMP '{CLAIMS_AT}' AND NOT released QUALIFY row_number() OVER (PARTITION BY id ORDER BY claimed_at, run_id) = 1""", views=False)
+def claim_holders(spark, sf_dir) -> DataFrame:
+    """Events as claims of five overlapping runs: who holds each user at one time, when some claims have lapsed and some were given back."""
+    events = table(spark, sf_dir, "events")
+    ends = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(LEASE_HOURS))
+    claims = events.select(F.col("user_id").alias("id"), (F.col("event_id") % 5).alias("run_id"), F.col("ts").alias("claimed_at"), ends.alias("expires_at"), (F.col("event_id") % 23 == 0).alias("released"))
+    return holders(claims, F.lit(CLAIMS_AT))
+
+
+#: What events stand for in the history of a user's document.
+STATE_OF_EVENT = {"signup": "pending", "click": "processing", "view": "completed", "error": "failed", "purchase": "archived"}
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, to in LEGAL.items() for b in to)
+
+
+@query(f"""WITH RECURSIVE legal AS (SELECT * FROM (VALUES {_LEGAL}) v(a, b)),
+log AS (SELECT user_id, ts, event_id, {sql_case("event_type", STATE_OF_EVENT, "event_type")} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+walk AS (SELECT user_id, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, NULL::VARCHAR AS status, NULL::VARCHAR AS before, 'none' AS after, NULL::BOOLEAN AS legal FROM (SELECT DISTINCT user_id FROM log)
+  UNION ALL SELECT user_id, log.i, log.ts, log.event_id, log.status, walk.after, CASE WHEN b IS NULL THEN walk.after ELSE log.status END, b IS NOT NULL
+  FROM walk JOIN log USING (user_id) LEFT JOIN legal ON a = walk.after AND b = log.status WHERE log.i = walk.i + 1)
+SELECT user_id, ts, event_id, status, before, after, legal FROM walk WHERE i > 0""", views=False)
+def state_machine(spark, sf_dir) -> DataFrame:
+    """Events as changes of a document's state: which are legal, and the state before and after each; an unheard state is never reached."""
+    log = table(spark, sf_dir, "events").withColumn("status", looked_up(STATE_OF_EVENT, F.col("event_type")))
+    return checked_log(log, "user_id", ["ts", "event_id"], "status", work_folder(spark))
+
+
+@query(REVIEW_SQL + """SELECT filename, seq, status, CASE status WHEN 'pending' THEN 'none' ELSE before END AS before, true AS legal FROM (SELECT filename, seq, status, lag(status) OVER (PARTITION BY filename ORDER BY seq) AS before FROM log)""", views=False)
+def review_states(spark, sf_dir) -> DataFrame:
+    """The review's own log through the machine: every change that the two runs made is legal."""
+    checked = checked_log(reviewed(spark, sf_dir).log().where("NOT deleted"), "filename", ["seq"], "status", work_folder(spark))
+    return checked.select("filename", "seq", "status", "before", "legal")
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> ClusteredStore:
+    """Orders and their lines as a clustered store."""
+    return ClusteredStore.of(review_documents(spark, sf_dir), review_issues(spark, sf_dir), f"clustered_{uuid.uuid4().hex}")
+
+
+@query("SELECT d.*, coalesce(c.cnt, 0)::BIGINT AS issue_count FROM docs d LEFT JOIN (SELECT document_id, count(id) AS cnt FROM issues GROUP BY 1) c ON c.document_id = d.id")
+def clustered_list(spark, sf_dir) -> DataFrame:
+    """All documents with the number of their findings, from buckets that need no shuffle."""
+    return clustered(spark, sf_dir).listing().select(*DOCUMENT)
+
+
+@query(f"SELECT d.*, (SELECT count(id) FROM issues WHERE document_id = {DETAIL_ID})::BIGINT AS issue_count FROM docs d WHERE d.id = {DETAIL_ID}")
+def clustered_detail(spark, sf_dir) -> DataFrame:
+    """One document, from one bucket of each table."""
+    return clustered(spark, sf_dir).detail(DETAIL_ID).select(*DOCUMENT)
+
+
+@query(REVIEW_SQL + f""", seen AS (SELECT document_id, severity, issue_type FROM issues_ WHERE doc_id % {DELETED} <> 3)
+SELECT document_id, 'total' AS kind, '' AS value, count(*)::BIGINT AS n FROM seen GROUP BY 1 UNION ALL SELECT document_id, 'severity', severity, count(*) FROM seen GROUP BY 1, 3 UNION ALL SELECT document_id, 'type', issue_type, count(*) FROM seen GROUP BY 1, 3""", views=False)
+def kept_counts(spark, sf_dir) -> DataFrame:
+    """Totals and histograms after two runs and deletions, from the counts that were kept with each change; the findings are not read."""
+    return reviewed(spark, sf_dir).counts()
+
+
+@query("""SELECT substr(md5(document_id::VARCHAR), 1, 2) || '/' || document_id || '/plan_' || document_id || '_issues.csv' AS file, 'id,page_number,issue_type,severity,description,location_hint' || chr(10) || string_agg(line, chr(10) ORDER BY page_number, id, line) AS csv
+FROM (SELECT document_id, page_number, id, id || ',' || page_number || ',' || issue_type || ',' || severity || ',"' || replace(description, '"', '""') || '","' || replace(coalesce(location_hint, ''), '"', '""') || '"' AS line FROM issues) GROUP BY document_id""")
+def csv_sink(spark, sf_dir) -> DataFrame:
+    """The CSV file of every document, written by the sink and read back as bytes."""
+    folder = f"{work_folder(spark)}/csv"
+    write_csv_files(review_issues(spark, sf_dir), review_documents(spark, sf_dir), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", "[^/]*/[^/]*/[^/]*$", 0).alias("file"), F.decode("content", "UTF-8").alias("csv"))
+
+
+@query(""", base AS (SELECT id, status, uploaded_at, CASE WHEN id % 50 = 7 THEN 3 ELSE 0 END AS batch FROM docs),
+rows_ AS (SELECT id, CASE WHEN batch = 3 THEN 'pending' WHEN id % 3 = 0 THEN 'completed' ELSE status END AS status, batch, CASE WHEN batch = 0 THEN uploaded_at END AS at_, CASE WHEN batch = 0 THEN -id ELSE id END AS tie FROM base
+  UNION ALL SELECT -id - 1, 'pending', 1, NULL, id FROM docs WHERE id % 100 = 0)
+SELECT id, status, row_number() OVER (ORDER BY batch DESC, at_ DESC, tie DESC)::BIGINT AS pos FROM rows_""")
+def upsert_places(spark, sf_dir) -> DataFrame:
+    """A list that is loaded, then changed in place, added to in front, removed from, and added to again: every document with its position."""
+    docs = review_documents(spark, sf_dir)
+    place = lambda batch, at, tie: F.struct(F.lit(batch).alias("batch"), at.alias("at"), tie.cast("long").alias("tie"))
+    none, key = F.lit(None).cast("timestamp_ntz"), F.col("id")
+    change = lambda rows, i, where, status, gone=False: rows.select(i.alias("id"), where.alias("place"), status.alias("status"), F.lit(gone).alias("deleted"))
+    log = change(docs, key, place(0, F.col("uploaded_at").cast("timestamp_ntz"), -key), F.col("status"))
+    log = log.unionByName(change(docs.where("id % 3 = 0"), key, place(1, none, key), F.lit("completed")))
+    log = log.unionByName(change(docs.where("id % 100 = 0"), -key - 1, place(1, none, key), F.lit("pending")))
+    log = log.unionByName(change(docs.where("id % 50 = 7"), key, place(2, none, key), F.lit("completed"), gone=True))
+    log = log.unionByName(change(docs.where("id % 50 = 7"), key, place(3, none, key), F.lit("pending")))
+    rows = in_places(log, "id", "place", "deleted")
+    return positions(rows, "place", F.struct("place.batch", F.to_date("place.at").alias("day"))).select("id", "status", "pos")
+
+
+@query("SELECT id::VARCHAR AS id, filename, file_path, page_count, status, uploaded_at, analyzed_at FROM docs")
+def migrated(spark, sf_dir) -> DataFrame:
+    """Tables that are created, filled with the orders, taken down, and brought back: no row is lost."""
+    database = f"review_{uuid.uuid4().hex}"
+    migrate(spark, database)
+    review_documents(spark, sf_dir).withColumn("id", F.col("id").cast("string")).write.insertInto(f"{database}.documents")
+    migrate(spark, database, to=0)
+    migrate(spark, database)
+    return spark.table(f"{database}.documents")
+
+
+#: The purge removes documents below this share of the largest id, so that it touches some of the files.
+PURGED = 0.2
+
+
+@query(f"SELECT id, document_id::VARCHAR AS document_id FROM issues WHERE document_id >= {PURGED} * (SELECT max(o_orderkey) FROM orders)")
+def purged_issues(spark, sf_dir) -> DataFrame:
+    """Orders and their lines as a store whose first documents are deleted and purged: the rows that the data files still hold, tombstones and views apart."""
+    store = ReviewStore(spark, f"{work_folder(spark)}/store")
+    docs = review_documents(spark, sf_dir).withColumns({"id": F.col("id").cast("string"), "file_path": F.concat(F.lit(f"{store.folder}/none/"), "filename"), "seq": F.lit(0).cast("long"), "deleted": F.lit(False)})
+    store.append_states(docs)
+    rows = review_issues(spark, sf_dir).withColumns({"page_number": F.col("page_number").cast("int"), "run_id": F.lit(1)}).repartitionByRange(8, "document_id")
+    store.append_issues(rows.withColumn("document_id", F.col("document_id").cast("string")))
+    most = review_documents(spark, sf_dir).agg(F.max("id")).first()[0]
+    review.delete(store, store.documents().where(F.col("id").cast("long") < PURGED * most).select("id"), 1)
+    review.purge(store)
+    return spark.read.parquet(store.issues_path).select("id", "document_id")
+
+
 @query(f"""WITH d AS (SELECT *, sha256('demo/' || filename || '|0') AS document_id FROM ({sql_values(*DEMO_FILES)}) v(i, filename, page_count)), f AS (SELECT * FROM ({sql_values(*DEMO_FINDINGS)}) v(page_number, issue_type, severity, location_hint))
 SELECT filename, 'completed' AS status, page_count::INT AS page_count, TIMESTAMP '{DEMO_NOW}' - to_hours(i * 3 + 1) AS uploaded_at, TIMESTAMP '{DEMO_NOW}' - to_hours(i * 3) AS analyzed_at,
   sha256(document_id || '|0|' || page_number || '|' || issue_type) AS id, document_id, page_number::INT AS page_number, issue_type, severity, {sql_case("issue_type", ISSUE_TYPES, "issue_type")} || ': ' || location_hint AS description,

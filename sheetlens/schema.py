@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,29 @@ PAGES = T.StructType([
     T.StructField("ocr_text", T.StringType(), False),
 ])
 
+#: A claim of a document by a run, or the end of one.
+CLAIMS = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("run_id", T.LongType(), False),
+    T.StructField("claimed_at", T.TimestampNTZType(), False),
+    T.StructField("expires_at", T.TimestampNTZType(), False),
+    T.StructField("released", T.BooleanType(), False),
+])
+
+REPLIES = T.StructType([
+    T.StructField("key", T.StringType(), False),
+    T.StructField("raw", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("run_id", T.LongType(), False),
+])
+
+COUNTS = T.StructType([
+    T.StructField("document_id", T.StringType(), False),
+    T.StructField("kind", T.StringType(), False),
+    T.StructField("value", T.StringType(), False),
+    T.StructField("n", T.LongType(), False),
+])
+
 #: What a stored row must satisfy, by table.
 CHECKS = {
     "documents": "length(filename) <= 255 AND length(file_path) <= 512 AND status IN ('pending', 'processing', 'completed', 'failed')",
@@ -82,9 +105,31 @@ def create_table_sql(name: str, schema: T.StructType) -> str:
     return f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
 
 
-def migration(up: bool = True) -> list[str]:
-    """Statements that create all tables, or drop them, referring tables first."""
-    return [create_table_sql(n, s) for n, s in TABLES.items()] if up else [f"DROP TABLE IF EXISTS {n}" for n in reversed(TABLES)]
+#: Versions of the stored tables: number, name, and the tables that each adds.
+VERSIONS = ((1, "documents, findings, pages", TABLES), (2, "claims, replies, counts", {"claims": CLAIMS, "replies": REPLIES, "counts": COUNTS}))
+
+
+def migrate(spark: SparkSession, database: str, to: int = VERSIONS[-1][0]) -> list[tuple[int, bool]]:
+    """Bring ``database`` of the catalogue to version ``to``; the steps done, as (version, up).
+
+    Steps are recorded in its table ``schema_version`` when they are done, and done once. A step down keeps its tables under another name, referring ones first, and the
+    same step up finds them again; so no data is lost. A step that died half-way is done again, as each statement looks at what there is.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.schema_version (step BIGINT, version INT, name STRING, up BOOLEAN) USING parquet")
+    record = spark.table(f"{database}.schema_version").orderBy("step").collect()  # a row for each step ever done
+    applied = {version for version in {r.version for r in record} if [r.up for r in record if r.version == version][-1]}
+    steps = [(v, True) for v, _, _ in VERSIONS if v <= to and v not in applied] + [(v, False) for v, _, _ in reversed(VERSIONS) if v > to and v in applied]
+    has = lambda table: spark.catalog.tableExists(f"{database}.{table}")
+    for n, (version, up) in enumerate(steps, len(record)):
+        _, name, tables = next(v for v in VERSIONS if v[0] == version)
+        for table, schema in tables.items() if up else reversed(tables.items()):
+            if up and not has(table):
+                spark.sql(f"ALTER TABLE {database}.{table}_kept RENAME TO {database}.{table}" if has(f"{table}_kept") else create_table_sql(f"{database}.{table}", schema))
+            elif not up and has(table):
+                spark.sql(f"ALTER TABLE {database}.{table} RENAME TO {database}.{table}_kept")
+        spark.sql(f"INSERT INTO {database}.schema_version VALUES ({n}, {version}, '{name}', {str(up).lower()})")
+    return steps
 
 
 def checked(rows: DataFrame, name: str) -> DataFrame:

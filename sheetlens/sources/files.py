@@ -22,12 +22,15 @@ def pdf_files(spark: SparkSession, folder: str, limit: int = MAX_UPLOAD_BYTES) -
 
     Size and name are read from the listing; ``content`` is not loaded unless selected.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
     return accepted(files, limit)
 
 
 def file_contents(spark: SparkSession, folder: str, limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """(file_path, content) of all accepted files below ``folder``; documents meet them by a join, so no list of paths is made."""
+    """(file_path, content) of all accepted files below ``folder``; documents meet them by a join, so no list of paths is made.
+
+    A file that goes after it was listed is left out, so that only its document fails.
+    """
     return pdf_files(spark, folder, limit).select(F.col("path").alias("file_path"), "content")
 
 
@@ -56,6 +59,35 @@ def delete_file(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, False))
 
 
+def move_or_delete(source: str, target: str | None) -> tuple[bool, str | None]:
+    """In a task: move a file, or delete it if there is no target; whether there was one, and what went wrong. Both can be done again."""
+    from pyarrow import fs
+
+    try:
+        where, path = fs.FileSystem.from_uri(source)
+        if where.get_file_info(path).type == fs.FileType.NotFound:
+            return False, None
+        if target is None:
+            where.delete_file(path)
+        else:
+            where.move(path, fs.FileSystem.from_uri(target)[1])
+        return True, None
+    except Exception as e:  # whatever a file system raises: the row says it, the other files go on
+        return False, f"{type(e).__name__}: {e}"
+
+
+def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Names of the files in a folder, by Hadoop's file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return [str(f.getPath()) for f in found if str(f.getPath()).endswith(suffix)]
+
+
+def delete_tree(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def file_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
