@@ -38,6 +38,14 @@ CASES = [
     ("[%s]" % ok(description=[]), [("missing_tag", "high", "[]", "x")]),
     *(("[%s]" % ok(location_hint=s), [("missing_tag", "high", "d", None)]) for s in (None, ..., 0, False, [], {}, " ")),
     ("[%s]" % ok(location_hint=3), [("missing_tag", "high", "d", "3")]),
+    *(("[%s]" % ok(description=v), [("missing_tag", "high", str(v), "x")]) for v in (
+        1.0, True, False, 1e5, 1e16, 1.5e300, 12345678.25, 1e-7, 0.0001, 0.00001, 2.5e-5, -2.5, 123456789012, 1e15, {"a": 1}, {"a": [True, None, "it's"], "b": {"c": "x\ny"}}, [1, "q"])),
+    *(("[%s]" % OK.replace('"d"', v), [("missing_tag", "high", t, "x")]) for v, t in (("NaN", "nan"), ("Infinity", "inf"), ("-Infinity", "-inf"), ("[NaN]", "[nan]"), ('"NaN \\" Infinity"', 'NaN " Infinity'))),
+    ('{"n":NaN,"m":[-Infinity,"x-y"],"issues":[%s]}' % OK, [ROW]),
+    ('[%s, {"severity": NaN}]' % OK, [ROW]),
+    *((x, []) for x in ("NaN", "-Infinity", "[NaN]", "NaNNaN", "[NaN")),
+    ("[%s]" % OK.replace('"x"', "NaN"), [("missing_tag", "high", "d", "nan")]),
+    *(("[%s]" % ok(location_hint=v), [("missing_tag", "high", "d", str(v))]) for v in (1.0, True, ["a"])),
     ('{"issues":[],"issues":[%s]}' % OK, [ROW]),
     ('{"issues":[%s]} trailing' % OK, []),
     ("1,2", []),
@@ -54,7 +62,7 @@ def test_truth_table(spark):
         assert got.get(i, []) == want, raw
 
 
-@pytest.mark.parametrize("raw", ['{"issues":null}', '{"issues":5}', '{"issues":true}'])
+@pytest.mark.parametrize("raw", ['{"issues":null}', '{"issues":5}', '{"issues":true}', '{"issues":NaN}', '{"issues":-Infinity}'])
 def test_failed_replies(spark, raw):
     rows = R.rejects(spark.createDataFrame([(1, raw)], "i int, raw string")).collect()
     assert [(r.state, r.start) for r in rows] == [("failed", raw)]
@@ -63,3 +71,17 @@ def test_failed_replies(spark, raw):
 def test_log_prefix(spark):
     rows = R.rejects(spark.createDataFrame([(1, "x" * 500)], "i int, raw string")).collect()
     assert [(r.state, len(r.start)) for r in rows] == [("unparseable", 200)]
+
+
+def test_long_texts_beside_bare_values(spark):
+    """The scanner passes over strings as a whole, however long."""
+    R.allow_repeated_keys(spark)
+    long = "NaN, \\\"Infinity " * 20_000
+    raw = '{"a":"%s","n":NaN,"issues":[%s]}' % (long, OK)
+    assert R.findings(spark.createDataFrame([(1, raw)], "i int, raw string")).count() == 1
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, sf001):
+    rows = spark.read.parquet(f"{sf001}/events.parquet")
+    assert rows.rdd.getNumPartitions() == 1
+    assert R.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
