@@ -104,16 +104,25 @@ def bare_text(marked: Column) -> Column:
 
 
 def as_text(field: Column) -> Column:
-    """A field as text: missing is empty, JSON null the word None, truth values and numbers as a script writes them."""
-    what, text = kind(field), F.try_variant_get(field, "$", "string")
-    other = (
-        F.when(F.is_variant_null(field), "None")
-        .when(what == "BOOLEAN", F.initcap(text))
-        .when((what == "DOUBLE") | F.rlike(what, F.lit(r"^DECIMAL\(\d+,[1-9]|^DECIMAL\(\d,0|^DECIMAL\(1\d,0")), float_text(F.try_variant_get(field, "$", "double")))
-        .when(F.startswith(what, F.lit("OBJECT")) | F.startswith(what, F.lit("ARRAY")), nested_text(F.to_json(field)))
-        .otherwise(text)
-    )
-    return F.when(field.isNull(), "").when(what == "STRING", F.when(F.startswith(text, F.lit(MARK)), bare_text(text)).otherwise(text)).otherwise(other)
+    """A field as text: missing is empty, JSON null the word None, truth values and numbers as a script writes them.
+
+    What is no string is rare and takes many steps; these stand in a function of their own, so that the code made for strings stays small.
+    """
+
+    def rare(v: Column) -> Column:
+        what, text = kind(v), F.try_variant_get(v, "$", "string")
+        return (
+            F.when(F.is_variant_null(v), "None")
+            .when(F.startswith(text, F.lit(MARK)), bare_text(text))
+            .when(what == "BOOLEAN", F.initcap(text))
+            .when((what == "DOUBLE") | F.rlike(what, F.lit(r"^DECIMAL\(\d+,[1-9]|^DECIMAL\(\d,0|^DECIMAL\(1\d,0")), float_text(F.try_variant_get(v, "$", "double")))
+            .when(F.startswith(what, F.lit("OBJECT")) | F.startswith(what, F.lit("ARRAY")), nested_text(F.to_json(v)))
+            .otherwise(text)
+        )
+
+    text = F.try_variant_get(field, "$", "string")
+    plain = (kind(field) == "STRING") & ~F.startswith(text, F.lit(MARK))
+    return F.when(field.isNull(), "").when(plain, text).otherwise(X.let(field, rare))
 
 
 def findings(replies: DataFrame, raw: str = "raw") -> DataFrame:
@@ -122,15 +131,15 @@ def findings(replies: DataFrame, raw: str = "raw") -> DataFrame:
     Items that are no objects have no fields; those, and items whose severity, type or description is not valid, are left out.
     """
     keep = [c for c in replies.columns if c != raw]
-    read = parsed(spread(replies), raw).where("items IS NOT NULL")
+    read = parsed(spread(replies), raw)  # no filter on items, which would be copied below with the whole parse: a null list has no rows
     rows = read.lateralJoin(read.sparkSession.tvf.variant_explode(F.col("items").outer())).where("key IS NULL")
     fields = rows.select(*keep, F.col("pos").cast("long").alias("pos"), *(get(F.col("value"), f"$.{c}").alias(f"_{c}") for c in FIELDS))
     severity, kind_, description = (X.strip(as_text(F.col(f"_{c}"))) for c in FIELDS[:3])
     severity, kind_ = F.lower(severity), F.replace(F.lower(kind_), F.lit(" "), F.lit("_"))
     valid = severity.isin(*SEVERITIES) & kind_.isin(*ISSUE_TYPES) & (F.length(description) > 0)
-    # valid items are exploded from a list of one: a filter on them would be copied below with all that it computes
+    # valid items are exploded from a list of one, and outer: filters on them would be copied below with all that they compute
     shown = F.struct(severity.alias("severity"), kind_.alias("issue_type"), description.alias("description"), location(F.col("_location_hint")).alias("location_hint"))
-    return fields.select(*keep, "pos", F.inline(F.when(valid, F.array(shown))))
+    return fields.select(*keep, "pos", F.inline_outer(F.when(valid, F.array(shown)))).where("severity IS NOT NULL")
 
 
 def location(field: Column) -> Column:
