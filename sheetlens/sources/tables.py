@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def readiness_of(read: Callable[[], DataFrame]) -> tuple[str, str]:
+    """(ready, ok) if a row can be read, else (unavailable, the error's class and text): a probe that runs a real query."""
+    try:
+        read().limit(1).collect()
+    except Exception as e:  # whatever stands in the way is what the probe reports
+        return "unavailable", f"{type(e).__name__}: {e}"
+    return "ready", "ok"
+
+
 def review_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents: P is pending, O is processing, F is completed."""
     status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "processing").otherwise("completed")

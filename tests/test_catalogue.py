@@ -2,7 +2,7 @@
 
 import pytest
 
-from sheetlens.plans import catalogue, review_queries  # noqa: F401
+from sheetlens.plans import catalogue, review_queries, table_queries  # noqa: F401
 from sheetlens.sources.tables import review_issues
 
 from oracle import check
