@@ -284,3 +284,30 @@ def test_arrivals(spark, tmp_path):
     (tmp_path / "in" / "large.pdf").write_bytes(b"y" * 30)
     watch(spark, store, d, str(tmp_path / "check"), NOW, limit=20).awaitTermination(60)
     assert sorted(r.filename for r in store.documents().collect()) == ["a.pdf", "b.pdf"]
+
+
+def test_packed_csv_files_take_little_disk(spark, tmp_path, monkeypatch):
+    """Archives hold what single files hold, under the same names, in few blocks; one that is full is followed by the next."""
+    from sheetlens.sources import csv_sink as C
+
+    rows = spark.range(1200).selectExpr("cast(id % 400 AS string) AS document_id", "cast(id AS int) AS page_number", "concat('i', id) AS id", "'missing_tag' AS issue_type", "'low' AS severity", "'a \"b\"' AS description", "cast(null AS string) AS location_hint")
+    docs = spark.range(401).selectExpr("cast(id AS string) AS id", "concat('x/Plan', id, '.PDF') AS filename")
+    write_csv_files(rows, docs, f"file://{tmp_path}/plain")
+    plain = {os.path.relpath(os.path.join(d, f), tmp_path / "plain"): open(os.path.join(d, f), newline="").read() for d, _, names in os.walk(tmp_path / "plain") for f in names}
+    for _ in range(2):  # a second export takes the place of the first
+        write_csv_files(rows, docs, f"file://{tmp_path}/packed", packed=True)
+        assert {r.file: r.csv for r in C.packed_csv_files(spark, f"file://{tmp_path}/packed").collect()} == plain
+    assert len(plain) == 400
+    blocks = lambda at: sum(os.lstat(os.path.join(d, f)).st_blocks for d, folders, names in os.walk(at) for f in [*folders, *names])
+    assert blocks(tmp_path / "packed") < 0.7 * blocks(tmp_path / "plain")
+
+    class Disk:
+        create_dir = staticmethod(lambda path: os.makedirs(path, exist_ok=True))
+        open_output_stream = staticmethod(lambda path, compression: open(path, "wb"))
+
+    monkeypatch.setattr(C, "ARCHIVE_BYTES", 10)
+    archives = C.Archives(Disk, str(tmp_path / "own"))
+    for shard, name in (("aa", "1/x.csv"), ("aa", "2/x.csv"), ("aa", "3/x.csv"), ("ab", "4/x.csv")):
+        archives.add(shard, name, b"123456")
+    archives.close()
+    assert sorted(os.path.relpath(os.path.join(d, f), tmp_path / "own") for d, _, names in os.walk(tmp_path / "own") for f in names) == ["aa/00000.tar.gz", "aa/00001.tar.gz", "ab/00002.tar.gz"]
