@@ -311,3 +311,23 @@ def test_packed_csv_files_take_little_disk(spark, tmp_path, monkeypatch):
         archives.add(shard, name, b"123456")
     archives.close()
     assert sorted(os.path.relpath(os.path.join(d, f), tmp_path / "own") for d, _, names in os.walk(tmp_path / "own") for f in names) == ["aa/00000.tar.gz", "aa/00001.tar.gz", "ab/00002.tar.gz"]
+
+
+def test_texts_move_only_where_pages_are_dealt(spark, tmp_path, monkeypatch):
+    """Between large tables: questions and stored texts come from the buckets that pages are dealt to once, and only places and replies are moved to them."""
+    d = folder(tmp_path, a_dot_pdf=b"tag 1\ftag 2", b_dot_pdf=b"tag 1\ftag 2")
+    store, plans = ReviewStore(spark, str(tmp_path / "store")), []
+    review.ingest(spark, store, d, NOW)
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    inspect, append = review.P.inspect, store.append_issues
+    monkeypatch.setattr(review.P, "inspect", lambda questions, *more: inspect(seen(questions), *more))
+    monkeypatch.setattr(store, "append_issues", lambda rows, **more: append(seen(rows), **more))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        review.analyse(spark, store, str(tmp_path / "w"), 1, NOW, file_contents(spark, d), reader, inspector)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert store.issues().count() == 4 and store.replies().count() == 2
+    assert [plan.count("Bucketed: true") for plan in plans] == [1, 1] and not any("Window" in plan for plan in plans)
+    assert {r.total_pages for r in spark.read.parquet(str(tmp_path / "w" / "run=1" / "pages")).collect()} == {2}
