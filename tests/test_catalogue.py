@@ -34,3 +34,11 @@ def test_pushdown_and_pruning(spark, sf001):
     assert "PushedFilters: [IsNotNull(l_orderkey), EqualTo(l_orderkey,42)" in text
     text = plan(review_issues(spark, sf001).groupBy("severity").count())
     assert "l_extendedprice" not in text.split("== Physical Plan ==")[1]
+
+
+def test_guarded_lines_move_without_their_texts(spark, sf001):
+    """The semi-join with the documents stands below the join with the parts, whose texts a shuffle would carry."""
+    df = catalogue.issues_guarded(spark, sf001)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join Inner") < text.index("Join LeftSemi")
+    assert df.columns == review_issues(spark, sf001).columns
